@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.session import settle
@@ -17,18 +18,28 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
 
-def text_bytes(columns: Sequence[str]) -> Column:
-    """Stored bytes of the given columns, one row."""
-    total = F.lit(16)
-    for c in columns:
-        total = total + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
-    return total.cast("bigint")
+@dataclass(frozen=True)
+class Size:
+    """Measured rows and stored bytes of a table."""
 
+    rows: int = 0
+    bytes: int = 0
 
-def fits_broadcast(df: DataFrame, columns: Sequence[str]) -> bool:
-    """Measure a settled table against the broadcast limits."""
-    size = df.agg(F.count("*").alias("rows"), F.sum(text_bytes(columns)).alias("bytes")).first()
-    return size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
+    def __add__(self, other: Size) -> Size:
+        return Size(self.rows + other.rows, self.bytes + other.bytes)
+
+    def fits_broadcast(self) -> bool:
+        return self.rows <= BROADCAST_ROWS and self.bytes <= BROADCAST_BYTES
+
+
+def measure(df: DataFrame) -> Size:
+    """Measure a settled table; the bytes are those of its values as text, plus 16 for a row."""
+    width = F.lit(16)
+    for name, kind in df.dtypes:
+        value = F.col(name) if kind == "string" else F.to_json(F.struct(name))
+        width = width + F.coalesce(F.octet_length(value), F.lit(0))
+    size = df.agg(F.count("*").alias("rows"), F.sum(width.cast("bigint")).alias("bytes")).first()
+    return Size(size["rows"], size["bytes"] or 0)
 
 
 def spread_join(
@@ -79,6 +90,6 @@ def measured_join(
     `right` is settled first, so measuring it costs no second run of its plan.
     """
     right = settle(right)
-    if fits_broadcast(right, right.columns):
+    if measure(right).fits_broadcast():
         return left.join(F.broadcast(right), key, how)
     return spread_join(left, right, key, how, spread, key_rows)

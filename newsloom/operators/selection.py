@@ -20,12 +20,13 @@ wins. Votes are keyed by rank, which is unique, so counting them meets no hot ke
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.joins import KEY_ROWS, fits_broadcast, spread_join
+from newsloom.operators.joins import KEY_ROWS, Size, measure, spread_join
 from newsloom.operators.numbering import SPAN, leading_per_group, leading_rows, number_rows, span_of
 from newsloom.session import settle
 
@@ -39,6 +40,23 @@ MAP_SIDE_CAP = 1_000
 _COLUMNS = ("rank", "url", "title", "author", "source")
 
 
+@dataclass(frozen=True)
+class _Accepted:
+    """Accepted rows so far, with their measured size."""
+
+    rows: DataFrame
+    size: Size = field(default_factory=Size)
+
+    def plus(self, rows: DataFrame, size: Size) -> _Accepted:
+        return _Accepted(self.rows.unionByName(rows), self.size + size)
+
+    def meets(self, goal: int | None, before: int | None = None) -> bool:
+        """Whether `goal` rows are accepted, counting those ahead of rank `before` only."""
+        if goal is None or self.size.rows < goal:
+            return False
+        return before is None or self.rows.where(F.col("rank") < before).count() >= goal
+
+
 def greedy_select(
     rows: DataFrame,
     source_limit: int | None = None,
@@ -49,26 +67,24 @@ def greedy_select(
     """Rows `(rank, url, title, author, source)` accepted by the sequential rule, up to `goal`.
 
     `rows` carries a unique non-negative integer `rank`, stripped `url`, `title` and `author`
-    (empty means missing; a row without URL is out) and `source`.
+    (empty means missing; a row without URL is out) and `source`. Pass a stored or settled table:
+    it is read once for each block.
 
     Acceptance depends on earlier rows only. Rows are therefore taken in blocks of consecutive
     ranks; a block of `n` ranks holds at most `n` rows. Later blocks lose all rows that clash
     with accepted ones before their first round, and none is read once the goal is met.
     """
     rows = rows.select(*_COLUMNS).where(F.col("url") != "")
-    spark = rows.sparkSession
     last = rows.agg(F.max("rank")).first()[0]
-    accepted = spark.createDataFrame([], rows.schema)
+    accepted = _Accepted(rows.sparkSession.createDataFrame([], rows.schema))
     start, width = 0, first_block
-    while last is not None and start <= last:
+    while last is not None and start <= last and not accepted.meets(goal):
         block = rows.where((F.col("rank") >= start) & (F.col("rank") < start + width))
         if start:
-            block = _without_clashes(block, accepted, source_limit, accepted, key_rows)
+            block = _without_clashes(block, accepted.rows, accepted.size, accepted, source_limit, key_rows)
         accepted = _decide_block(_first_copies(block), accepted, source_limit, goal, key_rows)
-        if _goal_met(accepted, goal):
-            break
         start, width = start + width, width * BLOCK_GROWTH
-    return accepted if goal is None else leading_rows(accepted, goal, "rank")
+    return accepted.rows if goal is None else leading_rows(accepted.rows, goal, "rank")
 
 
 def _first_copies(rows: DataFrame) -> DataFrame:
@@ -79,20 +95,17 @@ def _first_copies(rows: DataFrame) -> DataFrame:
 
 
 def _decide_block(
-    open_rows: DataFrame, accepted: DataFrame, source_limit: int | None, goal: int | None, key_rows: int
-) -> DataFrame:
-    """Run rounds on one block; returns all accepted rows so far."""
+    open_rows: DataFrame, accepted: _Accepted, source_limit: int | None, goal: int | None, key_rows: int
+) -> _Accepted:
+    """Run rounds until no row of the block is open or the goal lies ahead of the first open row."""
     while True:
-        state = open_rows.agg(F.count("*").alias("n"), F.min("rank").alias("first")).first()
-        if state["n"] == 0 or _goal_met(accepted.where(F.col("rank") < state["first"]), goal):
+        first = open_rows.agg(F.min("rank")).first()[0]
+        if first is None or accepted.meets(goal, before=first):
             return accepted
-        winners = settle(_winners(open_rows, accepted, source_limit))
-        accepted = accepted.unionByName(winners)
-        open_rows = settle(_without_clashes(open_rows, winners, source_limit, accepted, key_rows))
-
-
-def _goal_met(accepted: DataFrame, goal: int | None) -> bool:
-    return goal is not None and accepted.count() >= goal
+        winners = settle(_winners(open_rows, accepted.rows, source_limit))
+        size = measure(winners)
+        accepted = accepted.plus(winners, size)
+        open_rows = settle(_without_clashes(open_rows, winners, size, accepted, source_limit, key_rows))
 
 
 def _exclusive_keys(source_limit: int | None) -> list[tuple[str, Column]]:
@@ -142,27 +155,22 @@ def _free_places(open_rows: DataFrame, accepted: DataFrame, source_limit: int) -
 
 
 def _without_clashes(
-    rows: DataFrame, winners: DataFrame, source_limit: int | None, accepted: DataFrame, key_rows: int
+    rows: DataFrame, winners: DataFrame, size: Size, accepted: _Accepted, source_limit: int | None, key_rows: int
 ) -> DataFrame:
     """Rows that share no key with `winners` and whose source is not full."""
-    small = fits_broadcast(winners, ["url", "title", "author", "source"])
     for name, _ in _exclusive_keys(source_limit):
-        taken = winners.select(name).where(F.col(name) != "") if name != "source" else winners.select(name)
-        rows = _drop_keys(rows, taken, name, small, key_rows)
+        taken = winners.select(name) if name == "source" else winners.select(name).where(F.col(name) != "")
+        rows = _drop_keys(rows, taken, name, size, key_rows)
     if source_limit is not None and source_limit > 1:
-        full = (
-            accepted.groupBy("source").agg(F.count("*").alias("n"))
-            .where(F.col("n") >= source_limit).select("source")
-        )
-        # Each full source holds `source_limit` accepted rows, so there are fewer than winners
-        # plus earlier rows; measure before broadcasting.
-        full = settle(full)
-        rows = _drop_keys(rows, full, "source", fits_broadcast(full, ["source"]), key_rows)
+        used = accepted.rows.groupBy("source").agg(F.count("*").alias("n"))
+        full = used.where(F.col("n") >= source_limit).select("source")
+        # The full sources are part of the accepted rows, so their size bounds them.
+        rows = _drop_keys(rows, full, "source", accepted.size, key_rows)
     return rows
 
 
-def _drop_keys(rows: DataFrame, taken: DataFrame, key: str, small: bool, key_rows: int) -> DataFrame:
-    if small:
+def _drop_keys(rows: DataFrame, taken: DataFrame, key: str, size: Size, key_rows: int) -> DataFrame:
+    if size.fits_broadcast():
         return rows.join(F.broadcast(taken), key, "left_anti")
     return spread_join(rows, taken, key, "left_anti", ["rank"], key_rows)
 

@@ -1,0 +1 @@
+"""Batch jobs assembled from the operators."""
