@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import JS_CHAR, JS_LINE_END, JS_LINE_START, JS_SPACE, strip
+from newsloom.functions.text import JS_CHAR, JS_LINE_END, JS_LINE_START, JS_SPACE, JS_SPACES, strip
 
 # Replacements in the order they apply; the ampersand comes first.
 HTML_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
@@ -58,7 +58,7 @@ def strip_markdown(c: Column) -> Column:
         (_LINK, "$1"),
         (r"\n+", " "),
     )
-    return strip(_rewrite(F.coalesce(c, F.lit("")), rules), JS_SPACE)
+    return strip(_rewrite(F.coalesce(c, F.lit("")), rules), JS_SPACES)
 
 
 def excerpt(c: Column, limit: int = 155) -> Column:
@@ -91,7 +91,7 @@ def markdown_to_html(c: Column) -> Column:
     escaped = _replace_all(F.coalesce(c, F.lit("")), HTML_ESCAPES[:3])
     blocks = F.transform(
         F.split(_rewrite(escaped, rules), r"\n{2,}"),
-        lambda block: _paragraph(strip(block, JS_SPACE)),
+        lambda block: _paragraph(strip(block, JS_SPACES)),
     )
     return F.array_join(F.filter(blocks, lambda block: block != ""), "\n")
 
@@ -139,7 +139,7 @@ SCRIPT_MARKERS = ("SITE_URL", "function init()", "allArticles")
 def page_style(html: Column) -> Column:
     """Content of the first style element; null if there is none."""
     found = F.regexp_extract(html, r"(?is)<style[^>]*>(.*?)</style>", 1)
-    return F.when(html.rlike(r"(?is)<style[^>]*>.*?</style>"), strip(found, JS_SPACE))
+    return F.when(html.rlike(r"(?is)<style[^>]*>.*?</style>"), strip(found, JS_SPACES))
 
 
 def page_script(html: Column, markers: tuple[str, ...] = SCRIPT_MARKERS) -> Column:
@@ -149,4 +149,4 @@ def page_script(html: Column, markers: tuple[str, ...] = SCRIPT_MARKERS) -> Colu
     def marked(script: Column) -> Column:
         return reduce(lambda a, b: a | b, [F.contains(script, F.lit(m)) for m in markers])
 
-    return strip(F.try_element_at(F.filter(scripts, marked), F.lit(1)), JS_SPACE)
+    return strip(F.try_element_at(F.filter(scripts, marked), F.lit(1)), JS_SPACES)

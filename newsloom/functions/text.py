@@ -1,7 +1,7 @@
 """Text column expressions.
 
 Two white space classes are in use, because the data rules come from two languages whose
-definitions differ in a few characters. Spark's `trim` and Java's bare `\\s` match neither.
+definitions differ in a few characters. Spark's default `trim` and Java's bare `\\s` match neither.
 """
 
 from __future__ import annotations
@@ -10,18 +10,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters counted as white space by Python and by ECMAScript.
-PY_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-JS_SPACE = r"[\t-\r\x20\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-
-# ECMAScript line rules: `.` and the multi-line anchors stop at these four characters.
+_COMMON_SPACE = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+PY_SPACES = _COMMON_SPACE + "\x1c\x1d\x1e\x1f\x85"
+JS_SPACES = _COMMON_SPACE + "\ufeff"
+
+# The same sets as pattern classes. The intersection rejects most letters with its first test.
+_PY_SET = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_JS_SET = r"\t-\r\x20\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+PY_SPACE = rf"[[\x00-\x20\x85-\uffff]&&[{_PY_SET}]]"
+JS_SPACE = rf"[[\x00-\x20\x85-\uffff]&&[{_JS_SET}]]"
+
+# ECMAScript line rules: `.` and the multi-line anchors stop at these four characters. Java's own
+# line start also follows U+0085; anchoring on it first and excluding that case is much cheaper
+# than a test at every character. No pattern here begins with a line feed, so the place inside a
+# carriage return and line feed pair, where the two rules differ, never matters.
 JS_CHAR = r"[^\n\r\u2028\u2029]"
-JS_LINE_START = rf"(?<!{JS_CHAR})"
+JS_LINE_START = r"(?m:^)(?<!\x85)"
 JS_LINE_END = rf"(?!{JS_CHAR})"
 
 
-def strip(c: Column, space: str = PY_SPACE) -> Column:
+def strip(c: Column, spaces: str = PY_SPACES) -> Column:
     """Drop white space at both ends."""
-    return F.regexp_replace(c, rf"^{space}+|{space}+\z", "")
+    return F.trim(c, F.lit(spaces))
 
 
 def clean(c: Column) -> Column:
@@ -54,8 +64,8 @@ def url_key(c: Column) -> Column:
 
 def slug(c: Column) -> Column:
     """Address form of a title: ASCII letters, digits and hyphens, at most 80 characters."""
-    kept = F.regexp_replace(F.lower(c), rf"[^a-z0-9\-{JS_SPACE[1:-1]}]", "")
-    hyphened = F.regexp_replace(strip(kept, JS_SPACE), rf"{JS_SPACE}+", "-")
+    kept = F.regexp_replace(F.lower(c), rf"[^a-z0-9\-{_JS_SET}]", "")
+    hyphened = F.regexp_replace(strip(kept, JS_SPACES), rf"{JS_SPACE}+", "-")
     return F.when(c.isNull() | (c == ""), F.lit("article")).otherwise(F.substring(hyphened, 1, 80))
 
 
@@ -74,7 +84,7 @@ def cut_repeated_block(c: Column, chunk: int) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of runs of non-space characters."""
-    text = strip(F.coalesce(c, F.lit("")), JS_SPACE)
+    text = strip(F.coalesce(c, F.lit("")), JS_SPACES)
     return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, rf"{JS_SPACE}+"))).cast("bigint")
 
 
@@ -87,12 +97,13 @@ def keywords(*columns: Column) -> Column:
     return F.concat_ws(", ", *[F.when(c != "", c) for c in columns])
 
 
-def contains_any_field(fields: list[Column], needle: str) -> Column:
-    """Case-insensitive substring test over several nullable fields."""
-    hit = F.lit(False)
-    for field in fields:
-        hit = hit | F.coalesce(F.contains(F.lower(field), F.lit(needle)), F.lit(False))
-    return hit
+# Stands between the fields of a search text. No query holds it, so no hit spans two fields.
+FIELD_BREAK = "\0"
+
+
+def search_text(*fields: Column) -> Column:
+    """Lower-case text of all fields, to be searched for lower-case substrings."""
+    return F.lower(F.concat_ws(FIELD_BREAK, *fields))
 
 
 def counted(n: Column, noun: str = "article") -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.joins import measured_join
+from newsloom.operators.joins import measure, sized_join
 from newsloom.operators.numbering import number_rows, span_of
+from newsloom.session import settle
 
 
 def file_order(files: DataFrame) -> DataFrame:
@@ -24,10 +25,10 @@ def round_robin(articles: DataFrame, files: DataFrame) -> DataFrame:
     `rank = pos * number of files + file_rank` is unique and follows that order with no sort.
     It has gaps where a file is shorter than the longest one; `dense_index` closes them.
     """
-    ranked = file_order(files.select("path", "fetch_ts").distinct())
-    placed = measured_join(articles, ranked.select("path", "file_rank"), "path", "inner", ["path", "pos"])
-    n_files = ranked.agg(F.count("*")).first()[0]
-    return placed.withColumn("rank", F.col("pos") * F.lit(n_files) + F.col("file_rank"))
+    ranked = settle(file_order(files.select("path", "fetch_ts").distinct()).select("path", "file_rank"))
+    size = measure(ranked)
+    placed = sized_join(articles, ranked, "path", "inner", ["path", "pos"], size=size)
+    return placed.withColumn("rank", F.col("pos") * F.lit(size.rows) + F.col("file_rank"))
 
 
 def dense_index(df: DataFrame, key: str = "rank", name: str = "index") -> DataFrame:

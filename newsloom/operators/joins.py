@@ -89,7 +89,33 @@ def measured_join(
 
     `right` is settled first, so measuring it costs no second run of its plan.
     """
-    right = settle(right)
-    if measure(right).fits_broadcast():
+    return sized_join(left, settle(right), key, how, spread, key_rows)
+
+
+def sized_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str,
+    spread: Sequence[str],
+    key_rows: int = KEY_ROWS,
+    size: Size | None = None,
+) -> DataFrame:
+    """Join with a settled table whose size may be known already."""
+    if (size or measure(right)).fits_broadcast():
         return left.join(F.broadcast(right), key, how)
     return spread_join(left, right, key, how, spread, key_rows)
+
+
+def keep_last(rows: DataFrame, key: str, order: str, key_rows: int = KEY_ROWS) -> DataFrame:
+    """Of the rows with one key only the one with the greatest `order`, which is unique per key.
+
+    Two narrow columns are aggregated to find the keys that occur more than once. Only these are
+    joined to the rows, so rows with a lone key are not shuffled when there are few repeats.
+    """
+    repeated = (
+        rows.groupBy(key).agg(F.max(order).alias("_last"), F.count("*").alias("_n"))
+        .where(F.col("_n") > 1).select(key, "_last")
+    )
+    joined = measured_join(rows, repeated, key, "left", [order], key_rows)
+    return joined.where(F.col("_last").isNull() | (F.col(order) == F.col("_last"))).select(*rows.columns)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import normalize_title, url_key
-from newsloom.operators.joins import KEY_ROWS, measured_join
+from newsloom.operators.joins import KEY_ROWS, measure, sized_join
 from newsloom.operators.numbering import number_rows, span_of
 from newsloom.schemas import SITE_FIELDS
+from newsloom.session import settle
 
 
 def slim(rows: DataFrame, *extra: str) -> DataFrame:
@@ -26,24 +27,39 @@ def flag_known(existing: DataFrame, batch: DataFrame, row_id: str, key_rows: int
     """Add `known_url` and `known_title` to the batch.
 
     A key is known if the site table has it; rows of the batch are not compared with each other.
-    An empty URL matches an empty URL, an empty title matches nothing. Both sides are reduced to
-    distinct keys first, with partial aggregation, so the rows meet only the keys that occur on
-    both sides, and the site table is read for its two key columns only.
+    An empty URL matches an empty URL, an empty title matches nothing.
+
+    The distinct keys of the batch are settled and measured. If they are few, they are broadcast
+    and the site is scanned once for its two key columns, without a shuffle. Otherwise the
+    distinct keys of both sides meet in a shuffle. The known keys are part of the batch keys, so
+    the same size bounds them when the rows are flagged.
     """
     batch = with_keys(batch)
-    site = with_keys(existing.select("url", "title"))
+    batch_keys = settle(_key_pairs(batch).distinct())
+    size = measure(batch_keys)
+    site_keys = _key_pairs(with_keys(existing.select("url", "title")))
+    if size.fits_broadcast():
+        known = site_keys.join(F.broadcast(batch_keys), ["kind", "value"], "left_semi").distinct()
+    else:
+        known = batch_keys.join(site_keys.distinct(), ["kind", "value"], "left_semi")
+    known = settle(known)
     for key, flag in (("url_key", "known_url"), ("title_key", "known_title")):
-        shared = (
-            batch.select(key).where(F.lit(key == "url_key") | (F.col(key) != "")).distinct()
-            .join(site.select(key).distinct(), key, "left_semi")
-            .withColumn(flag, F.lit(True))
-        )
-        batch = measured_join(batch, shared, key, "left", [row_id], key_rows).withColumn(
+        shared = known.where(F.col("kind") == key).select(F.col("value").alias(key), F.lit(True).alias(flag))
+        batch = sized_join(batch, shared, key, "left", [row_id], key_rows, size).withColumn(
             flag, F.coalesce(flag, F.lit(False))
         )
     return batch
 
 
+def _key_pairs(rows: DataFrame) -> DataFrame:
+    """The URL key and the non-empty title key of each row as `(kind, value)`."""
+    url = F.struct(F.lit("url_key").alias("kind"), F.col("url_key").alias("value"))
+    title = F.when(
+        F.col("title_key") != "", F.struct(F.lit("title_key").alias("kind"), F.col("title_key").alias("value"))
+    )
+    return rows.select(F.inline(F.array_compact(F.array(url, title))))
+
+
 def rows_to_add(existing: DataFrame, batch: DataFrame, row_id: str, key_rows: int = KEY_ROWS) -> DataFrame:
     """Batch rows that are new by URL and by title, in site form with the given order column."""
     flagged = flag_known(existing, batch, row_id, key_rows)

@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.joins import keep_last
 from newsloom.operators.numbering import TOP_ROWS, number_rows, span_of
 
 
 def latest_per_index(results: DataFrame, index: str = "index", seq: str = "seq") -> DataFrame:
-    """The last recorded row of each index; `(index, seq)` is unique.
-
-    The newest `seq` comes from a partial aggregation over two narrow columns, and the rows are
-    then found by the unique pair, so a hot index is neither collected nor sorted.
-    """
-    newest = results.groupBy(index).agg(F.max(seq).alias(seq))
-    return results.join(newest, [index, seq], "left_semi")
+    """The last recorded row of each index; `seq` is unique within an index."""
+    return keep_last(results, index, seq)
 
 
 def remaining(candidates: DataFrame, results: DataFrame, index: str = "index") -> DataFrame:

@@ -16,20 +16,22 @@ from pyspark.sql import functions as F
 from newsloom.functions import structured
 from newsloom.functions.markup import cdata, escape_xml, excerpt, markdown_to_html, strip_markdown
 from newsloom.functions.text import (
-    contains_any_field, counted, keyword_list, keywords, or_default, slug, word_count,
+    counted, keyword_list, keywords, or_default, search_text, slug, word_count,
 )
 from newsloom.functions.times import (
     day_key, day_label, instant, clock, is_recent, iso_instant, last_modified, rfc_instant, short_date,
 )
-from newsloom.operators.joins import measured_join
+from newsloom.operators.joins import keep_last, measured_join, sized_join
 from newsloom.operators.numbering import leading_per_group
+from newsloom.session import settle
 
-# Fixed values.
+# Fixed values; PROBE is only a work size.
 SEARCH_QUERIES = (
     "ai", "artificial-intelligence", "machine-learning", "openai", "llm", "generative-ai",
     "cybersecurity", "cloud-computing", "python", "web-development",
 )
 RELATED = 4
+PROBE = 64
 COLLECTION_PARTS = 10
 FEED_ITEMS = 50
 RECENT_DAYS = 2
@@ -70,18 +72,34 @@ def search_path(query: Column) -> Column:
 # --- related articles -----------------------------------------------------------------------
 
 
+def _heads(rows: DataFrame) -> DataFrame:
+    """The first 2 * RELATED rows of each category that are among the first RELATED of their URL."""
+    by_url = leading_per_group(rows, RELATED, ["category", "url"], ["pos"]).drop("place")
+    return leading_per_group(by_url, 2 * RELATED, ["category"], ["pos"]).drop("place")
+
+
 def category_heads(site: DataFrame) -> DataFrame:
-    """For each category, the first rows that its related lists can be taken from.
+    """`(category, heads)`: the first rows of each category that related lists are taken from.
 
     Of one URL at most RELATED rows can be needed before a list is full, and an article skips at
-    most RELATED rows of its own URL, so the first 2 * RELATED rows of a category that are among
-    the first RELATED rows of their URL hold every list of the category.
+    most RELATED rows of its own URL, so the rows kept by `_heads` hold every list.
+
+    They are looked for in the first PROBE rows of a category, which map tasks cut out before the
+    shuffle. A category whose probe is full and yet holds too few rows, because a few URLs fill
+    it, is searched as a whole.
     """
     rows = site.select("category", "url", "pos", "title", "source", "processed_at")
-    by_url = leading_per_group(rows, RELATED, ["category", "url"], ["pos"]).drop("place")
-    first = leading_per_group(by_url, 2 * RELATED, ["category"], ["pos"])
+    probe = settle(leading_per_group(rows, PROBE, ["category"], ["pos"]).drop("place"))
+    heads = settle(_heads(probe))
+    short = heads.groupBy("category").agg(F.count("*").alias("n")).where(F.col("n") < 2 * RELATED)
+    full = probe.groupBy("category").agg(F.count("*").alias("n")).where(F.col("n") >= PROBE)
+    unsettled = settle(short.select("category").join(full.select("category"), "category", "left_semi"))
+    if not unsettled.isEmpty():
+        kept = heads.join(unsettled, "category", "left_anti")
+        whole = sized_join(rows, unsettled, "category", "left_semi", ["pos"])
+        heads = kept.unionByName(_heads(whole))
     entry = F.struct("pos", "url", "title", "source", "processed_at")
-    return first.groupBy("category").agg(F.array_sort(F.collect_list(entry)).alias("heads"))
+    return heads.groupBy("category").agg(F.array_sort(F.collect_list(entry)).alias("heads"))
 
 
 def with_related(rows: DataFrame, site: DataFrame) -> DataFrame:
@@ -189,13 +207,13 @@ def collection_documents(site: DataFrame, settings: SiteSettings) -> DataFrame:
 def search_hits(site: DataFrame, queries: Sequence[str]) -> DataFrame:
     """Site rows with `query`, one for each query found in one of five fields.
 
-    The queries are a parameter, so one scan tests them all and no join is needed.
+    The queries are a parameter, so one scan lowers each row once and tests them all; there is no join.
     """
     fields = [F.col(c) for c in ("title", "summary", "category", "source", "author")]
     found = F.array_compact(F.array(*[
-        F.when(contains_any_field(fields, q.lower()), F.lit(q)) for q in queries
+        F.when(F.contains("_text", F.lit(q.lower())), F.lit(q)) for q in queries
     ]))
-    return site.withColumn("query", F.explode(found))
+    return site.withColumn("_text", search_text(*fields)).withColumn("query", F.explode(found)).drop("_text")
 
 
 def search_pages(site: DataFrame, settings: SiteSettings) -> DataFrame:
@@ -233,8 +251,8 @@ def slug_winners(site: DataFrame) -> DataFrame:
 
 
 def published_articles(site: DataFrame) -> DataFrame:
-    """Site rows that keep their page. They are found by the unique `pos`, not by slug."""
-    return site.join(slug_winners(site).select("pos"), "pos", "left_semi")
+    """Site rows that keep their page: of articles with one slug the last in list order."""
+    return keep_last(site.withColumn("slug", slug(F.col("title"))), "slug", "pos").drop("slug")
 
 
 def article_pages(rows: DataFrame, site: DataFrame, settings: SiteSettings) -> DataFrame:

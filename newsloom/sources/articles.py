@@ -1,7 +1,7 @@
 """Article rows out of a document table and an event table.
 
-Derived text columns are projected before the join, so that only the columns a query uses are
-shuffled; the body goes along only where it is asked for.
+Derived text columns are projected before the join, and places are numbered on the narrow event
+side, so the wide document rows are shuffled at most once and only with the columns a query uses.
 """
 
 from __future__ import annotations
@@ -14,18 +14,54 @@ from newsloom.schemas import SITE_FIELDS
 
 AS_OF = "2024-01-03 12:00:00"
 
+# Columns of the given tables; a known schema saves the pass over the file footers.
+TABLES = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+
+
+def spread_scan(rows: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that has fewer tasks than the session has cores, as of a single small file.
+
+    Text work is heavy for its bytes, so a lone scan task would do it alone. A large table has
+    more scan tasks than cores and stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
 
+def event_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Topic, user, category and publication time of each document."""
+    return read_table(spark, folder, "events").select(
+        F.col("event_id").alias("doc_id"),
+        F.col("event_type").alias("topic"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("user"),
+        F.concat(F.lit("cat"), (F.col("user_id") % 5).cast("string")).alias("category"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("published_at"),
+    )
 
-def article_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """One article for each document, with author, topic, category and times of its event."""
+
+def queued_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Event facts of the documents with `pos`, the 0-based place of a document in its topic queue."""
+    ids = read_table(spark, folder, "documents").select("doc_id")
+    facts = event_facts(spark, folder).join(ids, "doc_id", "left_semi")
+    return number_rows(facts, "pos", span_of("doc_id"), ["doc_id"], ["topic"])
+
+
+def article_rows(spark: SparkSession, folder: str, facts: DataFrame | None = None) -> DataFrame:
+    """One article for each document, with the facts of its event."""
     lines = F.split("text", "\n", 4)
     title = F.substring(F.get(lines, F.lit(0)), 1, 120)
     bullet = [F.substring(F.coalesce(F.get(lines, F.lit(i)), F.lit("")), 1, 80) for i in (1, 2)]
     repeated = F.when(F.col("doc_id") % 10 == 9, F.col("doc_id") - 1).otherwise(F.col("doc_id"))
-    documents = read_table(spark, folder, "documents").select(
+    documents = spread_scan(read_table(spark, folder, "documents"), "doc_id").select(
         "doc_id",
         F.concat(F.lit("https://www.example.org/"), repeated.cast("string")).alias("url"),
         title.alias("title"),
@@ -37,28 +73,18 @@ def article_rows(spark: SparkSession, folder: str) -> DataFrame:
             F.lit("\n\n### Why it Matters\n- "), F.get(lines, F.lit(0)),
         ).alias("summary"),
     )
-    published = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    events = read_table(spark, folder, "events").select(
-        F.col("event_id").alias("doc_id"),
-        F.col("event_type").alias("topic"),
-        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("user"),
-        F.concat(F.lit("cat"), (F.col("user_id") % 5).cast("string")).alias("category"),
-        published.alias("published_at"),
-    )
-    joined = documents.join(events, "doc_id")
-    return joined.select(
-        "doc_id", "topic", "url", "title",
-        F.when(F.col("doc_id") % 11 != 0, F.col("user")).alias("author"),
-        "source_name", "lang", "category", "content", "summary", "published_at",
-        F.when(F.col("doc_id") % 97 == 0, F.lit(""))
+    joined = documents.join(event_facts(spark, folder) if facts is None else facts, "doc_id")
+    return joined.withColumns({
+        "author": F.when(F.col("doc_id") % 11 != 0, F.col("user")),
+        "processed_at": F.when(F.col("doc_id") % 97 == 0, F.lit(""))
         .when(F.col("doc_id") % 89 == 0, F.lit("not a date"))
-        .otherwise(F.col("published_at")).alias("processed_at"),
-    )
+        .otherwise(F.col("published_at")),
+    }).drop("user")
 
 
-def with_queue_position(articles: DataFrame) -> DataFrame:
-    """Add `pos`, the 0-based place of an article in its topic queue."""
-    return number_rows(articles, "pos", span_of("doc_id"), ["doc_id"], ["topic"])
+def queued_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles with their place `pos` in the topic queue."""
+    return article_rows(spark, folder, queued_facts(spark, folder))
 
 
 def site_rows(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ from newsloom.operators import corpus
 from newsloom.operators.interleave import dense_index, file_order, round_robin
 from newsloom.operators.selection import greedy_select, source_distribution
 from newsloom.session import settle
-from newsloom.sources.articles import AS_OF, article_rows, with_queue_position
+from newsloom.sources.articles import AS_OF, article_rows, event_facts, queued_articles, queued_facts, read_table
 from newsloom.sources.landing import envelope, flatten
 from registry.base import ARTICLES, NOW, QUEUED, query
 
@@ -18,17 +18,13 @@ PAGE = 100
 TOPICS = ("The", "that thin", "tion ing er", "Zyx")
 
 
-def queued_articles(spark: SparkSession, folder: str) -> DataFrame:
-    return with_queue_position(article_rows(spark, folder))
-
-
 def ranked_articles(spark: SparkSession, folder: str) -> DataFrame:
     """Selection input: a topic is a file, fetched at the time of its newest article."""
-    articles = queued_articles(spark, folder)
-    files = article_rows(spark, folder).groupBy(F.col("topic").alias("path")).agg(
+    facts = settle(queued_facts(spark, folder))
+    files = facts.groupBy(F.col("topic").alias("path")).agg(
         F.max("published_at").cast("timestamp").alias("fetch_ts")
     )
-    rows = articles.select(
+    rows = article_rows(spark, folder, facts).select(
         "doc_id", F.col("topic").alias("path"), "pos", clean(F.col("url")).alias("url"),
         clean(F.col("title")).alias("title"), clean(F.col("author")).alias("author"),
         or_default(F.col("source_name"), "Unknown").alias("source"),
@@ -119,7 +115,9 @@ SELECT topic || '/' || substr(published_at, 1, 10) AS path, max(published_at) AS
 FROM articles GROUP BY 1""")
 def landing_file_order(spark, folder):
     path = F.concat_ws("/", F.col("topic"), F.substring("published_at", 1, 10))
-    files = article_rows(spark, folder).groupBy(path.alias("path")).agg(
+    documents = read_table(spark, folder, "documents").select("doc_id")
+    facts = event_facts(spark, folder).join(documents, "doc_id", "left_semi")
+    files = facts.groupBy(path.alias("path")).agg(
         F.max("published_at").cast("timestamp").alias("fetch_ts")
     )
     fetched = F.date_format("fetch_ts", "yyyy-MM-dd'T'HH:mm:ss")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import gates, progress
 from newsloom.operators.numbering import number_rows, span_of
 from newsloom.session import settle
-from newsloom.sources.articles import article_rows, read_table, with_queue_position
+from newsloom.sources.articles import article_rows, queued_facts, read_table
 from newsloom.sources.store import summary_reports
 from registry.base import ARTICLES, QUEUED, query
 from registry.texts import CATEGORIES, CUT, GATE
@@ -42,9 +42,9 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
 
     The index follows `(pos, topic)`.
     """
-    queued = with_queue_position(article_rows(spark, folder))
     # Each topic has one row at a place, so a span of places is bounded whatever a topic holds.
-    indexed = number_rows(queued, "index", span_of("pos"), ["pos", "topic"])
+    facts = number_rows(queued_facts(spark, folder), "index", span_of("pos"), ["pos", "topic"])
+    indexed = article_rows(spark, folder, facts)
     answer = F.struct(F.col("summary").alias("value"), F.lit(None).cast("string").alias("error"))
     label = F.struct(F.col("category").alias("value"), F.lit(None).cast("string").alias("error"))
     staged = indexed.withColumn("source", F.col("source_name")).withColumn(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import markup, prompts, text, times
 from newsloom.operators.gates import content_outcome
-from newsloom.sources.articles import AS_OF, article_rows, read_table, site_rows
+from newsloom.sources.articles import AS_OF, article_rows, read_table, site_rows, spread_scan
 from registry.base import (
     ARTICLES, SITE, query, sql_day, sql_day_label, sql_excerpt, sql_html, sql_iso, sql_keywords, sql_plain,
     sql_short_date, sql_slug, sql_time, sql_title_key, NOW,
@@ -15,6 +15,10 @@ from registry.base import (
 CATEGORIES = ("cat0", "cat1", "cat2", "cat3")
 
 
+def pages(spark, folder):
+    return spread_scan(read_table(spark, folder, "pages"), "page_id")
+
+
 @query(ARTICLES + f" SELECT doc_id, {sql_title_key('title')} AS title_key FROM articles")
 def normalize_title(spark, folder):
     return article_rows(spark, folder).select("doc_id", text.normalize_title(F.col("title")).alias("title_key"))
@@ -83,12 +87,12 @@ def _escaped_sql(c: str, quote: str) -> str:
 
 @query(f"SELECT page_id, {_escaped_sql('html', '&#39;')} AS escaped FROM pages")
 def escape_html(spark, folder):
-    return read_table(spark, folder, "pages").select("page_id", markup.escape_html(F.col("html")).alias("escaped"))
+    return pages(spark, folder).select("page_id", markup.escape_html(F.col("html")).alias("escaped"))
 
 
 @query(f"SELECT page_id, {_escaped_sql('html', '&apos;')} AS escaped FROM pages")
 def escape_xml(spark, folder):
-    return read_table(spark, folder, "pages").select("page_id", markup.escape_xml(F.col("html")).alias("escaped"))
+    return pages(spark, folder).select("page_id", markup.escape_xml(F.col("html")).alias("escaped"))
 
 
 @query(ARTICLES + f""" SELECT doc_id, {sql_iso('processed_at')} AS iso,
@@ -173,7 +177,7 @@ def _page_text_sql() -> str:
 
 @query(_page_text_sql())
 def page_text(spark, folder):
-    return read_table(spark, folder, "pages").select("page_id", markup.page_text(F.col("html")).alias("text"))
+    return pages(spark, folder).select("page_id", markup.page_text(F.col("html")).alias("text"))
 
 
 MARKERS = ("track(", "SITE_URL")
@@ -186,7 +190,7 @@ MARKERS = ("track(", "SITE_URL")
     lambda s: contains(s, 'track(') OR contains(s, 'SITE_URL'))[1]) AS script
 FROM pages""")
 def page_assets(spark, folder):
-    return read_table(spark, folder, "pages").select(
+    return pages(spark, folder).select(
         "page_id", markup.page_style(F.col("html")).alias("style"),
         markup.page_script(F.col("html"), MARKERS).alias("script"),
     )
