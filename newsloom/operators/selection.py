@@ -102,7 +102,7 @@ def _decide_block(
         first = open_rows.agg(F.min("rank")).first()[0]
         if first is None or accepted.meets(goal, before=first):
             return accepted
-        winners = settle(_winners(open_rows, accepted.rows, source_limit))
+        winners = settle(_winners(open_rows, accepted, source_limit))
         size = measure(winners)
         accepted = accepted.plus(winners, size)
         open_rows = settle(_without_clashes(open_rows, winners, size, accepted, source_limit, key_rows))
@@ -114,7 +114,7 @@ def _exclusive_keys(source_limit: int | None) -> list[tuple[str, Column]]:
     return [(name, (F.col(name) != "") if name in ("title", "author") else F.lit(True)) for name in names]
 
 
-def _winners(open_rows: DataFrame, accepted: DataFrame, source_limit: int | None) -> DataFrame:
+def _winners(open_rows: DataFrame, accepted: _Accepted, source_limit: int | None) -> DataFrame:
     """Open rows that are the first open row of each of their keys and have a free source place."""
     keys = _exclusive_keys(source_limit)
     pairs = F.array_compact(
@@ -137,7 +137,7 @@ def _winners(open_rows: DataFrame, accepted: DataFrame, source_limit: int | None
     return open_rows.join(counted, "rank").where(F.col("votes") == needed).select(*_COLUMNS)
 
 
-def _free_places(open_rows: DataFrame, accepted: DataFrame, source_limit: int) -> DataFrame:
+def _free_places(open_rows: DataFrame, accepted: _Accepted, source_limit: int) -> DataFrame:
     """Ranks of open rows whose place in their source is within the places left."""
     slim = open_rows.select("source", "rank")
     if source_limit <= MAP_SIDE_CAP:
@@ -146,7 +146,9 @@ def _free_places(open_rows: DataFrame, accepted: DataFrame, source_limit: int) -
         placed = number_rows(slim, "place", span_of("rank", SPAN), ["rank"], ["source"]).withColumn(
             "place", F.col("place") + 1
         ).where(F.col("place") <= source_limit)
-    used = accepted.groupBy("source").agg(F.count("*").alias("used"))
+    if accepted.size.rows == 0:
+        return placed.select("rank")
+    used = accepted.rows.groupBy("source").agg(F.count("*").alias("used"))
     return (
         placed.join(used, "source", "left")
         .where(F.col("place") <= source_limit - F.coalesce("used", F.lit(0)))
@@ -161,7 +163,7 @@ def _without_clashes(
     for name, _ in _exclusive_keys(source_limit):
         taken = winners.select(name) if name == "source" else winners.select(name).where(F.col(name) != "")
         rows = _drop_keys(rows, taken, name, size, key_rows)
-    if source_limit is not None and source_limit > 1:
+    if source_limit is not None and 1 < source_limit <= accepted.size.rows:
         used = accepted.rows.groupBy("source").agg(F.count("*").alias("n"))
         full = used.where(F.col("n") >= source_limit).select("source")
         # The full sources are part of the accepted rows, so their size bounds them.
