@@ -70,7 +70,8 @@ def read_landing(spark: SparkSession, path: str) -> Landing:
     broken = F.col("_corrupt_record").isNotNull()
     return Landing(
         articles=flatten(documents.where(~broken)),
-        rejects=documents.where(broken).select("path", "topic", "fetch_ts", "_corrupt_record"),
+        # Spark wants a parsed column next to the text of a broken document.
+        rejects=documents.where(broken).select("path", "topic", "fetch_ts", "status", "_corrupt_record"),
     )
 
 

@@ -142,11 +142,15 @@ class Store:
         )
 
     def read_site_json(self, path: str) -> DataFrame:
-        """A site list kept as one JSON array, with its place in the array; empty if it is missing."""
+        """A site list kept as JSON arrays, with the place in the array; empty if it is missing.
+
+        This takes over an existing list once. A JSON array is read by one task, so the site itself
+        is kept as the Parquet table of `append_site`.
+        """
         numbered = "array<struct<" + ",".join(f"{f}:string" for f in schemas.SITE_FIELDS) + ">>"
 
         def read():
-            whole = self.spark.read.option("wholetext", True).text(path)
+            whole = self.spark.read.text(path, wholetext=True)
             return whole.select(F.posexplode(F.from_json("value", numbered)).alias("pos", "row")).select(
                 "row.*", F.lit(0).cast("bigint").alias("run_seq"), F.col("pos").cast("bigint").alias("pos")
             )
