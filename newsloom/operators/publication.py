@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import structured
-from newsloom.functions.markup import cdata, escape_xml, excerpt, markdown_to_html, strip_markdown
+from newsloom.functions.markup import cdata, escape_html, escape_xml, excerpt, markdown_to_html, strip_markdown
 from newsloom.functions.text import (
     counted, keyword_list, keywords, or_default, search_text, slug, word_count,
 )
@@ -30,6 +30,7 @@ SEARCH_QUERIES = (
     "ai", "artificial-intelligence", "machine-learning", "openai", "llm", "generative-ai",
     "cybersecurity", "cloud-computing", "python", "web-development",
 )
+SEARCH_FIELDS = ("title", "summary", "category", "source", "author")
 RELATED = 4
 PROBE = 64
 COLLECTION_PARTS = 10
@@ -123,20 +124,23 @@ def related_articles(site: DataFrame) -> DataFrame:
 
 
 def listing_rows(site: DataFrame, settings: SiteSettings) -> DataFrame:
-    """One card for each article and list page it is on: home, its category, its searches."""
-    home = site.select(F.lit("/").alias("page"), F.lit("Latest News").alias("label"), "*")
-    categories = site.where(F.col("category") != "").select(
-        category_path(F.col("category")).alias("page"), F.col("category").alias("label"), "*"
-    )
-    hits = search_hits(site, settings.queries)
-    searches = hits.select(
-        search_path(F.col("query")).alias("page"),
-        F.concat(F.lit('Search: "'), F.col("query"), F.lit('"')).alias("label"),
-        *site.columns,
-    )
-    rows = home.unionByName(categories).unionByName(searches)
-    return rows.select(
-        "page", "label", day_key(F.col("processed_at")).alias("day"), "pos",
+    """One card for each article and list page it is on: home, its category, its searches.
+
+    One scan: the pages of an article are an array that is exploded.
+    """
+    def listed(path: Column, label: Column) -> Column:
+        return F.struct(path.alias("page"), label.alias("label"))
+
+    pages = [listed(F.lit("/"), F.lit("Latest News"))]
+    pages.append(F.when(F.col("category") != "", listed(category_path(F.col("category")), F.col("category"))))
+    for query in settings.queries:
+        label = F.lit(f'Search: "{query}"')
+        pages.append(F.when(F.contains("_text", F.lit(query.lower())), listed(search_path(F.lit(query)), label)))
+    found = site.withColumn("_text", search_text(*[F.col(c) for c in SEARCH_FIELDS])).withColumn(
+        "_on", F.explode(F.array_compact(F.array(*pages)))
+    )
+    return found.select(
+        "_on.page", "_on.label", day_key(F.col("processed_at")).alias("day"), "pos",
         or_default(F.col("title"), "Untitled").alias("title"),
         or_default(F.col("category"), "News").alias("category"),
         or_default(F.col("author"), "Unknown").alias("author"),
@@ -151,7 +155,7 @@ def date_groups(rows: DataFrame, settings: SiteSettings, page: Sequence[str] = (
     Days order descending as text, so `unknown` comes first.
     """
     return rows.groupBy(*page, "day").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).select(
-        *page, "day", day_label(F.col("day"), settings.as_of).alias("label"), "n",
+        *page, "day", day_label(F.col("day"), settings.as_of).alias("day_label"), "n",
         counted(F.col("n")).alias("count_text"), "first_pos",
     ).orderBy(*page, F.desc("day"))
 
@@ -209,7 +213,7 @@ def search_hits(site: DataFrame, queries: Sequence[str]) -> DataFrame:
 
     The queries are a parameter, so one scan lowers each row once and tests them all; there is no join.
     """
-    fields = [F.col(c) for c in ("title", "summary", "category", "source", "author")]
+    fields = [F.col(c) for c in SEARCH_FIELDS]
     found = F.array_compact(F.array(*[
         F.when(F.contains("_text", F.lit(q.lower())), F.lit(q)) for q in queries
     ]))
@@ -346,6 +350,80 @@ def page_manifest(site: DataFrame, settings: SiteSettings) -> DataFrame:
     ).withColumn("canonical", F.concat(F.lit(settings.url), F.col("path")))
 
 
+# --- page bodies ----------------------------------------------------------------------------
+
+
+def article_bodies(pages: DataFrame, settings: SiteSettings) -> DataFrame:
+    """`(path, body)` of article pages: the columns of `article_pages` as HTML."""
+    def tag(name: str, value: Column, attributes: str = "") -> Column:
+        return F.concat(F.lit(f"<{name}{attributes}>"), escape_html(value), F.lit(f"</{name}>"))
+
+    def anchor(path: Column, label: Column) -> Column:
+        return F.concat(F.lit('<a href="'), escape_html(path), F.lit('">'), escape_html(label), F.lit("</a>"))
+
+    related = F.array_join(F.transform("related", lambda r: F.concat(
+        F.lit("<li>"), anchor(r["path"], r["title"]), F.lit(" "), tag("span", r["source"]), F.lit(" "),
+        F.lit('<time datetime="'), r["published"], F.lit('">'), r["shown_date"], F.lit("</time></li>"),
+    )), "\n")
+    return pages.select("path", F.concat_ws(
+        "\n",
+        F.concat(
+            F.lit(f'<nav><a href="/">{settings.name}</a> › '), anchor(F.col("category_path"), F.col("badge")),
+            F.lit(" › "), tag("span", F.col("trail_title")), F.lit("</nav>"),
+        ),
+        tag("p", F.col("badge"), ' class="badge"'),
+        tag("h1", F.col("headline"), ' class="article-title"'),
+        F.concat(
+            tag("address", F.col("byline")), tag("span", F.col("source")), F.lit('<time datetime="'),
+            F.col("published"), F.lit('">'), F.col("shown_date"), F.lit("</time>"),
+        ),
+        F.concat(F.lit('<div class="article-body">'), F.col("body_html"), F.lit("</div>")),
+        F.concat(F.lit('<p class="source">'), anchor(F.col("original_url"), F.lit("Read original")), F.lit("</p>")),
+        F.when(F.size("related") > 0, F.concat(F.lit('<ul class="related">'), related, F.lit("</ul>"))),
+    ).alias("body"))
+
+
+def list_page_lines(site: DataFrame, settings: SiteSettings) -> DataFrame:
+    """`(path, ord, line)`: list pages as ordered lines, so that a page may list any number of cards.
+
+    A page has its heading and total, then for each day, newest first, a day heading and its cards.
+    A search without hits has a message instead.
+    """
+    cards = listing_rows(site, settings)
+    groups = settle(date_groups(cards.select("page", "label", "day", "pos"), settings, ["page", "label"]))
+
+    def at(day: Column, part: int, pos: Column) -> Column:
+        # Days descend: the digits of a day are complemented, and `unknown` precedes them.
+        turned = F.when(day == "unknown", F.lit("")).otherwise(F.translate(day, "0123456789", "9876543210"))
+        return F.struct(turned.alias("day"), F.lit(part).alias("part"), pos.cast("bigint").alias("pos")).alias("ord")
+
+    top = F.lit(None).cast("string")
+    heading = groups.groupBy("page", "label").agg(F.sum("n").alias("n")).select(
+        F.col("page").alias("path"), at(top, 0, F.lit(0)),
+        F.concat(
+            F.lit("<h1>"), escape_html(F.col("label")), F.lit("</h1><p>"), counted(F.col("n")), F.lit("</p>")
+        ).alias("line"),
+    )
+    days = groups.select(
+        F.col("page").alias("path"), at(F.col("day"), 1, F.lit(0)),
+        F.concat(
+            F.lit("<h2>"), day_label(F.col("day"), settings.as_of), F.lit("</h2><p>"), F.col("count_text"), F.lit("</p>")
+        ).alias("line"),
+    )
+    items = cards.select(
+        F.col("page").alias("path"), at(F.col("day"), 2, F.col("pos")),
+        F.concat(
+            F.lit('<article><a href="'), F.col("path"), F.lit('">'), escape_html(F.col("title")), F.lit("</a> <span>"),
+            escape_html(F.col("category")), F.lit("</span> <span>"), escape_html(F.col("author")),
+            F.lit("</span> <span>"), escape_html(F.col("source")), F.lit("</span></article>"),
+        ).alias("line"),
+    )
+    none = search_pages(site, settings).where("n = 0").select(
+        "path", at(top, 0, F.lit(0)), F.concat(F.lit("<p>"), escape_html(F.col("message")), F.lit("</p>")).alias("line")
+    )
+    return heading.unionByName(days).unionByName(items).unionByName(none)
+
+
 # --- sitemaps and feed ----------------------------------------------------------------------
 
 

@@ -34,6 +34,9 @@ from newsloom.session import settle
 FIRST_BLOCK = 1 << 22
 BLOCK_GROWTH = 8
 
+# Rounds after which the accepted rows are written together, to keep plans short.
+MAX_PARTS = 16
+
 # Up to this cap Spark keeps only the first rows of a source in each map task.
 MAP_SIDE_CAP = 1_000
 
@@ -42,13 +45,17 @@ _COLUMNS = ("rank", "url", "title", "author", "source")
 
 @dataclass(frozen=True)
 class _Accepted:
-    """Accepted rows so far, with their measured size."""
+    """Accepted rows so far: a union of settled parts, with its measured size."""
 
     rows: DataFrame
     size: Size = field(default_factory=Size)
+    parts: int = 0
 
     def plus(self, rows: DataFrame, size: Size) -> _Accepted:
-        return _Accepted(self.rows.unionByName(rows), self.size + size)
+        union = self.rows.unionByName(rows) if self.parts else rows
+        if self.parts < MAX_PARTS:
+            return _Accepted(union, self.size + size, self.parts + 1)
+        return _Accepted(settle(union), self.size + size, 1)
 
     def meets(self, goal: int | None, before: int | None = None) -> bool:
         """Whether `goal` rows are accepted, counting those ahead of rank `before` only."""

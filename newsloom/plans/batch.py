@@ -12,7 +12,7 @@ from newsloom.operators.stages import StageMaker
 from newsloom.plans.curation import CANDIDATES, SOURCE_LIMIT, curate
 from newsloom.plans.enrichment import enrich_until
 from newsloom.session import settle
-from newsloom.sources.landing import require_articles
+from newsloom.sources.landing import article_columns, require_articles
 from newsloom.sources.store import Store
 
 # The default categories and success goal.
@@ -32,23 +32,30 @@ def run(
     candidate_goal: int = CANDIDATES,
     source_limit: int | None = SOURCE_LIMIT,
     success_goal: int = SUCCESS_GOAL,
+    resume: bool = False,
     **limits: int,
 ) -> bool:
     """Process one batch of flat landing articles; returns whether the success goal was reached.
 
-    `texts` gives the body text of a URL, one row for each `url`.
+    `texts` gives the body text of a URL, one row for each `url`. With `resume` the master list
+    and the results of a run that broke off are taken up; otherwise the run starts afresh.
     """
-    store.clear_run()
-    chosen = settle(curate(require_articles(landing), source_limit, candidate_goal))
-    originals = landing.select("path", "pos", "article")
-    store.write_master(chosen.join(originals, ["path", "pos"]), run_at, source_limit, candidate_goal)
-    if chosen.isEmpty():
+    if not resume:
+        store.clear_run()
+        chosen = settle(curate(require_articles(landing), source_limit, candidate_goal))
+        originals = landing.select("path", "pos", "article")
+        store.write_master(chosen.join(originals, ["path", "pos"]), run_at, source_limit, candidate_goal)
+    master = store.read_master().select("index", *article_columns("article"))
+    if master.isEmpty():
         return False
 
-    bodies = texts.select("url", "text")
-    candidates = chosen.join(bodies, "url", "left").withColumn("processed_at", F.lit(run_at))
-    results = settle(enrich_until(candidates, summarize, classify, categories, success_goal, **limits))
-    store.append_results(results)
+    candidates = settle(
+        master.join(texts.select("url", "text"), "url", "left").withColumn("processed_at", F.lit(run_at))
+    )
+    results = settle(enrich_until(
+        candidates, summarize, classify, categories, success_goal, store=store, **limits
+    ))
+    store.write_results(results)
     store.write_processed(results, success_goal, run_at)
     store.write_summaries(progress.numbered_successes(results))
 
@@ -56,6 +63,9 @@ def run(
         "run_at", F.lit(run_at)
     )
     store.append_history(history.run_entries(successes, categories), run_seq)
+    store.write_document(
+        "category_log.txt", history.report_lines(store.read_history()), F.col("line"), ["section", "ord"]
+    )
     store.append_site(new_site_rows(store, successes.withColumnRenamed("index", "pos"), run_seq), run_seq)
     return successes.count() >= success_goal
 
@@ -67,10 +77,19 @@ def new_site_rows(store: Store, batch: DataFrame, run_seq: int) -> DataFrame:
 
 
 def publish(store: Store, site: DataFrame, settings: publication.SiteSettings) -> None:
-    """Write all publication tables and documents of a site with unique list places `pos`."""
-    site = settle(site)
+    """Write all publication tables, pages and documents of a site table.
+
+    The list places are numbered from the order key `(run_seq desc, pos)`.
+    """
+    store.export_site_json(site)
+    placed = merging.list_position(site).drop("run_seq", "pos")
+    site = settle(placed.withColumnRenamed("position", "pos"))
     for name, table in publication_tables(site, settings).items():
         table.write.mode("overwrite").parquet(store.path(f"publish/{name}"))
+    published = publication.published_articles(site)
+    bodies = publication.article_bodies(publication.article_pages(published, site, settings), settings)
+    store.write_pages(bodies.select("path", F.lit(0).alias("ord"), F.col("body").alias("line")), "article_pages")
+    store.write_pages(publication.list_page_lines(site, settings), "list_pages")
     store.write_document(
         "sitemap.xml", publication.sitemap_urls(site, settings), publication.sitemap_entry(settings),
         ["class", "ord"], head=SITEMAP_HEAD, foot=URLSET_FOOT,

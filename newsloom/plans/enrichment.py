@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.prompts import label_prompt, summary_prompt
 from newsloom.operators import gates
-from newsloom.operators.progress import cut_at_goal
+from newsloom.operators.progress import cut_at_goal, remaining
 from newsloom.operators.stages import NO_CLASSIFIER, NO_SUMMARIZER, StageMaker, stage_answer
+from newsloom.schemas import RESULT
 from newsloom.session import settle
+from newsloom.sources.store import Store
 
 # Candidates of the first block for each success still wanted; blocks then grow.
 BLOCK_FACTOR = 4
@@ -58,24 +60,30 @@ def enrich_until(
     categories: Sequence[str],
     goal: int,
     first_block: int | None = None,
+    store: Store | None = None,
     **limits: int,
 ) -> DataFrame:
     """Results up to the success that meets the goal, with the stages run on few rows beyond it.
 
     Candidates carry a dense 0-based `index`. They are processed in blocks of consecutive indexes;
-    a block is settled before the next one starts, so nothing is sent to a model twice. The
-    outcome equals the goal cut over the results of all candidates.
+    a block is kept before the next one starts, so nothing is sent to a model twice. The outcome
+    equals the goal cut over the results of all candidates.
+
+    With a store the blocks are recorded there, and candidates it has results of are skipped, so
+    a run that broke off can be resumed.
     """
-    total = candidates.agg(F.max("index")).first()[0]
-    done = None
-    start, width = 0, first_block or max(BLOCK_FACTOR * goal, 1)
-    while total is not None and start <= total:
+    done = store.read_blocks() if store else candidates.sparkSession.createDataFrame([], RESULT)
+    if store:
+        candidates = remaining(candidates, done)
+    span = candidates.agg(F.min("index").alias("first"), F.max("index").alias("last")).first()
+    start, width = span["first"], first_block or max(BLOCK_FACTOR * goal, 1)
+    while start is not None and start <= span["last"] and done.where("success").count() < goal:
         block = candidates.where((F.col("index") >= start) & (F.col("index") < start + width))
-        results = settle(enrich(block, summarize, classify, categories, **limits))
-        done = results if done is None else done.unionByName(results)
-        if done.where("success").count() >= goal:
-            break
+        results = enrich(block, summarize, classify, categories, **limits)
+        if store:
+            store.write_block(results, start)
+            done = store.read_blocks()
+        else:
+            done = done.unionByName(settle(results))
         start, width = start + width, 2 * width
-    if done is None:
-        return enrich(candidates, None, None, categories, **limits)
     return cut_at_goal(done, goal)

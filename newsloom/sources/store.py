@@ -58,11 +58,12 @@ class Store:
 
     def clear_run(self) -> None:
         """Empty the tables of the previous run. Site and history are kept."""
-        for name, schema in (
-            ("master", schemas.MASTER), ("results", schemas.RESULT), ("processed", schemas.PROCESSED),
-        ):
-            writer = self.spark.createDataFrame([], schema).write.mode("overwrite")
-            writer.parquet(self.path(name)) if name == "results" else writer.json(self.path(name))
+        empty = self.spark.createDataFrame
+        empty([], schemas.MASTER).write.mode("overwrite").json(self.path("master"))
+        for name in ("progress", "results"):
+            empty([], schemas.RESULT).write.mode("overwrite").parquet(self.path(name))
+        empty([], schemas.PROCESSED).write.mode("overwrite").json(self.path("processed"))
+        empty([], "value string").write.mode("overwrite").text(self.path("summaries"))
 
     def write_master(self, selected: DataFrame, created_at: str, source_limit: int | None, goal: int) -> None:
         """Master envelope: the candidates in rank order, at most `goal` of them, with metadata."""
@@ -86,14 +87,24 @@ class Store:
             "index", F.col("index").cast("bigint")
         )
 
-    def append_results(self, results: DataFrame) -> None:
-        results.write.mode("append").parquet(self.path("results"))
+    def write_block(self, results: DataFrame, start: int) -> None:
+        """Record the results of one block of candidates. Repeating a block replaces its rows."""
+        results.write.mode("overwrite").parquet(self.path(f"progress/block={start}"))
+
+    def read_blocks(self) -> DataFrame:
+        """Results recorded so far in this run, also of candidates behind the goal."""
+        return self._results("progress")
+
+    def write_results(self, results: DataFrame) -> None:
+        results.write.mode("overwrite").parquet(self.path("results"))
 
     def read_results(self) -> DataFrame:
-        """Recorded results; empty if there are none."""
+        """Results of the last run; empty if there is none."""
+        return self._results("results")
+
+    def _results(self, name: str) -> DataFrame:
         return _or_empty(
-            self.spark, schemas.RESULT,
-            lambda: self.spark.read.schema(schemas.RESULT).parquet(self.path("results")),
+            self.spark, schemas.RESULT, lambda: self.spark.read.schema(schemas.RESULT).parquet(self.path(name))
         )
 
     def read_progress(self, path: str) -> DataFrame:
@@ -180,9 +191,14 @@ class Store:
         """Write head, the ordered body lines and foot as one document."""
         document_lines(body, line, order, head, foot).write.mode("overwrite").text(self.path(f"publish/{name}"))
 
-    def write_pages(self, pages: DataFrame, name: str = "pages") -> None:
-        """One folder for each page path; `pages` has `path` and the text `body`."""
-        pages.select("path", F.col("body").alias("value")).write.mode("overwrite").partitionBy("path").text(
+    def write_pages(self, lines: DataFrame, name: str) -> None:
+        """One folder for each page path, from `(path, ord, line)` rows.
+
+        Rows are dealt to tasks by ranges of `(path, ord)`, so a page of any length is written by
+        several tasks, and its part files are in line order.
+        """
+        ordered = lines.repartitionByRange("path", "ord").sortWithinPartitions("path", "ord")
+        ordered.select("path", F.col("line").alias("value")).write.mode("overwrite").partitionBy("path").text(
             self.path(f"publish/{name}")
         )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import gates, progress
 from newsloom.operators.numbering import number_rows, span_of
+from newsloom.plans.enrichment import enrich, enrich_until
 from newsloom.session import settle
 from newsloom.sources.articles import article_rows, queued_facts, read_table
 from newsloom.sources.store import summary_reports
@@ -43,8 +44,8 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
     The index follows `(pos, topic)`.
     """
     # Each topic has one row at a place, so a span of places is bounded whatever a topic holds.
-    facts = number_rows(queued_facts(spark, folder), "index", span_of("pos"), ["pos", "topic"])
-    indexed = article_rows(spark, folder, facts)
+    facts = settle(queued_facts(spark, folder))
+    indexed = article_rows(spark, folder, number_rows(facts, "index", span_of("pos"), ["pos", "topic"]))
     answer = F.struct(F.col("summary").alias("value"), F.lit(None).cast("string").alias("error"))
     label = F.struct(F.col("category").alias("value"), F.lit(None).cast("string").alias("error"))
     staged = indexed.withColumn("source", F.col("source_name")).withColumn(
@@ -117,6 +118,77 @@ def summary_report_files(spark, folder):
     return summary_reports(progress.numbered_successes(cut))
 
 
+def first_words():
+    """Summary stand-in: the start of the article part of the prompt; some articles get no answer."""
+    def run(texts):
+        bodies = [text.split("Article:\n", 1)[1][:-1] for text in texts]
+        return [ValueError("no answer") if len(body) % 7 == 0 else body[:80] for body in bodies]
+
+    return run
+
+
+def label_by_length():
+    """Label stand-in: a category by the length of the summary part of the prompt."""
+    def run(texts):
+        return [f" cat{len(text.split('Article summary:' + chr(10), 1)[1]) % 5}" for text in texts]
+
+    return run
+
+
+def stage_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return article_rows(spark, folder).select(
+        F.col("doc_id").alias("index"), "url", "title", F.col("source_name").alias("source"), "author",
+        F.col("content").alias("text"), "processed_at",
+    )
+
+
+STAGED = ARTICLES + f""", gated AS (
+  SELECT *, coalesce(author, 'Unknown') <> 'Unknown' AS known, {GATE} AS content_error, {CUT} AS kept FROM articles
+), asked AS (
+  SELECT *, known AND content_error IS NULL AS scraped,
+    CASE WHEN length(kept) < 100 THEN 'Input text too short to summarise (' || length(kept) || ' chars)'
+      WHEN length(kept) % 7 = 0 THEN 'ValueError: no answer'
+      WHEN length(trim(substr(kept, 1, 80), ' ' || chr(10))) < 50
+        THEN 'ValueError: Summary suspiciously short (' || length(trim(substr(kept, 1, 80), ' ' || chr(10))) || ' chars) — possible API issue'
+    END AS sum_error, trim(substr(kept, 1, 80), ' ' || chr(10)) AS sum_text
+  FROM gated
+), labelled AS (
+  SELECT *, 'cat' || CAST(length(sum_text) % 5 AS VARCHAR) AS label, scraped AND sum_error IS NULL AS summed FROM asked
+), results AS (
+  SELECT doc_id AS idx, url, coalesce(nullif(title, ''), 'Unknown') AS title, source_name AS source,
+    coalesce(author, 'Unknown') AS author, summed AND label IN {VALID} AS success,
+    CASE WHEN summed AND label IN {VALID} THEN label END AS category,
+    CASE WHEN scraped THEN kept END AS content, CASE WHEN summed THEN sum_text END AS summary,
+    CASE WHEN NOT known THEN 'No author' ELSE content_error END AS scrape_error,
+    CASE WHEN scraped THEN sum_error END AS summary_error,
+    CASE WHEN summed AND label NOT IN {VALID}
+      THEN 'Classified as ' || chr(39) || label || chr(39) || ' — not a valid category (must be one of: {LABELS})' END AS classify_error,
+    processed_at
+  FROM labelled
+), goal AS (
+  SELECT CASE WHEN count(*) >= {GOAL} THEN max(idx) END AS last
+  FROM (SELECT idx FROM results WHERE success ORDER BY idx LIMIT {GOAL})
+)"""
+
+
+@query(STAGED + ' SELECT idx AS "index", * EXCLUDE (idx) FROM results')
+def staged_enrichment(spark, folder):
+    return enrich(stage_candidates(spark, folder), first_words, label_by_length, CATEGORIES)
+
+
+@query(STAGED + """ SELECT idx AS "index", r.* EXCLUDE (idx) FROM results r, goal
+WHERE r.idx <= coalesce(goal.last, 9223372036854775807)""")
+def enrichment_until_goal(spark, folder):
+    return enrich_until(stage_candidates(spark, folder), first_words, label_by_length, CATEGORIES, GOAL)
+
+
+@query(STAGED + """ SELECT idx AS "index", scrape_error, CASE WHEN scrape_error IS NULL THEN
+  CASE WHEN length(content) < 100 THEN summary_error ELSE 'Summary stage not available' END END AS summary_error FROM results""")
+def unavailable_stage(spark, folder):
+    rows = enrich(stage_candidates(spark, folder), None, None, CATEGORIES)
+    return rows.select("index", "scrape_error", "summary_error")
+
+
 @query(ARTICLES + """, latest AS (
   SELECT *, row_number() OVER (PARTITION BY url ORDER BY doc_id DESC) AS r FROM articles
 ) SELECT url, doc_id, title, category FROM latest WHERE r = 1""")

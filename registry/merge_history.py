@@ -109,6 +109,11 @@ def category_totals(spark, folder):
     return history.category_totals(run_history(spark, folder))
 
 
+@query(RUNS + """ SELECT category, min(run_seq) AS run_seq, any_value(ord) AS ord FROM counts GROUP BY category""")
+def categories_first_seen(spark, folder):
+    return history.all_categories(run_history(spark, folder))
+
+
 @query(RUNS + """, totals AS (SELECT ord, category, sum(n)::BIGINT AS n FROM counts GROUP BY ALL), report AS (
   SELECT -4611686018427387904 AS section, p AS part, 0 AS a, line FROM (VALUES (0, repeat('═', 62)),
     (1, '  CUMULATIVE CATEGORY TOTALS  (all runs)'), (2, repeat('═', 62)), (4, repeat('─', 62)), (6, repeat('═', 62)), (7, '')) v(p, line)

@@ -56,7 +56,7 @@ def slug_collisions(spark, folder):
 
 
 @query(SITE + f""", days AS (SELECT pos, {sql_day('processed_at')} AS day FROM site)
-SELECT day, {sql_day_label('day')} AS label, count(*) AS n, {COUNTED.format(n='count(*)')} AS count_text, min(pos) AS first_pos
+SELECT day, {sql_day_label('day')} AS day_label, count(*) AS n, {COUNTED.format(n='count(*)')} AS count_text, min(pos) AS first_pos
 FROM days GROUP BY day""")
 def date_groups(spark, folder):
     days = site(spark, folder).select("pos", day_key(F.col("processed_at")).alias("day"))
@@ -80,12 +80,30 @@ def list_page_cards(spark, folder):
 
 
 @query(LISTING + f"""
-SELECT page, day, {sql_day_label('day')} AS label, count(*) AS n, {COUNTED.format(n='count(*)')} AS count_text, min(pos) AS first_pos
+SELECT page, day, {sql_day_label('day')} AS day_label, count(*) AS n, {COUNTED.format(n='count(*)')} AS count_text, min(pos) AS first_pos
 FROM listing GROUP BY page, day""")
 def page_counts(spark, folder):
     return pub.date_groups(pub.listing_rows(site(spark, folder), SETTINGS), SETTINGS, ["page"])
 
 
+def _html(c: str) -> str:
+    return (
+        f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), "
+        f"chr(39), '&#39;')"
+    )
+
+
+@query(LISTING + f""", totals AS (SELECT page, label, count(*) AS n FROM listing GROUP BY ALL),
+days AS (SELECT page, day, count(*) AS n FROM listing GROUP BY ALL)
+SELECT page AS path, '<h1>' || {_html('label')} || '</h1><p>' || {COUNTED.format(n='n')} || '</p>' AS line FROM totals
+UNION ALL SELECT page, '<h2>' || {sql_day_label('day')} || '</h2><p>' || {COUNTED.format(n='n')} || '</p>' FROM days
+UNION ALL SELECT page, '<article><a href="' || path || '">' || {_html('title')} || '</a> <span>' || {_html('category')}
+  || '</span> <span>' || {_html('author')} || '</span> <span>' || {_html('source')} || '</span></article>' FROM listing
+UNION ALL SELECT path, '<p>' || {_html('message')} || '</p>' FROM search_rows WHERE n = 0""")
+def list_page_documents(spark, folder):
+    return pub.list_page_lines(site(spark, folder), SETTINGS).select("path", "line")
+
+
 RELATED = SITE + """, pairs AS (
   SELECT a.pos, a.category, b.pos AS related_pos, b.url AS related_url, b.title AS related_title, b.source AS related_source,
     b.processed_at AS related_processed, row_number() OVER (PARTITION BY a.pos ORDER BY b.pos) AS place

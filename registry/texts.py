@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import markup, prompts, text, times
-from newsloom.operators.gates import content_outcome
+from newsloom.operators.gates import NO_TEXT, content_outcome
 from newsloom.sources.articles import AS_OF, article_rows, read_table, site_rows, spread_scan
 from registry.base import (
     ARTICLES, SITE, query, sql_day, sql_day_label, sql_excerpt, sql_html, sql_iso, sql_keywords, sql_plain,
@@ -180,6 +180,16 @@ def page_text(spark, folder):
     return pages(spark, folder).select("page_id", markup.page_text(F.col("html")).alias("text"))
 
 
+@query(f"""WITH texts AS ({_page_text_sql()}),
+gated AS (SELECT page_id, text AS content FROM texts)
+SELECT page_id, CASE WHEN content = '' THEN '{NO_TEXT}' ELSE {GATE} END AS error,
+  CASE WHEN content <> '' AND {GATE} IS NULL THEN {CUT} END AS kept FROM gated""")
+def page_content_gate(spark, folder):
+    rows = pages(spark, folder).select("page_id", "url", markup.page_text(F.col("html")).alias("text"))
+    gated = rows.withColumn("stage", content_outcome(F.col("url"), F.col("text")))
+    return gated.select("page_id", F.col("stage.error").alias("error"), F.col("stage.value").alias("kept"))
+
+
 MARKERS = ("track(", "SITE_URL")
 
 

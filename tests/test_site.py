@@ -100,7 +100,7 @@ def test_search_has_no_hit_across_fields(spark):
 def test_date_groups_put_unknown_first(spark):
     rows = site(spark, [{"processed_at": d} for d in ("2024-01-03T01:00:00", "x", "2024-01-01", "2024-01-03")])
     days = rows.withColumn("day", F.when(F.col("processed_at") == "x", "unknown").otherwise(F.substring("processed_at", 1, 10)))
-    got = [(r["day"], r["label"], r["count_text"]) for r in pub.date_groups(days, SETTINGS).collect()]
+    got = [(r["day"], r["day_label"], r["count_text"]) for r in pub.date_groups(days, SETTINGS).collect()]
     assert got == [
         ("unknown", "Unknown date", "1 article"), ("2024-01-03", "Today", "2 articles"),
         ("2024-01-01", "Monday, January 1, 2024", "1 article"),

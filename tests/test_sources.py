@@ -118,6 +118,8 @@ def test_batch_run_end_to_end(spark, folder, tmp_path):
             open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{store.path('publish/' + name)}/part-*"))
         )
         assert xml.dom.minidom.parseString(text)
+    page = "\n".join(page_lines(store, "article_pages", "/article/title-4"))
+    assert "<h1 class=\"article-title\">Title 4</h1>" in page and "/article/title-1" in page and "<strong>Lead</strong>" in page
     manifest = spark.read.parquet(store.path("publish/manifest"))
     assert {r["path"]: r["robots"] for r in manifest.collect()} == {
         "/": "index, follow", "/category/cybersecurity": "index, follow", "/search/breach": "index, follow",
@@ -175,9 +177,53 @@ def test_landing_pages_round_trip(spark, tmp_path):
     ]
 
 
-def test_pages_and_numbered_summaries(spark, tmp_path):
+def page_lines(store, name, path):
+    folder = f"{store.path('publish/' + name)}/path={path.replace('/', '%2F')}"
+    return [line for f in sorted(glob.glob(folder + "/part-*")) for line in open(f, encoding="utf-8").read().splitlines()]
+
+
+def test_resume_takes_up_recorded_results(spark, folder, tmp_path):
+    """Results recorded before a break are kept and not asked for again."""
+    store = Store(spark, str(tmp_path / "store"))
+    articles = landing.read_landing(spark, folder).articles
+    texts = spark.createDataFrame(
+        [(f"https://x.org/{n}", "data breach " * 30) for n in (1, 2, 4, 5)], "url string, text string"
+    )
+    chosen = curate(articles, 1, 4)
+    store.clear_run()
+    store.write_master(chosen.join(articles.select("path", "pos", "article"), ["path", "pos"]), "now", 1, 4)
+    done = spark.createDataFrame([(0, "u", "T", "s", "a", True, "Cybersecurity", "c", "kept", None, None, None, "before")],
+                                 store.read_results().schema)
+    store.write_block(done, 0)
+    batch.run(store, articles, texts, lead_summary, keyword_label, 1, "after", success_goal=9, resume=True,
+              min_content=150, chunk=1000)
+    got = store.read_results().orderBy("index").collect()
+    assert [(r["index"], r["processed_at"]) for r in got] == [(0, "before"), (1, "after"), (2, "after"), (3, "after")]
+    log = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(store.path("publish/category_log.txt") + "/part-*")))
+    assert "Run  after   (3 successes)" in log
+
+
+def test_list_pages_keep_day_and_list_order(spark, tmp_path):
     store = Store(spark, str(tmp_path))
-    store.write_pages(spark.createDataFrame([("article/a", "<p>1</p>"), ("search/b", "<p>2</p>")], "path string, body string"))
-    assert len(glob.glob(store.path("publish/pages") + "/path=*")) == 2
+    fields = ("pos", "title", "category", "processed_at")
+    days = ["2024-01-01", "bad", "2024-01-03", "2024-01-01", "2024-01-02"]
+    rows = spark.createDataFrame([(i, f"T{i}", "A & B", d) for i, d in enumerate(days)], ", ".join(
+        f"{f} {'bigint' if f == 'pos' else 'string'}" for f in fields))
+    for missing in ("summary", "author", "source", "url"):
+        rows = rows.withColumn(missing, F.lit(""))
+    settings = pub.SiteSettings(as_of="2024-01-03 12:00:00", queries=("t1", "zzz"))
+    store.write_pages(pub.list_page_lines(rows, settings), "list_pages")
+    home = page_lines(store, "list_pages", "/")
+    assert home[0] == "<h1>Latest News</h1><p>5 articles</p>"
+    assert [x.split("</h2>")[0] if x.startswith("<h2>") else x.split('"')[1] for x in home[1:]] == [
+        "<h2>Unknown date", "/article/t1", "<h2>Today", "/article/t2", "<h2>Yesterday", "/article/t4",
+        "<h2>Monday, January 1, 2024", "/article/t0", "/article/t3",
+    ]
+    assert page_lines(store, "list_pages", "/category/a-b")[0] == "<h1>A &amp; B</h1><p>5 articles</p>"
+    assert len(page_lines(store, "list_pages", "/search/t1")) == 3
+    assert page_lines(store, "list_pages", "/search/zzz") == ["<p>No articles match &quot;zzz&quot;.</p>"]
+
+
+def test_numbered_summaries(spark):
     rows = spark.range(4).select(F.col("id").alias("index"), (F.col("id") != 1).alias("success"))
     assert [(r["index"], r["number"]) for r in numbered_successes(rows).orderBy("index").collect()] == [(0, 1), (2, 2), (3, 3)]
