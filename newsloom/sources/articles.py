@@ -61,7 +61,7 @@ def article_rows(spark: SparkSession, folder: str, facts: DataFrame | None = Non
     title = F.substring(F.get(lines, F.lit(0)), 1, 120)
     bullet = [F.substring(F.coalesce(F.get(lines, F.lit(i)), F.lit("")), 1, 80) for i in (1, 2)]
     repeated = F.when(F.col("doc_id") % 10 == 9, F.col("doc_id") - 1).otherwise(F.col("doc_id"))
-    documents = spread_scan(read_table(spark, folder, "documents"), "doc_id").select(
+    documents = read_table(spark, folder, "documents").select(
         "doc_id",
         F.concat(F.lit("https://www.example.org/"), repeated.cast("string")).alias("url"),
         title.alias("title"),
@@ -73,7 +73,8 @@ def article_rows(spark: SparkSession, folder: str, facts: DataFrame | None = Non
             F.lit("\n\n### Why it Matters\n- "), F.get(lines, F.lit(0)),
         ).alias("summary"),
     )
-    joined = documents.join(event_facts(spark, folder) if facts is None else facts, "doc_id")
+    facts = event_facts(spark, folder) if facts is None else facts
+    joined = spread_scan(documents, "doc_id").join(facts, "doc_id")
     return joined.withColumns({
         "author": F.when(F.col("doc_id") % 11 != 0, F.col("user")),
         "processed_at": F.when(F.col("doc_id") % 97 == 0, F.lit(""))
