@@ -20,6 +20,7 @@ MIN_SUMMARY = 50
 
 NO_AUTHOR = "No author"
 NO_URL = "Article has no URL"
+NO_CONTENT = "ValueError: No content returned — possible network issue or bot block"
 NO_TEXT = "ValueError: No text extracted — article is likely paywalled or empty"
 EMPTY_SUMMARY = "Empty summary passed to classifier"
 
@@ -41,11 +42,14 @@ def has_known_author(author: Column) -> Column:
 
 
 def content_outcome(url: Column, text: Column, min_length: int = MIN_CONTENT, chunk: int = REPEAT_CHUNK) -> Column:
-    """Body text gate. The length is tested before the repeated block is cut."""
-    text = F.coalesce(text, F.lit(""))
+    """Body text gate; a null text stands for a page that could not be had.
+
+    The length is tested before the repeated block is cut.
+    """
     return outcome(
         cut_repeated_block(text, chunk),
         (clean(url) == "", NO_URL),
+        (text.isNull(), NO_CONTENT),
         (text == "", NO_TEXT),
         (
             F.length(text) < min_length,

@@ -19,17 +19,29 @@ TOTALS_HEADING = "  CUMULATIVE CATEGORY TOTALS  (all runs)"
 TOTAL_LABEL = "TOTAL (valid categories)"
 
 
-def run_entries(successes: DataFrame, categories: Sequence[str], run: Sequence[str] = ("run_seq", "run_at")) -> DataFrame:
-    """History row of each run. Categories without a success count zero; other labels are ignored."""
-    counts = [F.count_if(F.col("category") == name).alias(f"n{i}") for i, name in enumerate(categories)]
+def _category_counts(categories: Sequence[str]) -> list[Column]:
+    return [F.count_if(F.col("category") == name).alias(f"n{i}") for i, name in enumerate(categories)]
+
+
+def _entry_columns(categories: Sequence[str]) -> list[Column]:
     names = F.array(*[F.lit(name) for name in categories])
-    return (
-        successes.groupBy(*run).agg(F.count("*").alias("total_successes"), *counts)
-        .select(
-            *run, "total_successes", names.alias("categories"),
-            F.map_from_arrays(names, F.array(*[f"n{i}" for i in range(len(categories))])).alias("category_counts"),
-        )
-    )
+    counted = F.array(*[f"n{i}" for i in range(len(categories))])
+    return [names.alias("categories"), F.map_from_arrays(names, counted).alias("category_counts")]
+
+
+def run_entries(successes: DataFrame, categories: Sequence[str], run: Sequence[str] = ("run_seq", "run_at")) -> DataFrame:
+    """History row of each run that has successes.
+
+    Categories without a success count zero; other labels are ignored.
+    """
+    counted = successes.groupBy(*run).agg(F.count("*").alias("total_successes"), *_category_counts(categories))
+    return counted.select(*run, "total_successes", *_entry_columns(categories))
+
+
+def run_entry(successes: DataFrame, categories: Sequence[str], run_at: str) -> DataFrame:
+    """History row of one run, also of one without any success."""
+    counted = successes.agg(F.count("*").alias("total_successes"), *_category_counts(categories))
+    return counted.select(F.lit(run_at).alias("run_at"), "total_successes", *_entry_columns(categories))
 
 
 def declared_categories(history: DataFrame) -> Column:

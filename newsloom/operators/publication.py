@@ -123,6 +123,26 @@ def related_articles(site: DataFrame) -> DataFrame:
 # --- listings -------------------------------------------------------------------------------
 
 
+def with_category_page(site: DataFrame) -> DataFrame:
+    """Add `category_page`, the path of the row's category page.
+
+    It is null for an empty category, and for one whose page is replaced by a later category with
+    the same slug.
+    """
+    path = F.when(F.col("category") != "", category_path(F.col("category")))
+    names = settle(site.where(F.col("category") != "").groupBy("category").agg(F.count("*").alias("n")))
+    named = names.withColumn("slug", slug(F.col("category")))
+    last = named.groupBy("slug").agg(F.max("category").alias("category"), F.count("*").alias("n")).where("n > 1")
+    replaced = settle(
+        named.join(last.select("slug"), "slug", "left_semi").join(last.select("category"), "category", "left_anti")
+        .select("category", F.lit(True).alias("_replaced"))
+    )
+    if replaced.isEmpty():
+        return site.withColumn("category_page", path)
+    marked = sized_join(site, replaced, "category", "left", ["pos"])
+    return marked.withColumn("category_page", F.when(F.col("_replaced").isNull(), path)).drop("_replaced")
+
+
 def listing_rows(site: DataFrame, settings: SiteSettings) -> DataFrame:
     """One card for each article and list page it is on: home, its category, its searches.
 
@@ -132,11 +152,12 @@ def listing_rows(site: DataFrame, settings: SiteSettings) -> DataFrame:
         return F.struct(path.alias("page"), label.alias("label"))
 
     pages = [listed(F.lit("/"), F.lit("Latest News"))]
-    pages.append(F.when(F.col("category") != "", listed(category_path(F.col("category")), F.col("category"))))
+    pages.append(F.when(F.col("category_page").isNotNull(), listed(F.col("category_page"), F.col("category"))))
     for query in settings.queries:
         label = F.lit(f'Search: "{query}"')
         pages.append(F.when(F.contains("_text", F.lit(query.lower())), listed(search_path(F.lit(query)), label)))
-    found = site.withColumn("_text", search_text(*[F.col(c) for c in SEARCH_FIELDS])).withColumn(
+    text = search_text(*[F.col(c) for c in SEARCH_FIELDS])
+    found = with_category_page(site).withColumn("_text", text).withColumn(
         "_on", F.explode(F.array_compact(F.array(*pages)))
     )
     return found.select(
@@ -181,16 +202,16 @@ def category_pages(site: DataFrame, settings: SiteSettings) -> DataFrame:
 
 def collection_parts(site: DataFrame) -> DataFrame:
     """First COLLECTION_PARTS articles of the home page (path `/`) and of each category page."""
-    card = site.select(
-        "pos", "category", or_default(F.col("title"), "Untitled").alias("headline"),
+    card = with_category_page(site).select(
+        "pos", "category", "category_page", or_default(F.col("title"), "Untitled").alias("headline"),
         article_path(F.col("title")).alias("path"),
     )
     home = card.orderBy("pos").limit(COLLECTION_PARTS).select(
         F.lit("/").alias("page"), F.lit("Latest News").alias("label"), "pos", "headline", "path"
     )
-    first = leading_per_group(card.where(F.col("category") != ""), COLLECTION_PARTS, ["category"], ["pos"])
+    first = leading_per_group(card.where(F.col("category_page").isNotNull()), COLLECTION_PARTS, ["category"], ["pos"])
     return home.unionByName(first.select(
-        category_path(F.col("category")).alias("page"), F.col("category").alias("label"), "pos", "headline", "path"
+        F.col("category_page").alias("page"), F.col("category").alias("label"), "pos", "headline", "path"
     ))
 
 
@@ -244,6 +265,20 @@ def search_pages(site: DataFrame, settings: SiteSettings) -> DataFrame:
     )
 
 
+def list_breadcrumbs(site: DataFrame, settings: SiteSettings) -> DataFrame:
+    """Breadcrumb JSON-LD of each list page: the home page, and home followed by the page itself."""
+    def trail(names: list[Column], paths: list[Column]) -> Column:
+        start = F.lit(settings.name), F.lit("/")
+        return structured.breadcrumb_ld([start[0], *names], [start[1], *paths], settings.url).alias("breadcrumb_ld")
+
+    home = site.sparkSession.createDataFrame([("/",)], "path string").select("path", trail([], []))
+    categories = category_pages(site, settings).select("path", trail([F.col("category")], [F.col("path")]))
+    label = F.concat(F.lit('Search: "'), F.col("query"), F.lit('"'))
+    queries = site.sparkSession.createDataFrame([(q,) for q in settings.queries], "query string")
+    searches = queries.withColumn("path", search_path(F.col("query"))).select("path", trail([label], [F.col("path")]))
+    return home.unionByName(categories).unionByName(searches)
+
+
 # --- article pages --------------------------------------------------------------------------
 
 
@@ -325,9 +360,11 @@ def page_manifest(site: DataFrame, settings: SiteSettings) -> DataFrame:
     categories = category_pages(site, settings).select(
         "path", F.lit("category").alias("kind"), "title", "description", indexed
     )
-    searches = search_pages(site, settings).select(
-        "path", F.lit("search").alias("kind"), "title", "description", "robots"
+    # Of queries with one slug the last page stays.
+    last = search_pages(site, settings).groupBy("path").agg(
+        F.max(F.struct("ord", "title", "description", "robots")).alias("page")
     )
+    searches = last.select("path", F.lit("search").alias("kind"), "page.title", "page.description", "page.robots")
     published = iso_instant(F.col("processed_at"), settings.as_of)
     articles = published_articles(site).select(
         article_path(F.col("title")).alias("path"),

@@ -30,8 +30,11 @@ from newsloom.operators.joins import KEY_ROWS, Size, measure, spread_join
 from newsloom.operators.numbering import SPAN, leading_per_group, leading_rows, number_rows, span_of
 from newsloom.session import settle
 
-# Ranks that the first block spans, and the factor by which the following blocks grow.
+# Ranks that the first block spans, and the factor by which the following blocks grow. With a
+# goal the first block is smaller: GOAL_RANKS ranks for each wanted row, but at least MIN_BLOCK.
 FIRST_BLOCK = 1 << 22
+MIN_BLOCK = 1 << 16
+GOAL_RANKS = 64
 BLOCK_GROWTH = 8
 
 # Rounds after which the accepted rows are written together, to keep plans short.
@@ -68,7 +71,7 @@ def greedy_select(
     rows: DataFrame,
     source_limit: int | None = None,
     goal: int | None = None,
-    first_block: int = FIRST_BLOCK,
+    first_block: int | None = None,
     key_rows: int = KEY_ROWS,
 ) -> DataFrame:
     """Rows `(rank, url, title, author, source)` accepted by the sequential rule, up to `goal`.
@@ -84,6 +87,8 @@ def greedy_select(
     rows = rows.select(*_COLUMNS).where(F.col("url") != "")
     last = rows.agg(F.max("rank")).first()[0]
     accepted = _Accepted(rows.sparkSession.createDataFrame([], rows.schema))
+    if first_block is None:
+        first_block = FIRST_BLOCK if goal is None else min(max(GOAL_RANKS * goal, MIN_BLOCK), FIRST_BLOCK)
     start, width = 0, first_block
     while last is not None and start <= last and not accepted.meets(goal):
         block = rows.where((F.col("rank") >= start) & (F.col("rank") < start + width))

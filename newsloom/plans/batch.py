@@ -12,7 +12,7 @@ from newsloom.operators.stages import StageMaker
 from newsloom.plans.curation import CANDIDATES, SOURCE_LIMIT, curate
 from newsloom.plans.enrichment import enrich_until
 from newsloom.session import settle
-from newsloom.sources.landing import article_columns, require_articles
+from newsloom.sources.landing import candidate_columns, require_articles
 from newsloom.sources.store import Store
 
 # The default categories and success goal.
@@ -45,7 +45,7 @@ def run(
         chosen = settle(curate(require_articles(landing), source_limit, candidate_goal))
         originals = landing.select("path", "pos", "article")
         store.write_master(chosen.join(originals, ["path", "pos"]), run_at, source_limit, candidate_goal)
-    master = store.read_master().select("index", *article_columns("article"))
+    master = store.read_master().select("index", *candidate_columns("article"))
     if master.isEmpty():
         return False
 
@@ -59,10 +59,8 @@ def run(
     store.write_processed(results, success_goal, run_at)
     store.write_summaries(progress.numbered_successes(results))
 
-    successes = results.where("success").withColumn("run_seq", F.lit(run_seq).cast("bigint")).withColumn(
-        "run_at", F.lit(run_at)
-    )
-    store.append_history(history.run_entries(successes, categories), run_seq)
+    successes = results.where("success")
+    store.append_history(history.run_entry(successes, categories, run_at), run_seq)
     store.write_document(
         "category_log.txt", history.report_lines(store.read_history()), F.col("line"), ["section", "ord"]
     )

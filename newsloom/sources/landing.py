@@ -56,6 +56,16 @@ def article_columns(item: str) -> list[Column]:
     ]
 
 
+def candidate_columns(item: str) -> list[Column]:
+    """Columns of a candidate. Title and author stay as they are, so white space alone is a value."""
+    return [
+        clean(F.col(f"{item}.url")).alias("url"),
+        F.col(f"{item}.title").alias("title"),
+        F.col(f"{item}.author").alias("author"),
+        source_name(F.col(f"{item}.source")).alias("source"),
+    ]
+
+
 def flatten(documents: DataFrame, keep: tuple[str, ...] = ("path", "topic", "fetch_ts")) -> DataFrame:
     """One row for each article with its place in the document; empty or missing lists give none."""
     items = documents.select(*keep, F.posexplode("articles").alias("pos", "article"))

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from newsloom.functions.text import url_key
 from newsloom.functions.times import is_recent
 from newsloom.plans.batch import new_site_rows
+from newsloom.session import settle
 from newsloom.sources.landing import flatten, json_documents
 from newsloom.sources.store import Store
 
@@ -70,7 +71,8 @@ def merge_into(store: Store, rows: DataFrame, checkpoint: str) -> StreamingQuery
     crash adds nothing twice.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        store.append_site(new_site_rows(store, batch, batch_id), batch_id)
+        # The rows are read several times; settle them so that the files are parsed once.
+        store.append_site(new_site_rows(store, settle(batch), batch_id), batch_id)
 
     return _start(rows, checkpoint, "append", merge)
 

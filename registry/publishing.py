@@ -201,6 +201,22 @@ def breadcrumb_jsonld(spark, folder):
     return pub.article_documents(site(spark, folder), SETTINGS).select("pos", "breadcrumb_ld")
 
 
+def _trail(name: str, path: str) -> str:
+    return (
+        f"CAST(json_object('@context', 'https://schema.org', '@type', 'BreadcrumbList', 'itemListElement', json_array("
+        f"json_object('@type', 'ListItem', 'position', 1, 'name', '{NAME}', 'item', '{URL}/'), "
+        f"json_object('@type', 'ListItem', 'position', 2, 'name', {name}, 'item', '{URL}' || {path}))) AS VARCHAR)"
+    )
+
+
+@query(SEARCHED + f""" SELECT '/' AS path, CAST(json_object('@context', 'https://schema.org', '@type', 'BreadcrumbList',
+  'itemListElement', json_array(json_object('@type', 'ListItem', 'position', 1, 'name', '{NAME}', 'item', '{URL}/'))) AS VARCHAR) AS breadcrumb_ld
+UNION ALL SELECT path, {_trail('category', 'path')} FROM cats
+UNION ALL SELECT path, {_trail("'Search: " + '"' + "' || query || '" + '"' + "'", 'path')} FROM search_rows""")
+def list_breadcrumb_jsonld(spark, folder):
+    return pub.list_breadcrumbs(site(spark, folder), SETTINGS)
+
+
 MANIFEST = SEARCHED + f""", winners AS (
   SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY {sql_slug('title')} ORDER BY pos DESC) AS r FROM site) WHERE r = 1
 ), manifest AS (

@@ -26,14 +26,14 @@ def test_each_row_ends_in_one_place(spark):
     rows = candidates(
         spark, {}, {"author": None}, {"author": "Unknown"}, {"url": " "}, {"text": None}, {"text": "x" * 149},
         {"text": "boom " * 40}, {"text": "tiny " * 40}, {"text": "odd breac " * 30}, {"text": "plain " * 40},
-        {"title": None, "source": ""}, {"author": " "},
+        {"title": None, "source": ""}, {"author": " "}, {"text": ""},
     )
     got = {r["index"]: r for r in enrich(rows, lead_summary, keyword_label, CATEGORIES, **LIMITS).collect()}
     error = {i: r["scrape_error"] or r["summary_error"] or r["classify_error"] for i, r in got.items()}
     assert [i for i, r in got.items() if r["success"]] == [0, 10, 11]
     assert got[0]["category"] == "Cybersecurity" and got[0]["summary"].startswith("**Lead** data breach")
     assert error[1] == error[2] == "No author" and got[1]["author"] == "Unknown" and got[1]["content"] is None
-    assert error[3] == gates.NO_URL and error[4] == gates.NO_TEXT
+    assert error[3] == gates.NO_URL and error[4] == gates.NO_CONTENT and error[12] == gates.NO_TEXT
     assert error[5] == "ValueError: Content too short (149 chars, minimum is 150)"
     assert error[6] == "RuntimeError: no answer" and got[6]["content"] and got[6]["summary"] is None
     assert error[7] == "ValueError: Summary suspiciously short (5 chars) — possible API issue"

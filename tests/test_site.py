@@ -86,6 +86,10 @@ def test_category_slug_collision_and_defaults(spark):
     page = pub.category_pages(rows, SETTINGS).collect()
     assert [(r["category"], r["n"], r["n_categories"]) for r in page] == [("A!", 1, 2)]
     assert {r["category"] for r in pub.distinct_categories(rows).collect()} == {"A!", "A"}
+    cards = pub.listing_rows(rows, SETTINGS).where("page like '/category/%'").collect()
+    assert [(r["page"], r["label"], r["pos"]) for r in cards] == [("/category/a", "A!", 0)]
+    parts = pub.collection_parts(rows).where("page != '/'").collect()
+    assert [(r["label"], r["pos"]) for r in parts] == [("A!", 0)]
 
 
 def test_search_has_no_hit_across_fields(spark):
@@ -148,6 +152,12 @@ def test_run_entries_count_only_configured_labels(spark):
     assert entry["total_successes"] == 4 and entry["category_counts"] == {"A": 2, "B": 0}
 
 
+def test_run_without_success_has_an_entry(spark):
+    rows = spark.createDataFrame([], "category string")
+    entry = history.run_entry(rows, ["A", "B"], "r").first()
+    assert entry["total_successes"] == 0 and entry["category_counts"] == {"A": 0, "B": 0}
+
+
 def test_leading_rows_match_sorting(spark):
     rows = [{"category": c, "title": str(i)} for i, c in enumerate(itertools.islice(itertools.cycle("ab"), 50))]
     parts = pub.collection_parts(site(spark, rows)).collect()

@@ -227,3 +227,25 @@ def test_list_pages_keep_day_and_list_order(spark, tmp_path):
 def test_numbered_summaries(spark):
     rows = spark.range(4).select(F.col("id").alias("index"), (F.col("id") != 1).alias("success"))
     assert [(r["index"], r["number"]) for r in numbered_successes(rows).orderBy("index").collect()] == [(0, 1), (2, 2), (3, 3)]
+
+
+def test_topic_search_rules(spark):
+    from newsloom.operators import corpus
+
+    def row(n, **changes):
+        base = {"doc_id": n, "lang": "en", "url": f"https://a.org/{n}", "title": "Data BREACH", "description": None,
+                "content": "", "published_at": "2024-01-02T00:00:00"}
+        return tuple((base | changes).values())
+
+    rows = spark.createDataFrame([
+        row(1), row(2, title="data", content="a breach"), row(3, lang="de"), row(4, url="https://b.org/4"),
+        row(5, published_at="2024-01-02T12:00:00"), row(6, published_at="2024-01-02T01:00:00"), row(7, title="data only"),
+        row(8, title=None, description="databreach"),
+    ], "doc_id bigint, lang string, url string, title string, description string, content string, published_at string")
+    hits = corpus.topic_hits(rows, ["Data breach", "Malware"], "2024-01-03 12:00:00")
+    pages = corpus.topic_pages(hits, 3).orderBy("pos").collect()
+    assert [(r["topic"], r["pos"], r["doc_id"]) for r in pages] == [("Data breach", 0, 6), ("Data breach", 1, 1), ("Data breach", 2, 2)]
+    counts = corpus.topic_counts(corpus.topic_pages(hits, 3), ["Data breach", "Malware"]).collect()
+    assert {r["topic"]: r["n_articles"] for r in counts} == {"Data breach": 3, "Malware": 0}
+    only_b = corpus.topic_hits(rows, ["Data breach"], "2024-01-03 12:00:00", domains="b.org, c.org")
+    assert [r["doc_id"] for r in only_b.collect()] == [4]
