@@ -79,8 +79,7 @@ def markdown_to_html(c: Column) -> Column:
     rules = (
         (rf"{JS_LINE_START}{_BOLD}{JS_SPACE}*{JS_LINE_END}", "**$1**\n\n"),
         (rf"{JS_LINE_START}### {line}", "<h3>$1</h3>"),
-        (rf"{JS_LINE_START}## {line}", "<h2>$1</h2>"),
-        (rf"{JS_LINE_START}# {line}", "<h2>$1</h2>"),
+        (rf"{JS_LINE_START}##? {line}", "<h2>$1</h2>"),
         (_BOLD, "<strong>$1</strong>"),
         (_ITALIC, "<em>$1</em>"),
         (_CODE, "<code>$1</code>"),

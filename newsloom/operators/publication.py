@@ -47,10 +47,7 @@ class SiteSettings:
     as_of: str
     url: str = "https://news.example.org"
     name: str = "Newsloom"
-    description: str = (
-        "AI-curated tech news summaries updated every 12 hours. Clear, jargon-free briefings on AI, "
-        "software, hardware, and more."
-    )
+    description: str = "Short summaries of curated news, updated every 12 hours."
     queries: tuple[str, ...] = SEARCH_QUERIES
 
     @property
@@ -79,9 +76,11 @@ def _heads(rows: DataFrame) -> DataFrame:
     return leading_per_group(by_url, 2 * RELATED, ["category"], ["pos"]).drop("place")
 
 
-def category_heads(site: DataFrame) -> DataFrame:
+def category_heads(site: DataFrame, as_of: str) -> DataFrame:
     """`(category, heads)`: the first rows of each category that related lists are taken from.
 
+    What a related list shows of a row is worked out here, once for each head.
+
     Of one URL at most RELATED rows can be needed before a list is full, and an article skips at
     most RELATED rows of its own URL, so the rows kept by `_heads` hold every list.
 
@@ -99,20 +98,27 @@ def category_heads(site: DataFrame) -> DataFrame:
         kept = heads.join(unsettled, "category", "left_anti")
         whole = sized_join(rows, unsettled, "category", "left_semi", ["pos"])
         heads = kept.unionByName(_heads(whole))
-    entry = F.struct("pos", "url", "title", "source", "processed_at")
-    return heads.groupBy("category").agg(F.array_sort(F.collect_list(entry)).alias("heads"))
+    shown = F.struct(
+        "pos", "url",
+        or_default(F.col("title"), "Untitled").alias("title"),
+        or_default(F.col("source"), "Unknown").alias("source"),
+        article_path(F.col("title")).alias("path"),
+        iso_instant(F.col("processed_at"), as_of).alias("published"),
+        short_date(F.col("processed_at")).alias("shown_date"),
+    )
+    return heads.groupBy("category").agg(F.array_sort(F.collect_list(shown)).alias("heads"))
 
 
-def with_related(rows: DataFrame, site: DataFrame) -> DataFrame:
+def with_related(rows: DataFrame, site: DataFrame, as_of: str) -> DataFrame:
     """Add `related`: the first RELATED site articles of the same category that have another URL."""
-    joined = measured_join(rows, category_heads(site), "category", "left", ["pos"])
+    joined = measured_join(rows, category_heads(site, as_of), "category", "left", ["pos"])
     others = F.filter(F.col("heads"), lambda head: ~head["url"].eqNullSafe(F.col("url")))
     return joined.withColumn("related", F.slice(others, 1, RELATED)).drop("heads")
 
 
-def related_articles(site: DataFrame) -> DataFrame:
+def related_articles(site: DataFrame, settings: SiteSettings) -> DataFrame:
     """Flat form: one row for each article and related article, with its 1-based place."""
-    rows = with_related(site.select("pos", "category", "url"), site).select("pos", "category", F.posexplode("related").alias("at", "other"))
+    rows = with_related(site.select("pos", "category", "url"), site, settings.as_of).select("pos", "category", F.posexplode("related").alias("at", "other"))
     return rows.select(
         "pos", "category", (F.col("at") + 1).cast("bigint").alias("place"),
         F.col("other.pos").alias("related_pos"), F.col("other.url").alias("related_url"),
@@ -296,15 +302,8 @@ def published_articles(site: DataFrame) -> DataFrame:
 
 def article_pages(rows: DataFrame, site: DataFrame, settings: SiteSettings) -> DataFrame:
     """Content of the pages of `rows`: trail, badge, headline, byline, dates, body, related block."""
-    related = F.transform(F.col("related"), lambda r: F.struct(
-        or_default(r["title"], "Untitled").alias("title"),
-        or_default(r["source"], "Unknown").alias("source"),
-        article_path(r["title"]).alias("path"),
-        iso_instant(r["processed_at"], settings.as_of).alias("published"),
-        short_date(r["processed_at"]).alias("shown_date"),
-    ))
     trail_title = F.concat(F.substring(or_default(F.col("title"), "Article"), 1, BREADCRUMB_TEXT), F.lit("…"))
-    return with_related(rows, site).select(
+    return with_related(rows, site, settings.as_of).select(
         "pos",
         article_path(F.col("title")).alias("path"),
         category_path(or_default(F.col("category"), "news")).alias("category_path"),
@@ -317,7 +316,7 @@ def article_pages(rows: DataFrame, site: DataFrame, settings: SiteSettings) -> D
         short_date(F.col("processed_at")).alias("shown_date"),
         markdown_to_html(F.col("summary")).alias("body_html"),
         or_default(F.col("url"), "#").alias("original_url"),
-        related.alias("related"),
+        "related",
     )
 
 

@@ -60,7 +60,8 @@ def run(
     store.write_summaries(progress.numbered_successes(results))
 
     successes = results.where("success")
-    store.append_history(history.run_entry(successes, categories, run_at), run_seq)
+    entry = history.run_entry(successes, categories, run_at)
+    store.append_history(entry.withColumn("run_seq", F.lit(run_seq).cast("bigint")))
     store.write_document(
         "category_log.txt", history.report_lines(store.read_history()), F.col("line"), ["section", "ord"]
     )

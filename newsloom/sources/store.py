@@ -175,8 +175,11 @@ class Store:
 
     # --- history ---
 
-    def append_history(self, entry: DataFrame, run_seq: int) -> None:
-        entry.drop("run_seq").write.mode("overwrite").parquet(self.path(f"history/run_seq={run_seq}"))
+    def append_history(self, entries: DataFrame) -> None:
+        """Store run entries by `run_seq`. Repeating a run replaces its own entry only."""
+        entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_seq").parquet(
+            self.path("history")
+        )
 
     def read_history(self) -> DataFrame:
         schema = T.StructType([*schemas.HISTORY.fields, T.StructField("run_seq", T.LongType())])

@@ -104,8 +104,8 @@ def list_page_documents(spark, folder):
     return pub.list_page_lines(site(spark, folder), SETTINGS).select("path", "line")
 
 
-RELATED = SITE + """, pairs AS (
-  SELECT a.pos, a.category, b.pos AS related_pos, b.url AS related_url, b.title AS related_title, b.source AS related_source,
+RELATED = SITE + f""", pairs AS (
+  SELECT a.pos, a.category, b.pos AS related_pos, b.url AS related_url, {sql_or('b.title', 'Untitled')} AS related_title, b.source AS related_source,
     b.processed_at AS related_processed, row_number() OVER (PARTITION BY a.pos ORDER BY b.pos) AS place
   FROM site a JOIN site b ON a.category = b.category AND a.url <> b.url
 )"""
@@ -113,7 +113,7 @@ RELATED = SITE + """, pairs AS (
 
 @query(RELATED + " SELECT pos, category, place, related_pos, related_url, related_title FROM pairs WHERE place <= 4")
 def related_top4(spark, folder):
-    return pub.related_articles(site(spark, folder))
+    return pub.related_articles(site(spark, folder), SETTINGS)
 
 
 @query(RELATED + f""", lists AS (

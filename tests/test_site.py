@@ -69,7 +69,7 @@ def test_related_equals_brute_force(spark, monkeypatch, seed, urls, probe):
     # One URL fills the head of the list, so the probe of its category is not enough.
     rows = [{"category": "c0", "url": "hot"} for _ in range(80)]
     rows += [{"category": f"c{rng.randrange(3)}", "url": f"u{rng.randrange(urls)}"} for _ in range(60)]
-    got = pub.related_articles(site(spark, rows)).select("pos", "place", "related_pos").collect()
+    got = pub.related_articles(site(spark, rows), SETTINGS).select("pos", "place", "related_pos").collect()
     assert sorted(tuple(r) for r in got) == naive_related(rows)
 
 
