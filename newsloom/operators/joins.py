@@ -50,12 +50,13 @@ def spread_join(
     spread: Sequence[str],
     key_rows: int = KEY_ROWS,
 ) -> DataFrame:
-    """Equi-join on a non-null key that is unique in `right` and may be hot in `left`.
+    """Equi-join on a key that is unique in `right` and may be hot or null in `left`.
 
     A key with more than `key_rows` left rows gets one part for each `key_rows`. Its left rows
     are dealt to the parts by a hash of the `spread` columns and its right row is repeated in
     each part. There are at most (left rows / key_rows) such keys, so the table of hot keys that
-    is broadcast stays that small, and no key is dropped.
+    is broadcast stays that small, and no key is dropped. Left rows without a key match nothing
+    and are dealt to all tasks.
     """
     hot = (
         left.groupBy(key)
@@ -64,9 +65,10 @@ def spread_join(
         .select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / key_rows).cast("int").alias("_parts"))
     )
     parts = F.coalesce(F.col("_parts"), F.lit(1))
+    own_parts = F.when(F.col(key).isNull(), F.lit(1 << 16)).otherwise(parts)
     dealt = (
         left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-        .withColumn("_part", F.pmod(F.xxhash64(*spread), parts).cast("int"))
+        .withColumn("_part", F.pmod(F.xxhash64(*spread), own_parts).cast("int"))
         .drop("_hot", "_parts")
     )
     repeated = (
@@ -107,6 +109,14 @@ def sized_join(
     return spread_join(left, right, key, how, spread, key_rows)
 
 
+def hinted(right: DataFrame, size: Size | None = None) -> DataFrame:
+    """A settled table, with a broadcast hint if it was measured small.
+
+    For keys that are unique on both sides, where a shuffle is even and needs no spreading.
+    """
+    return F.broadcast(right) if (size or measure(right)).fits_broadcast() else right
+
+
 def keep_last(rows: DataFrame, key: str, order: str, key_rows: int = KEY_ROWS) -> DataFrame:
     """Of the rows with one key only the one with the greatest `order`, which is unique per key.
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
+from email.utils import format_datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators import history, merging, progress, publication
+from newsloom.operators.joins import hinted
 from newsloom.operators.stages import StageMaker
 from newsloom.plans.curation import CANDIDATES, SOURCE_LIMIT, curate
 from newsloom.plans.enrichment import enrich_until
@@ -43,15 +46,15 @@ def run(
     if not resume:
         store.clear_run()
         chosen = settle(curate(require_articles(landing), source_limit, candidate_goal))
-        originals = landing.select("path", "pos", "article")
-        store.write_master(chosen.join(originals, ["path", "pos"]), run_at, source_limit, candidate_goal)
-    master = store.read_master().select("index", *candidate_columns("article"))
+        originals = landing.select("path", "pos", "article").join(hinted(chosen), ["path", "pos"])
+        store.write_master(originals, run_at, source_limit, candidate_goal)
+    master = settle(store.read_master().select("index", *candidate_columns("article")))
     if master.isEmpty():
         return False
 
-    candidates = settle(
-        master.join(texts.select("url", "text"), "url", "left").withColumn("processed_at", F.lit(run_at))
-    )
+    # The texts are reduced to the wanted URLs by a scan before they meet the candidates.
+    wanted = texts.select("url", "text").join(hinted(master.select("url")), "url", "left_semi")
+    candidates = settle(master.join(wanted, "url", "left").withColumn("processed_at", F.lit(run_at)))
     results = settle(enrich_until(
         candidates, summarize, classify, categories, success_goal, store=store, **limits
     ))
@@ -82,7 +85,8 @@ def publish(store: Store, site: DataFrame, settings: publication.SiteSettings) -
     """
     store.export_site_json(site)
     placed = merging.list_position(site).drop("run_seq", "pos")
-    site = settle(placed.withColumnRenamed("position", "pos"))
+    # A stored table, so that each publication table below reads its own columns only.
+    site = store.stage("publish/site", placed.withColumnRenamed("position", "pos"))
     for name, table in publication_tables(site, settings).items():
         table.write.mode("overwrite").parquet(store.path(f"publish/{name}"))
     published = publication.published_articles(site)
@@ -134,9 +138,6 @@ FEED_FOOT = "  </channel>\n</rss>"
 
 def feed_head(settings: publication.SiteSettings) -> str:
     """Channel part of the feed."""
-    from email.utils import format_datetime
-    from datetime import datetime, timezone
-
     built = format_datetime(datetime.fromisoformat(settings.as_of).replace(tzinfo=timezone.utc), usegmt=True)
     return "\n".join([
         '<?xml version="1.0" encoding="UTF-8"?>',

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from newsloom.operators.interleave import dense_index, round_robin
+from newsloom.operators.joins import hinted
 from newsloom.operators.selection import greedy_select
 from newsloom.session import settle
 
@@ -25,6 +25,5 @@ def curate(
 ) -> DataFrame:
     """Selected articles with their 0-based `index` in the master list, `path` and `pos`."""
     ranked = ranked_articles(articles)
-    chosen = greedy_select(ranked, source_limit, goal)
-    place = ranked.select("rank", "path", "pos")
-    return dense_index(chosen.join(place, "rank"))
+    chosen = settle(greedy_select(ranked, source_limit, goal))
+    return dense_index(ranked.select("rank", "path", "pos").join(hinted(chosen), "rank"))

@@ -39,6 +39,11 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def stage(self, name: str, rows: DataFrame) -> DataFrame:
+        """Write a table and read it back."""
+        rows.write.mode("overwrite").parquet(self.path(name))
+        return self.spark.read.schema(rows.schema).parquet(self.path(name))
+
     # --- landing ---
 
     def write_landing(self, documents: DataFrame) -> None:

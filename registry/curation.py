@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import clean, or_default
 from newsloom.operators import corpus
 from newsloom.operators.interleave import dense_index, file_order, round_robin
+from newsloom.operators.joins import hinted
 from newsloom.operators.selection import greedy_select, source_distribution
 from newsloom.session import settle
 from newsloom.sources.articles import AS_OF, article_rows, event_facts, queued_articles, queued_facts, read_table
@@ -76,8 +77,8 @@ SELECTED = "SELECT master_index AS \"index\", doc_id, url, title, author, source
 
 def selected(spark: SparkSession, folder: str, limit: int | None, goal: int | None) -> DataFrame:
     ranked = settle(ranked_articles(spark, folder))
-    chosen = greedy_select(ranked, limit, goal)
-    places = dense_index(chosen.join(ranked.select("rank", "doc_id"), "rank"))
+    chosen = settle(greedy_select(ranked, limit, goal))
+    places = dense_index(ranked.select("rank", "doc_id").join(hinted(chosen), "rank"))
     return places.select("index", "doc_id", "url", "title", "author", "source")
 
 

@@ -47,7 +47,8 @@ def test_merge_rules(spark, monkeypatch, broadcast_rows, key_rows):
 
 
 def test_spread_join_splits_hot_keys_and_keeps_all_rows(spark):
-    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "id int, k string")
+    keys = [None if i % 5 == 4 else "hot" if i % 3 else f"k{i}" for i in range(300)]
+    left = spark.createDataFrame(list(enumerate(keys)), "id int, k string")
     right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), ("absent", 4)], "k string, v int")
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = sorted(r["id"] for r in left.join(right, "k", how).collect())
