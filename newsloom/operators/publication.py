@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import structured
@@ -136,11 +136,11 @@ def with_category_page(site: DataFrame) -> DataFrame:
     the same slug.
     """
     path = F.when(F.col("category") != "", category_path(F.col("category")))
-    names = settle(site.where(F.col("category") != "").groupBy("category").agg(F.count("*").alias("n")))
-    named = names.withColumn("slug", slug(F.col("category")))
-    last = named.groupBy("slug").agg(F.max("category").alias("category"), F.count("*").alias("n")).where("n > 1")
+    names = site.select("category").where(F.col("category") != "").distinct()
+    # One row for each category, so the categories of a slug are few.
+    last = F.max("category").over(Window.partitionBy(slug(F.col("category"))))
     replaced = settle(
-        named.join(last.select("slug"), "slug", "left_semi").join(last.select("category"), "category", "left_anti")
+        names.withColumn("last", last).where(F.col("category") < F.col("last"))
         .select("category", F.lit(True).alias("_replaced"))
     )
     if replaced.isEmpty():

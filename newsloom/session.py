@@ -32,14 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may fall back to a folder of this machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    named = tempfile.mkdtemp(prefix="newsloom-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="newsloom-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -50,6 +50,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that a lost executor repeats one step only."""
     spark = df.sparkSession
+    folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
