@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from newsloom.llm.frames import texts_of
+from newsloom.llm.frames import shielded, texts_of
 
 # Characters of unsplit text that are encoded in one piece.
 LEAF = 512
@@ -169,5 +169,5 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", leaf: int = LEAF
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.int32()))
         return pa.StructArray.from_arrays([lists, pa.array(decoded, type=pa.string())], names=["ids", "decoded"])
 
-    columns = [c for c in docs.columns if c not in ("ids", "decoded")]
-    return docs.select(*columns, coded(F.col(text)).alias("_coded")).select(*columns, "_coded.ids", "_coded.decoded")
+    rows, columns = shielded(docs, ("ids", "decoded"))
+    return rows.withColumn("_coded", coded(F.col(text))).select(*columns, "_coded.ids", "_coded.decoded")

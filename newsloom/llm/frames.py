@@ -20,6 +20,15 @@ def fold_of(key: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def shielded(docs: DataFrame, replaced: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """`docs` without the columns that are to be replaced and with its other columns under names that no
+    operator uses; and the columns that give them back their names. The columns an operator reads keep theirs."""
+    kept = [c for c in docs.columns if c not in replaced]
+    hidden = {c: f"kept:{c}" for c in kept if c.startswith("_")}
+    back = [F.col(f"`{hidden[c]}`").alias(c) if c in hidden else F.col(f"`{c}`") for c in kept]
+    return docs.select(*(F.col(f"`{c}`").alias(hidden.get(c, c)) for c in kept)), back
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 texts of an Arrow string column, null as the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
