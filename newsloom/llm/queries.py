@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, itq, mixing, simhash, topk, toxicity
+from newsloom.llm import bpe, gru, itq, mixing, simhash, sites, topk, toxicity
 from newsloom.llm.frames import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,14 @@ def query(build):
     return build
 
 
+@query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of("doc_id", 3) == 1
+    net = gru.learn(docs.where(~held_out))
+    return gru.identify(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -106,6 +114,16 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+@query
+def op8_site_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents have no URL: the source is the host, and its language the path. Labels of one fold of five are held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    held_out = fold_of("doc_id", 5) == 1
+    labels = table(spark, folder, "labels").where(~held_out)
+    found = sites.site_quality(docs, labels, F.col("source"), F.col("lang"), sites.learn(docs, labels))
+    return found.select("doc_id", held_out.alias("held_out"), "host", "path", "evidence", "host_quality", "path_quality", "score", "kept")
+
+
 @query
 def op9_bpe_round_trip(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
