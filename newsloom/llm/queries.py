@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, gru, itq, mixing, simhash, sites, topk, toxicity
+from newsloom.llm import bpe, gru, itq, mixing, ppm, simhash, sites, topk, toxicity
 from newsloom.llm.frames import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,12 @@ def query(build):
     return build
 
 
+@query
+def op1_ppm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("_fold", fold_of("doc_id", 7))
+    return ppm.score(docs, "_fold <> 2")
+
+
 @query
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
