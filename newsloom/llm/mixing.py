@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.frames import WORD
+from newsloom.llm.frames import WORD, shielded
 from newsloom.session import settle
 
 # Key ranges that a source is cut into for the prefix sum.
@@ -53,33 +53,31 @@ def source_targets(sizes: DataFrame, cycle: Sequence[int], share: float, most: f
         F.least(F.col("_cap"), F.coalesce(F.col("_w") * F.col("_first"), F.col("_cap"))).alias("target"))
 
 
-def mix(
+def takes(
     docs: DataFrame, quality: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text",
     source: str = "source", cycle: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
 ) -> DataFrame:
-    """`docs` with `size`, `source_size`, `target` and `taken`, the words that the mix takes of a row.
-
-    `quality` (doc_id, weight > 0) raises the chance of a document; one without a row weighs 1. A
-    source takes each of its documents as often as whole epochs fit its target. The rest of the
-    target goes to the documents in the order of their exponential keys, and the document on the
-    border gives as many words as are missing. Rows with the same id and size tie and share what is
-    left to them evenly, rounded down. A null text has size 0 and gives nothing; null is a source.
-    Columns of `docs` with the names of the added ones are replaced.
-
-    The sums that a source needs are taken over ranges of its keys, then over the rows of the one
-    range on the border, so no task sees a whole source. Texts are not shuffled but for the join
-    with the table of sources, which Spark broadcasts if it is small and splits otherwise.
+    """Rows (doc_id, source, size, source_size, target, taken), one for each row of `docs`.
+
+    `size` counts the words of the text, `taken` the words that the mix takes of the row, repeats
+    included. `quality` (doc_id, weight > 0) raises the chance of a document; one without a row
+    weighs 1. A source takes each of its documents as often as whole epochs fit its target. The rest
+    of the target goes to the documents in the order of their exponential keys, and the document on
+    the border gives as many words as are missing. Rows with the same id and size tie and share what
+    is left to them evenly, rounded down. A null text has size 0 and gives nothing; null is a source.
+
+    Texts are read once and not shuffled. The sums that a source needs are taken over ranges of its
+    keys, then over the rows of the one range on the border, so no task sees a whole source.
     """
-    docs = docs.drop("size", "source_size", "target", "taken")
-    if quality is None:
-        weight = F.lit(1.0)
-    else:
-        docs = docs.join(quality.select(F.col(doc_id).alias("_id"), F.col("weight").alias("_weight")), F.col(doc_id) == F.col("_id"), "left").drop("_id")
+    sized = docs.select(
+        F.col(doc_id).cast("string").alias("_tie"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    weight = F.lit(1.0)
+    if quality is not None:
+        sized = sized.join(quality.select(F.col(doc_id).alias("_id"), F.col("weight").alias("_weight")), F.col("doc_id") == F.col("_id"), "left")
         weight = F.coalesce("_weight", F.lit(1.0))
-    key = exponential_key(doc_id, weight)
-    keyed = docs.withColumns({"size": word_count(text), "_key": key, "_tie": F.col(doc_id).cast("string")}).withColumn(
+    keyed = sized.withColumn("_key", exponential_key("doc_id", weight)).withColumn(
         "_range", F.least(F.lit(RANGES - 1), ((1 - F.exp(-F.col("_key"))) * RANGES).cast("int")))
-    narrow = settle(keyed.select(F.col(source).alias("source"), "size", "_key", "_range", "_tie"))
+    narrow = settle(keyed.select("doc_id", "source", "size", "_key", "_range", "_tie"))
     ranges = settle(narrow.groupBy("source", "_range").agg(F.sum("size").alias("_words")))
     sizes = ranges.groupBy("source").agg(F.sum("_words").alias("source_size"))
     plan = source_targets(sizes, cycle, share, most).withColumn(
@@ -110,11 +108,21 @@ def mix(
     here = F.struct("_key", F.col("_tie").isNull(), F.col("_tie"), F.col("size"))
     cut = F.struct("_cut", F.col("_cut_tie").isNull(), F.col("_cut_tie"), F.col("_cut_size"))
     rest = F.when(F.col("_cut").isNull() | (here > cut), F.lit(0)).when(here < cut, F.col("size")).otherwise(F.col("_part"))
-    columns = [c for c in docs.columns if c != "_weight"]
-    return (
-        keyed.join(decided, F.col(source).eqNullSafe(F.col("_s")), "left")
-        .select(*columns, "size", "source_size", "target", (F.col("_epochs") * F.col("size") + rest).cast("long").alias("taken"))
-    )
+    return narrow.join(decided, F.col("source").eqNullSafe(F.col("_s")), "left").select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + rest).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """`docs` with the columns `size`, `source_size`, `target` and `taken` of `takes`.
+
+    Columns of `docs` with these names are replaced. The decisions are joined by id, source and
+    size, which is one shuffle of the texts.
+    """
+    rows, columns = shielded(docs, ("size", "source_size", "target", "taken"))
+    decided = takes(docs, quality, doc_id, text, source, **how).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "source_size", "target", "taken").distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+    return rows.withColumn("size", word_count(text)).join(decided, same, "left").select(*columns, "size", "source_size", "target", "taken")
 
 
 def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
