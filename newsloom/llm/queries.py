@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, gru, itq, mixing, ppm, simhash, sites, topk, toxicity
+from newsloom.llm import bpe, gru, itq, mixing, passages, ppm, simhash, sites, topk, toxicity
 from newsloom.llm.frames import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,8 +62,8 @@ def quality_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, folder, "documents"), quality_weights(spark, folder))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    taken = mixing.takes(table(spark, folder, "documents"), quality_weights(spark, folder))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLES["op6_source_mixing"] = r"""
@@ -139,3 +139,8 @@ def op9_bpe_round_trip(spark: SparkSession, folder: str, tokenizer: str | None =
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
