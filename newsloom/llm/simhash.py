@@ -65,21 +65,19 @@ def segments(bits: int, radius: int, size: int | None = None) -> list[tuple[int,
     return [(a, b - a, 0 if i < spare else 1) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
 
 
-def variants(parts: list[tuple[int, int, int]]) -> Column:
-    """Keys of `prints`: each segment whole, or with each of its bits taken out in turn."""
-    keys, number = [], 0
-    for first, width, flips in parts:
-        word = F.shiftrightunsigned(F.col("prints")[first // 64], first % 64)
-        word = word.bitwiseAND(F.lit((1 << width) - 1).cast("long")) if width < 64 else word
-        for wild in range(width) if flips else [None]:
-            if wild is None:
-                rest = word
-            else:
-                low = word.bitwiseAND(F.lit((1 << wild) - 1).cast("long"))
-                rest = F.shiftleft(F.shiftrightunsigned(word, wild + 1), wild).bitwiseOR(low)
-            keys.append(rest.bitwiseOR(F.lit(number << 48).cast("long")) if width <= 48 else F.xxhash64(F.lit(number), rest))
-            number += 1
-    return F.array(*keys)
+def variants(nodes: DataFrame, parts: list[tuple[int, int, int]]) -> DataFrame:
+    """`nodes` (node, prints) with a row for each `key`: each segment whole, or with each of its bits taken out in turn."""
+    cuts = [(first, width, wild) for first, width, flips in parts for wild in (range(width) if flips else [-1])]
+    kinds = "array<struct<number: int, word: int, first: int, mask: bigint, wild: int>>"
+    listed = F.array(*(
+        F.struct(*(F.lit(x).alias(n) for n, x in (
+            ("number", number), ("word", first // 64), ("first", first % 64), ("mask", (1 << min(width, 63)) - 1 if width < 64 else -1), ("wild", wild))))
+        for number, (first, width, wild) in enumerate(cuts))).cast(kinds)
+    part = "(shiftrightunsigned(prints[v.word], v.first) & v.mask)"
+    rest = f"CASE WHEN v.wild < 0 THEN {part} ELSE shiftleft(shiftrightunsigned({part}, v.wild + 1), v.wild) | ({part} & (shiftleft(1L, v.wild) - 1)) END"
+    # A segment of over 48 bits leaves no room for the number of the cut, so both are hashed; links are verified in any case.
+    key = f"shiftleft(cast(v.number AS bigint), 48) | ({rest})" if max(w for _, w, _ in parts) <= 48 else f"xxhash64(v.number, {rest})"
+    return nodes.withColumn("v", F.explode(listed)).withColumn("key", F.expr(key)).drop("v")
 
 
 def _near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
@@ -194,7 +192,7 @@ def near_links(nodes: DataFrame, parts: list[tuple[int, int, int]], radius: int,
     blocks is never held: it leaves in packed blocks, whose pairs are compared in tasks of their own.
     What a group yields is a spanning forest, so the links do not grow with the square of a group.
     """
-    keyed = nodes.select(F.explode(variants(parts)).alias("key"), "node", *(F.col("prints")[i].alias(f"p{i}") for i in range(words)))
+    keyed = variants(nodes.select("node", "prints"), parts).select("key", "node", *(F.col("prints")[i].alias(f"p{i}") for i in range(words)))
     schema = "a long, b long, key long, part long, pack binary"
     found = settle(
         keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs(radius, words, block), schema)
