@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import json
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from newsloom.llm.frames import shielded, texts_of
 
 # Characters of unsplit text that are encoded in one piece.
 LEAF = 512
-# Words whose encoding a task keeps.
+# Words of a generation whose encoding a task keeps.
 KEPT_WORDS = 200_000
 # Bytes of text whose new words are encoded together.
 GROUP_BYTES = 1 << 20
@@ -98,38 +101,41 @@ class Coder:
         self.tok.no_truncation()
         self.leaf = leaf
         self.pieces = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
-        self.known: dict[bytes, tuple[list[int], str]] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        short, long = [], []
+        # Ids and decoding of words, in an older and a newer generation: a word that is not met again goes.
+        self.old: dict[bytes, tuple[bytes, str]] = {}
+        self.new: dict[bytes, tuple[bytes, str]] = {}
+
+    def _pair(self, ids: list[int]) -> tuple[bytes, str]:
+        return array("i", ids).tobytes(), " ".join(map(self.pieces.__getitem__, ids))
+
+    def _known(self, words: set[bytes]) -> dict[bytes, tuple[bytes, str]]:
+        """The newer generation, made to hold `words`."""
+        if len(self.new) > KEPT_WORDS:
+            self.old, self.new = self.new, {}
+        missing = []
         for w in words:
-            (long if len(w) > self.leaf else short).append(w)
-        encoded = self.tok.encode_batch_fast([w.decode() for w in short], add_special_tokens=False)
-        for w, e in zip(short, encoded):
-            self.known[w] = e.ids, self._decode(e.ids)
-        for w in long:
-            ids = encode_long(self.tok, w.decode(), self.leaf)
-            self.known[w] = ids, self._decode(ids)
-
-    def _decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.pieces.__getitem__, ids))
-
-    def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[str]]:
+            if w not in self.new:
+                if w in self.old:
+                    self.new[w] = self.old[w]
+                else:
+                    missing.append(w)
+        short = [w for w in missing if len(w) <= self.leaf]
+        for w, e in zip(short, self.tok.encode_batch_fast([w.decode() for w in short], add_special_tokens=False)):
+            self.new[w] = self._pair(e.ids)
+        for w in missing:
+            if len(w) > self.leaf:
+                self.new[w] = self._pair(encode_long(self.tok, w.decode(), self.leaf))
+        return self.new
+
+    def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[str]]:
+        """Ids, as the bytes of 32-bit numbers, and decoding of each text."""
+        split = [t.split() for t in texts]
+        known = self._known(set().union(*split))
         ids, decoded = [], []
-        at = 0
-        while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and (not group or size < GROUP_BYTES):
-                group.append(texts[at].split())
-                size += len(texts[at])
-                at += 1
-            if len(self.known) > KEPT_WORDS:
-                self.known.clear()
-            self._learn(list(set().union(*group) - self.known.keys()))
-            for words in group:
-                parts = [p for p in map(self.known.__getitem__, words) if p[0]]
-                ids.append(np.fromiter((i for p in parts for i in p[0]), dtype=np.int32))
-                decoded.append(" ".join([p[1] for p in parts]))
+        for words in split:
+            parts = list(map(known.__getitem__, words))
+            ids.append(b"".join([p[0] for p in parts]))
+            decoded.append(" ".join([p[1] for p in parts if p[0]]))
         return ids, decoded
 
 
@@ -160,14 +166,27 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", leaf: int = LEAF
     check_spec(spec)
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
-    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
-    def coded(texts: pa.Array) -> pa.Array:
-        ids, decoded = _coder(shared.value, leaf).encode(texts_of(texts))
-        offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-        np.cumsum([len(i) for i in ids], out=offsets[1:])
-        values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.int32()))
-        return pa.StructArray.from_arrays([lists, pa.array(decoded, type=pa.string())], names=["ids", "decoded"])
-
+    added = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
     rows, columns = shielded(docs, ("ids", "decoded"))
-    return rows.withColumn("_coded", coded(F.col(text))).select(*columns, "_coded.ids", "_coded.decoded")
+    place, names = rows.columns.index(text), [*rows.columns, "ids", "decoded"]
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(shared.value, leaf)
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                some = batch.slice(at, _rows_for(batch.column(place), at))
+                ids, decoded = coder.encode(texts_of(some.column(place)))
+                offsets = np.zeros(len(ids) + 1, dtype=np.int32)
+                np.cumsum([len(i) // 4 for i in ids], out=offsets[1:])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([*some.columns, lists, pa.array(decoded, pa.string())], names=names)
+                at += some.num_rows
+
+    return rows.mapInArrow(coded, T.StructType([*rows.schema.fields, *added.fields])).select(*columns, "ids", "decoded")
+
+
+def _rows_for(texts: pa.Array, at: int) -> int:
+    """Rows from `at` on that hold about GROUP_BYTES of text, one at least."""
+    sizes = pc.fill_null(pc.binary_length(texts.slice(at, 4096)), 0).to_numpy()
+    return max(1, int(np.searchsorted(np.cumsum(sizes, dtype=np.int64), GROUP_BYTES, side="right")))
