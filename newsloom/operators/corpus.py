@@ -13,13 +13,7 @@ from newsloom.functions.text import search_text
 from newsloom.functions.times import in_fetch_window
 from newsloom.operators.numbering import leading_per_group
 
-# The default topics and page size.
-TOPICS = (
-    "Technology", "Artificial intelligence", "Generative AI", "AI agents", "Cybersecurity",
-    "Tech company", "Data security", "Data breach", "Android", "iPhone", "Laptops", "Smart home",
-    "Technology market", "NASDAQ", "Tech companies", "Tech economy", "Cryptocurrency",
-    "Tech economics", "Encryption", "Malware",
-)
+# Page size and language.
 PAGE_SIZE = 100
 LANGUAGE = "en"
 

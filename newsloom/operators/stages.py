@@ -20,14 +20,19 @@ StageMaker = Callable[[], BatchFunction]
 NO_SUMMARIZER = "Summary stage not available"
 NO_CLASSIFIER = "Label stage not available"
 
+# Prompts of one call.
+BATCH_SIZE = 256
+
 ANSWER = "struct<value:string,error:string>"
 
 
-def stage_answer(make: StageMaker | None, text: Column, unavailable: str) -> Column:
+def stage_answer(make: StageMaker | None, text: Column, unavailable: str, batch_size: int = BATCH_SIZE) -> Column:
     """`(value, error)` of a stage for each row; rows whose text is null are not sent to it.
 
-    An exception becomes `Type: message` of its row. If a whole batch fails, its rows are tried
-    one by one so that only the failing ones carry the error.
+    Prompts are sent in lists of at most `batch_size`. An answer that is an exception becomes
+    `Type: message` of its row, which is how a batch function should report a failing row: then
+    nothing is sent twice. If the call itself raises, its list is halved until the failing rows stand
+    alone, so a row is sent again at most log2(batch_size) times.
     """
     if make is None:
         return F.struct(F.lit(None).cast("string").alias("value"), F.lit(unavailable).alias("error"))
@@ -40,13 +45,15 @@ def stage_answer(make: StageMaker | None, text: Column, unavailable: str) -> Col
             try:
                 return list(run(texts))
             except Exception as failure:  # the row keeps the error, the job goes on
-                return [failure] if len(texts) == 1 else [attempt([t])[0] for t in texts]
+                half = len(texts) // 2
+                return [failure] if not half else attempt(texts[:half]) + attempt(texts[half:])
 
         for batch in batches:
             sent = batch.notna()
             out = pd.DataFrame({"value": None, "error": None}, index=batch.index, dtype=object)
             if sent.any():
-                answers = attempt(batch[sent].tolist())
+                texts = batch[sent].tolist()
+                answers = [a for at in range(0, len(texts), batch_size) for a in attempt(texts[at: at + batch_size])]
                 failed = [isinstance(a, Exception) for a in answers]
                 out.loc[sent, "value"] = [None if bad else a for a, bad in zip(answers, failed)]
                 out.loc[sent, "error"] = [
@@ -54,8 +61,5 @@ def stage_answer(make: StageMaker | None, text: Column, unavailable: str) -> Col
                 ]
             yield out
 
-    return answer(text)
-
-
-def add_stage(df: DataFrame, name: str, make: StageMaker | None, text: Column, unavailable: str) -> DataFrame:
-    return df.withColumn(name, stage_answer(make, text, unavailable))
+    # A model may answer otherwise when asked again, so Spark must not repeat the call in a plan.
+    return answer.asNondeterministic()(text)

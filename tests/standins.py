@@ -20,7 +20,7 @@ def keyword_label():
     def run(prompts):
         answers = []
         for prompt in prompts:
-            summary = prompt.split("Article summary:\n", 1)[1]
+            summary = prompt.split("Summary:\n", 1)[1]
             answers.append(" Cybersecurity\n" if "breach" in summary else KeyError("k") if "odd" in summary else "Other")
         return answers
 

@@ -161,7 +161,7 @@ def test_prompts(spark):
         prompts.label_prompt(F.lit("T"), F.lit("S"), ["A", "B"]).alias("l"),
     ).first()
     assert row["s"].endswith("Article:\nBODY {text}\n")
-    assert "\n\n  A\n  B\n  Other\n\n" in row["l"] and row["l"].endswith("Article title: T\n\nArticle summary:\nS")
+    assert "\n  A\n  B\n  Other\nTitle: T\n" in row["l"] and row["l"].endswith("Summary:\nS")
 
 
 def test_breadcrumb_leaves_out_missing_link(spark):
