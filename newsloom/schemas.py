@@ -94,3 +94,5 @@ HISTORY = T.StructType([
 
 # Outcome of a replaceable row stage.
 STAGE_OUTCOME = "struct<ok:boolean,value:string,error:string>"
+
+CLAIM = T.StructType().add("writer", T.StringType()).add("step", T.LongType()).add("run_seq", T.LongType())

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from newsloom import schemas
 from newsloom.functions.text import or_default, summary_file_name
-from newsloom.operators.numbering import leading_rows
+from newsloom.operators.numbering import leading_rows, number_rows, span_of
 
 
 def _or_empty(spark: SparkSession, schema: T.StructType, read) -> DataFrame:
@@ -65,13 +65,20 @@ class Store:
         """Empty the tables of the previous run. Site and history are kept."""
         empty = self.spark.createDataFrame
         empty([], schemas.MASTER).write.mode("overwrite").json(self.path("master"))
+        article = schemas.MASTER["articles"].dataType.elementType
+        candidates = T.StructType().add("article", article).add("index", T.LongType())
+        empty([], candidates).write.mode("overwrite").parquet(self.path("candidates"))
         for name in ("progress", "results"):
             empty([], schemas.RESULT).write.mode("overwrite").parquet(self.path(name))
         empty([], schemas.PROCESSED).write.mode("overwrite").json(self.path("processed"))
         empty([], "value string").write.mode("overwrite").text(self.path("summaries"))
 
     def write_master(self, selected: DataFrame, created_at: str, source_limit: int | None, goal: int) -> None:
-        """Master envelope: the candidates in rank order, at most `goal` of them, with metadata."""
+        """The candidates in rank order, at most `goal` of them, as a table by `index`, which the run
+        reads, and as an envelope with metadata, which is an export: one row that nests the list."""
+        chosen = leading_rows(selected, goal, "rank").select("rank", "article")
+        numbered = number_rows(chosen.select("rank"), "index", span_of("rank"), ["rank"])
+        chosen.join(numbered, "rank").drop("rank").write.mode("overwrite").parquet(self.path("candidates"))
         ordered = F.array_sort(F.collect_list(F.struct("rank", "article")))
         master = leading_rows(selected, goal, "rank").agg(ordered.alias("items")).select(
             F.lit("ok").alias("status"),
@@ -86,11 +93,12 @@ class Store:
         master.write.mode("overwrite").json(self.path("master"))
 
     def read_master(self) -> DataFrame:
-        """Candidates of the master envelope with their 0-based `index`. A missing master is an error."""
-        master = self.spark.read.schema(schemas.MASTER).json(self.path("master"))
-        return master.select(F.posexplode("articles").alias("index", "article")).withColumn(
-            "index", F.col("index").cast("bigint")
-        )
+        """Candidates of the run with their 0-based `index`. A missing table is an error."""
+        return self.spark.read.parquet(self.path("candidates")).select("index", "article")
+
+    def read_master_envelope(self) -> DataFrame:
+        """The master envelope: one row with status, count, articles and metadata."""
+        return self.spark.read.schema(schemas.MASTER).json(self.path("master"))
 
     def write_block(self, results: DataFrame, start: int) -> None:
         """Record the results of one block of candidates. Repeating a block replaces its rows."""
@@ -146,8 +154,38 @@ class Store:
 
     # --- site table ---
 
-    def append_site(self, added: DataFrame, run_seq: int) -> None:
-        """Store the rows a run adds. Repeating a run replaces its own rows only."""
+    def claims(self) -> DataFrame:
+        """`(run_seq, writer, step)`: which step of which writer holds a run number of the site."""
+        return _or_empty(self.spark, schemas.CLAIM, lambda: self.spark.read.schema(schemas.CLAIM).parquet(self.path("claims")))
+
+    def claim_run(self, writer: str, step: int) -> int:
+        """The run number of a step of a writer: that of an earlier try, else the next free one.
+
+        The claim is written before the rows, so a step that broke off finds its number again. A
+        number that another writer claims at the same moment is refused, and the step is to be tried again.
+        """
+        held = self.claims().where((F.col("writer") == writer) & (F.col("step") == step)).agg(F.max("run_seq")).first()[0]
+        if held is not None:
+            return held
+        used = self.claims().select("run_seq").unionAll(self.read_site().select("run_seq"))
+        run_seq = used.agg(F.coalesce(F.max("run_seq") + 1, F.lit(0).cast("bigint"))).first()[0]
+        self._claim(run_seq, writer, step)
+        return run_seq
+
+    def _claim(self, run_seq: int, writer: str, step: int) -> None:
+        row = self.spark.createDataFrame([(writer, step)], "writer string, step bigint")
+        row.write.mode("errorifexists").parquet(self.path(f"claims/run_seq={run_seq}"))
+
+    def append_site(self, added: DataFrame, run_seq: int, writer: str = "batch") -> None:
+        """Store the rows a run adds. Repeating a run replaces its own rows only.
+
+        A run number that another writer has claimed is refused.
+        """
+        holder = self.claims().where(F.col("run_seq") == run_seq).first()
+        if holder is None:
+            self._claim(run_seq, writer, run_seq)
+        elif holder["writer"] != writer:
+            raise ValueError(f"run {run_seq} of the site belongs to {holder['writer']}")
         added.drop("run_seq").write.mode("overwrite").parquet(self.path(f"site/run_seq={run_seq}"))
 
     def read_site(self) -> DataFrame:

@@ -31,7 +31,11 @@ def landing_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def window_counts(rows: DataFrame, time: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows in tumbling windows of the run cadence, with late rows up to the fetch lateness."""
+    """Rows in tumbling windows of the run cadence, with late rows up to the fetch lateness.
+
+    To be written with `append_rows`: a window is written once, when the newest row is LATENESS
+    past its end; its state goes, and rows that come later than that are dropped.
+    """
     return (
         rows.withWatermark(time, LATENESS).groupBy(F.window(time, CADENCE).alias("span"), *by)
         .agg(F.count("*").alias("n"))
@@ -67,12 +71,14 @@ def _start(rows: DataFrame, checkpoint: str, mode: str, handle: Callable[[DataFr
 def merge_into(store: Store, rows: DataFrame, checkpoint: str) -> StreamingQuery:
     """Merge each micro-batch of site-shaped rows with unique `pos` into the site table.
 
-    The batch id is the run number. A repeated batch replaces its own rows, so a restart after a
-    crash adds nothing twice.
+    A micro-batch claims a run number of its own, after those of all earlier runs and writers. A
+    repeated batch finds its number and replaces its own rows, so a restart after a crash adds
+    nothing twice. The checkpoint names the writer, so jobs with other checkpoints may share a site.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
+        run_seq = store.claim_run(checkpoint, batch_id)
         # The rows are read several times; settle them so that the files are parsed once.
-        store.append_site(new_site_rows(store, settle(batch), batch_id), batch_id)
+        store.append_site(new_site_rows(store, settle(batch), run_seq), run_seq, checkpoint)
 
     return _start(rows, checkpoint, "append", merge)
 
@@ -86,8 +92,15 @@ def append_rows(store: Store, name: str, rows: DataFrame, checkpoint: str) -> St
 
 
 def replace_totals(store: Store, name: str, totals: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Keep a table of the newest totals."""
+    """Keep a table of the newest totals, which `newest` reads. Each micro-batch writes a version of its own."""
     def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(store.path(name))
+        batch.write.mode("overwrite").parquet(store.path(f"{name}/version={batch_id}"))
 
     return _start(totals, checkpoint, "complete", replace)
+
+
+def newest(store: Store, name: str) -> DataFrame:
+    """The newest version of the totals that `replace_totals` keeps."""
+    versions = store.spark.read.parquet(store.path(name))
+    last = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == last).drop("version")

@@ -29,12 +29,20 @@ def staged_articles(spark: SparkSession, folder: str, root: str) -> DataFrame:
     return spark.readStream.schema(rows.schema).parquet(f"{root}/articles")
 
 
-@query(ARTICLES + """ SELECT strftime(time_bucket(INTERVAL 12 HOUR, CAST(published_at AS TIMESTAMP), TIMESTAMP '1970-01-01'), '%Y-%m-%dT%H:%M:%S') AS span_start,
-  topic, count(*) AS n FROM articles GROUP BY 1, 2""")
+@query(ARTICLES + """, spans AS (
+  SELECT time_bucket(INTERVAL 12 HOUR, CAST(published_at AS TIMESTAMP), TIMESTAMP '1970-01-01') AS span, topic,
+    max(CAST(published_at AS TIMESTAMP)) OVER () AS newest FROM articles
+) SELECT strftime(span, '%Y-%m-%dT%H:%M:%S') AS span_start, topic, count(*) AS n
+FROM spans WHERE span + INTERVAL 12 HOUR <= newest - INTERVAL 25 HOUR GROUP BY 1, 2""")
 def stream_window_counts(spark, folder):
+    """Closed windows. A second drop brings all articles again with times far behind the watermark: they are dropped."""
     root = scratch_path(spark, "windows")
-    counts = jobs.window_counts(staged_articles(spark, folder, root), "time", ["topic"])
-    finish(jobs.replace_totals(Store(spark, root), "counts", counts, f"{root}/state"))
+    store = Store(spark, root)
+    rows = article_rows(spark, folder).select("topic", F.col("published_at").cast("timestamp").alias("time"))
+    for step, back in zip(STEPS, (0, 400)):
+        rows.withColumn("time", F.col("time") - F.make_dt_interval(days=F.lit(back))).write.parquet(f"{root}/drops/{step}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/drops/*")
+        finish(jobs.append_rows(store, "counts", jobs.window_counts(stream, "time", ["topic"]), f"{root}/state"))
     stored = spark.read.parquet(f"{root}/counts")
     return stored.select(F.date_format("span.start", "yyyy-MM-dd'T'HH:mm:ss").alias("span_start"), "topic", "n")
 
@@ -51,8 +59,9 @@ def stream_first_urls(spark, folder):
 def stream_category_totals(spark, folder):
     root = scratch_path(spark, "totals")
     totals = jobs.category_totals(staged_articles(spark, folder, root))
-    finish(jobs.replace_totals(Store(spark, root), "totals", totals, f"{root}/state"))
-    return spark.read.parquet(f"{root}/totals")
+    store = Store(spark, root)
+    finish(jobs.replace_totals(store, "totals", totals, f"{root}/state"))
+    return jobs.newest(store, "totals")
 
 
 def merged_by_stream(spark: SparkSession, folder: str) -> Store:
@@ -75,3 +84,16 @@ def stream_site_merge(spark, folder):
 @query(FLAGGED + f" SELECT pos, title, processed_at FROM merged WHERE {sql_time('processed_at')} >= {NOW} - INTERVAL 2 DAY")
 def stream_recent_view(spark, folder):
     return jobs.recent_view(merged_by_stream(spark, folder), AS_OF).select("pos", "title", "processed_at")
+
+
+@query(FLAGGED + f" SELECT run_seq + 7 AS run_seq, pos, {', '.join(SITE_FIELDS)} FROM merged")
+def stream_merge_onto_site(spark, folder):
+    """A stream that merges onto a site with an earlier run, number 7: its micro-batch gets the next number."""
+    root = scratch_path(spark, "onto")
+    store = Store(spark, root)
+    existing, batch = split_site(spark, folder)
+    store.append_site(existing.drop("run_seq"), 7)
+    batch.write.parquet(f"{root}/drops/drop=0")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{root}/drops/*")
+    finish(jobs.merge_into(store, stream, f"{root}/state"))
+    return store.read_site().select("run_seq", "pos", *SITE_FIELDS)
