@@ -6,6 +6,8 @@ definitions differ in a few characters. Spark's default `trim` and Java's bare `
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +71,12 @@ def slug(c: Column) -> Column:
     return F.when(c.isNull() | (c == ""), F.lit("article")).otherwise(F.substring(hyphened, 1, 80))
 
 
+def slug_of(value: str) -> str:
+    """`slug` of a plain text."""
+    kept = re.sub(rf"[^a-z0-9\-{_JS_SET}]", "", value.lower())
+    return re.sub(f"[{_JS_SET}]+", "-", kept.strip(JS_SPACES))[:80] if value else "article"
+
+
 def cut_repeated_block(c: Column, chunk: int) -> Column:
     """Text before the second occurrence of its own first `chunk` characters.
 

@@ -1,7 +1,8 @@
 """Article rows out of a document table and an event table.
 
-Derived text columns are projected before the join, and places are numbered on the narrow event
-side, so the wide document rows are shuffled at most once and only with the columns a query uses.
+Queries on text alone read `document_rows`, which is a scan. Those that need a topic, an author, a
+category or a time read `article_rows`, where derived text columns are projected before the join
+and places are numbered on the narrow event side, so the wide document rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -27,16 +28,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def spread_scan(rows: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that has fewer tasks than the session has cores, as of a single small file.
-
-    Text work is heavy for its bytes, so a lone scan task would do it alone. A large table has
-    more scan tasks than cores and stays as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def event_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Topic, user, category and publication time of each document."""
     return read_table(spark, folder, "events").select(
@@ -55,13 +46,16 @@ def queued_facts(spark: SparkSession, folder: str) -> DataFrame:
     return number_rows(facts, "pos", span_of("doc_id"), ["doc_id"], ["topic"])
 
 
-def article_rows(spark: SparkSession, folder: str, facts: DataFrame | None = None) -> DataFrame:
-    """One article for each document, with the facts of its event."""
-    lines = F.split("text", "\n", 4)
-    title = F.substring(F.get(lines, F.lit(0)), 1, 120)
-    bullet = [F.substring(F.coalesce(F.get(lines, F.lit(i)), F.lit("")), 1, 80) for i in (1, 2)]
+def document_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The text side of an article, from its document alone: one scan, without a shuffle.
+
+    The title is the whole first line; the summary lists all further lines.
+    """
+    lines = F.split("text", "\n", -1)
+    title = F.get(lines, F.lit(0))
+    points = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda line: F.concat(F.lit("- "), line))
     repeated = F.when(F.col("doc_id") % 10 == 9, F.col("doc_id") - 1).otherwise(F.col("doc_id"))
-    documents = read_table(spark, folder, "documents").select(
+    return read_table(spark, folder, "documents").select(
         "doc_id",
         F.concat(F.lit("https://www.example.org/"), repeated.cast("string")).alias("url"),
         title.alias("title"),
@@ -69,12 +63,16 @@ def article_rows(spark: SparkSession, folder: str, facts: DataFrame | None = Non
         "lang",
         F.col("text").alias("content"),
         F.concat(
-            F.lit("**"), title, F.lit("**\n\n### Key Points\n- "), bullet[0], F.lit("\n- "), bullet[1],
-            F.lit("\n\n### Why it Matters\n- "), F.get(lines, F.lit(0)),
+            F.lit("**"), title, F.lit("**\n\n### Key Points\n"), F.array_join(points, "\n"),
+            F.lit("\n\n### Why it Matters\n- "), title,
         ).alias("summary"),
     )
+
+
+def article_rows(spark: SparkSession, folder: str, facts: DataFrame | None = None) -> DataFrame:
+    """One article for each document, with the facts of its event where it has one."""
     facts = event_facts(spark, folder) if facts is None else facts
-    joined = spread_scan(documents, "doc_id").join(facts, "doc_id")
+    joined = document_rows(spark, folder).join(facts, "doc_id", "left")
     return joined.withColumns({
         "author": F.when(F.col("doc_id") % 11 != 0, F.col("user")),
         "processed_at": F.when(F.col("doc_id") % 97 == 0, F.lit(""))

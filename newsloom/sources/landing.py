@@ -26,7 +26,8 @@ class Landing:
 
 def with_file_facts(documents: DataFrame) -> DataFrame:
     """Add `path`, `topic` and `fetch_ts` from the file name; without a stamp the file time counts."""
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
+    # The path is percent-encoded; a plus sign stands for itself in it.
+    name = F.url_decode(F.replace(F.element_at(F.split(F.col("path"), "/"), -1), F.lit("+"), F.lit("%2B")))
     stamp = F.try_to_timestamp(F.regexp_extract(name, FILE_NAME, 2), F.lit(FILE_STAMP))
     return documents.withColumn(
         "topic", F.replace(F.regexp_extract(name, FILE_NAME, 1), F.lit("_"), F.lit(" "))

@@ -35,17 +35,17 @@ WITH lines AS (
 ), articles AS (
   SELECT d.doc_id, e.event_type AS topic,
     'https://www.example.org/' || CAST(CASE WHEN d.doc_id % 10 = 9 THEN d.doc_id - 1 ELSE d.doc_id END AS VARCHAR) AS url,
-    substr(l[1], 1, 120) AS title,
+    l[1] AS title,
     CASE WHEN d.doc_id % 11 <> 0 THEN 'user' || CAST(e.user_id AS VARCHAR) END AS author,
     d.source AS source_name, d.lang, 'cat' || CAST(e.user_id % 5 AS VARCHAR) AS category,
     d.text AS content,
-    '**' || substr(l[1], 1, 120) || '**' || chr(10) || chr(10) || '### Key Points' || chr(10)
-      || '- ' || substr(coalesce(l[2], ''), 1, 80) || chr(10) || '- ' || substr(coalesce(l[3], ''), 1, 80)
+    '**' || l[1] || '**' || chr(10) || chr(10) || '### Key Points' || chr(10)
+      || array_to_string(list_transform(l[2:], lambda x: '- ' || x), chr(10))
       || chr(10) || chr(10) || '### Why it Matters' || chr(10) || '- ' || l[1] AS summary,
     strftime(e.ts, '%Y-%m-%dT%H:%M:%S') AS published_at,
     CASE WHEN d.doc_id % 97 = 0 THEN '' WHEN d.doc_id % 89 = 0 THEN 'not a date'
          ELSE strftime(e.ts, '%Y-%m-%dT%H:%M:%S') END AS processed_at
-  FROM lines d JOIN events e ON e.event_id = d.doc_id
+  FROM lines d LEFT JOIN events e ON e.event_id = d.doc_id
 )"""
 
 QUEUED = ARTICLES + """, queued AS (

@@ -9,7 +9,7 @@ from newsloom.operators import gates, progress
 from newsloom.operators.numbering import number_rows, span_of
 from newsloom.plans.enrichment import enrich, enrich_until
 from newsloom.session import settle
-from newsloom.sources.articles import article_rows, queued_facts, read_table
+from newsloom.sources.articles import article_rows, document_rows, queued_facts, read_table
 from newsloom.sources.store import summary_reports
 from registry.base import ARTICLES, QUEUED, query
 from registry.texts import CATEGORIES, CUT, GATE
@@ -118,11 +118,11 @@ def summary_report_files(spark, folder):
     return summary_reports(progress.numbered_successes(cut))
 
 
-def first_words():
-    """Summary stand-in: the start of the article part of the prompt; some articles get no answer."""
+def whole_body():
+    """Summary stand-in: the article part of the prompt; some articles get no answer."""
     def run(texts):
         bodies = [text.split("Article:\n", 1)[1][:-1] for text in texts]
-        return [ValueError("no answer") if len(body) % 7 == 0 else body[:80] for body in bodies]
+        return [ValueError("no answer") if len(body) % 7 == 0 else body for body in bodies]
 
     return run
 
@@ -130,7 +130,7 @@ def first_words():
 def label_by_length():
     """Label stand-in: a category by the length of the summary part of the prompt."""
     def run(texts):
-        return [f" cat{len(text.split('Article summary:' + chr(10), 1)[1]) % 5}" for text in texts]
+        return [f" cat{len(text.split('Summary:' + chr(10), 1)[1]) % 5}" for text in texts]
 
     return run
 
@@ -148,9 +148,9 @@ STAGED = ARTICLES + f""", gated AS (
   SELECT *, known AND content_error IS NULL AS scraped,
     CASE WHEN length(kept) < 100 THEN 'Input text too short to summarise (' || length(kept) || ' chars)'
       WHEN length(kept) % 7 = 0 THEN 'ValueError: no answer'
-      WHEN length(trim(substr(kept, 1, 80), ' ' || chr(10))) < 50
-        THEN 'ValueError: Summary suspiciously short (' || length(trim(substr(kept, 1, 80), ' ' || chr(10))) || ' chars) — possible API issue'
-    END AS sum_error, trim(substr(kept, 1, 80), ' ' || chr(10)) AS sum_text
+      WHEN length(trim(kept, ' ' || chr(10))) < 50
+        THEN 'ValueError: Summary suspiciously short (' || length(trim(kept, ' ' || chr(10))) || ' chars) — possible API issue'
+    END AS sum_error, trim(kept, ' ' || chr(10)) AS sum_text
   FROM gated
 ), labelled AS (
   SELECT *, 'cat' || CAST(length(sum_text) % 5 AS VARCHAR) AS label, scraped AND sum_error IS NULL AS summed FROM asked
@@ -173,13 +173,13 @@ STAGED = ARTICLES + f""", gated AS (
 
 @query(STAGED + ' SELECT idx AS "index", * EXCLUDE (idx) FROM results')
 def staged_enrichment(spark, folder):
-    return enrich(stage_candidates(spark, folder), first_words, label_by_length, CATEGORIES)
+    return enrich(stage_candidates(spark, folder), whole_body, label_by_length, CATEGORIES)
 
 
 @query(STAGED + """ SELECT idx AS "index", r.* EXCLUDE (idx) FROM results r, goal
 WHERE r.idx <= coalesce(goal.last, 9223372036854775807)""")
 def enrichment_until_goal(spark, folder):
-    return enrich_until(stage_candidates(spark, folder), first_words, label_by_length, CATEGORIES, GOAL)
+    return enrich_until(stage_candidates(spark, folder), whole_body, label_by_length, CATEGORIES, GOAL)
 
 
 @query(STAGED + """ SELECT idx AS "index", scrape_error, CASE WHEN scrape_error IS NULL THEN
@@ -200,4 +200,4 @@ def latest_result_per_index(spark, folder):
 @query(ARTICLES + " SELECT doc_id, url, title FROM articles WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_remaining(spark, folder):
     done = read_table(spark, folder, "labels").select("doc_id")
-    return progress.remaining(article_rows(spark, folder), done, "doc_id").select("doc_id", "url", "title")
+    return progress.remaining(document_rows(spark, folder), done, "doc_id").select("doc_id", "url", "title")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import markup, prompts, text, times
 from newsloom.operators.gates import NO_TEXT, content_outcome
-from newsloom.sources.articles import AS_OF, article_rows, read_table, site_rows, spread_scan
+from newsloom.sources.articles import AS_OF, article_rows, document_rows, read_table, site_rows
 from registry.base import (
     ARTICLES, SITE, query, sql_day, sql_day_label, sql_excerpt, sql_html, sql_iso, sql_keywords, sql_plain,
     sql_short_date, sql_slug, sql_time, sql_title_key, NOW,
@@ -16,17 +16,17 @@ CATEGORIES = ("cat0", "cat1", "cat2", "cat3")
 
 
 def pages(spark, folder):
-    return spread_scan(read_table(spark, folder, "pages"), "page_id")
+    return read_table(spark, folder, "pages")
 
 
 @query(ARTICLES + f" SELECT doc_id, {sql_title_key('title')} AS title_key FROM articles")
 def normalize_title(spark, folder):
-    return article_rows(spark, folder).select("doc_id", text.normalize_title(F.col("title")).alias("title_key"))
+    return document_rows(spark, folder).select("doc_id", text.normalize_title(F.col("title")).alias("title_key"))
 
 
 @query(ARTICLES + f" SELECT doc_id, lower(trim(url)) AS url_key, {sql_title_key('title')} AS title_key FROM articles")
 def dedup_keys(spark, folder):
-    return article_rows(spark, folder).select(
+    return document_rows(spark, folder).select(
         "doc_id", text.url_key(F.col("url")).alias("url_key"), text.normalize_title(F.col("title")).alias("title_key")
     )
 
@@ -34,20 +34,20 @@ def dedup_keys(spark, folder):
 @query(ARTICLES + f" SELECT doc_id, {sql_slug('title')} AS slug, '/article/' || {sql_slug('title')} AS path FROM articles")
 def slugs(spark, folder):
     title = F.col("title")
-    return article_rows(spark, folder).select(
+    return document_rows(spark, folder).select(
         "doc_id", text.slug(title).alias("slug"), F.concat(F.lit("/article/"), text.slug(title)).alias("path")
     )
 
 
 @query(SITE + f" SELECT pos, {sql_excerpt('summary')} AS excerpt FROM site")
 def excerpts(spark, folder):
-    return site_rows(spark, folder).select("pos", markup.excerpt(F.col("summary")).alias("excerpt"))
+    return document_rows(spark, folder).select(F.col("doc_id").alias("pos"), markup.excerpt(F.col("summary")).alias("excerpt"))
 
 
 @query(ARTICLES + f""" SELECT doc_id, {sql_plain('summary')} AS plain_summary, {sql_plain('content')} AS plain_content
 FROM articles""")
 def strip_markdown(spark, folder):
-    return article_rows(spark, folder).select(
+    return document_rows(spark, folder).select(
         "doc_id", markup.strip_markdown(F.col("summary")).alias("plain_summary"),
         markup.strip_markdown(F.col("content")).alias("plain_content"),
     )
@@ -58,7 +58,7 @@ def strip_markdown(spark, folder):
   CAST(len(list_filter(string_split_regex(content, '\s+'), lambda w: w <> '')) AS BIGINT) AS content_words
 FROM articles""")
 def word_counts(spark, folder):
-    return article_rows(spark, folder).select(
+    return document_rows(spark, folder).select(
         "doc_id", text.word_count(F.col("summary")).alias("summary_words"),
         text.word_count(F.col("content")).alias("content_words"),
     )
@@ -72,7 +72,7 @@ def keywords(spark, folder):
 @query(ARTICLES + f""" SELECT doc_id, {sql_html('summary')} AS summary_html, {sql_html('content')} AS content_html
 FROM articles""")
 def markdown_html(spark, folder):
-    return article_rows(spark, folder).select(
+    return document_rows(spark, folder).select(
         "doc_id", markup.markdown_to_html(F.col("summary")).alias("summary_html"),
         markup.markdown_to_html(F.col("content")).alias("content_html"),
     )
@@ -130,20 +130,20 @@ CUT = """CASE WHEN length(content) > 300 AND instr(substr(content, 151), substr(
 FROM articles""")
 def content_gate_repeat_cut(spark, folder):
     stage = content_outcome(F.col("url"), F.col("content"))
-    rows = article_rows(spark, folder).select("doc_id", stage.alias("s"))
+    rows = document_rows(spark, folder).select("doc_id", stage.alias("s"))
     return rows.select("doc_id", F.col("s.ok").alias("ok"), F.col("s.value").alias("kept"), F.col("s.error").alias("error"))
 
 
-SUMMARY_HEAD, SUMMARY_TAIL = (part.replace("'", "''") for part in prompts.SUMMARY_PROMPT.split("{text}"))
-LABEL_TEXT = prompts.LABEL_PROMPT.replace("'", "''").replace("{labels}", "\n".join(f"  {c}" for c in (*CATEGORIES, "Other")))
-LABEL_HEAD, _rest = LABEL_TEXT.split("{title}")
-LABEL_MIDDLE, LABEL_TAIL = _rest.split("{summary}")
-
-
-@query(ARTICLES + f""" SELECT doc_id, '{SUMMARY_HEAD}' || content || '{SUMMARY_TAIL}' AS summary_prompt,
-  '{LABEL_HEAD}' || title || '{LABEL_MIDDLE}' || summary || '{LABEL_TAIL}' AS label_prompt FROM articles""")
+@query(ARTICLES + """ SELECT doc_id,
+  'Summarise the article below for a general reader in neutral words.' || chr(10)
+    || 'Give one bold sentence, then a section "### Key Points" of 3 to 6 bullets, then a section "### Why it Matters" of one bullet.' || chr(10)
+    || 'Use only facts of the article.' || chr(10) || chr(10) || 'Article:' || chr(10) || content || chr(10) AS summary_prompt,
+  'Choose the label that fits the article best and answer with the label alone.' || chr(10) || 'Labels:' || chr(10)
+    || '  cat0' || chr(10) || '  cat1' || chr(10) || '  cat2' || chr(10) || '  cat3' || chr(10) || '  Other' || chr(10)
+    || 'Title: ' || title || chr(10) || 'Summary:' || chr(10) || summary AS label_prompt
+FROM articles""")
 def prompt_columns(spark, folder):
-    return article_rows(spark, folder).select(
+    return document_rows(spark, folder).select(
         "doc_id", prompts.summary_prompt(F.col("content")).alias("summary_prompt"),
         prompts.label_prompt(F.col("title"), F.col("summary"), CATEGORIES).alias("label_prompt"),
     )
