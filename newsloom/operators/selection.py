@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.joins import KEY_ROWS, Size, measure, spread_join
+from newsloom.operators.joins import KEY_ROWS, Size, spread_join
 from newsloom.operators.numbering import SPAN, leading_per_group, leading_rows, number_rows, span_of
 from newsloom.session import settle
 
@@ -101,23 +101,32 @@ def greedy_select(
 
 def _first_copies(rows: DataFrame) -> DataFrame:
     """Keep the first of rows that agree in all keys; the others can never be accepted."""
-    return settle(
-        rows.groupBy("url", "title", "author", "source").agg(F.min("rank").alias("rank")).select(*_COLUMNS)
-    )
+    return rows.groupBy("url", "title", "author", "source").agg(F.min("rank").alias("rank")).select(*_COLUMNS)
 
 
 def _decide_block(
     open_rows: DataFrame, accepted: _Accepted, source_limit: int | None, goal: int | None, key_rows: int
 ) -> _Accepted:
-    """Run rounds until no row of the block is open or the goal lies ahead of the first open row."""
+    """Run rounds until no row of the block is open or the goal lies ahead of the first open row.
+
+    A round stores the open rows with a mark on the winners, and reads all it has to know from that
+    table in one pass. The rows that clash with winners are left out as the next round reads it.
+    """
     while True:
-        first = open_rows.agg(F.min("rank")).first()[0]
-        if first is None or accepted.meets(goal, before=first):
+        marked = settle(_marked(open_rows, accepted, source_limit))
+        width = sum((F.octet_length(c) for c in _COLUMNS[1:]), F.lit(16))
+        found = marked.agg(
+            F.count_if("won").alias("rows"), F.sum(F.when(F.col("won"), width)).alias("bytes"),
+            F.min(F.when(~F.col("won"), F.col("rank"))).alias("first"),
+        ).first()
+        size = Size(found["rows"], found["bytes"] or 0)
+        winners = marked.where("won").select(*_COLUMNS)
+        if size.rows:
+            accepted = accepted.plus(winners, size)
+        if found["first"] is None or accepted.meets(goal, before=found["first"]):
             return accepted
-        winners = settle(_winners(open_rows, accepted, source_limit))
-        size = measure(winners)
-        accepted = accepted.plus(winners, size)
-        open_rows = settle(_without_clashes(open_rows, winners, size, accepted, source_limit, key_rows))
+        still = marked.where(~F.col("won")).select(*_COLUMNS)
+        open_rows = _without_clashes(still, winners, size, accepted, source_limit, key_rows)
 
 
 def _exclusive_keys(source_limit: int | None) -> list[tuple[str, Column]]:
@@ -126,8 +135,8 @@ def _exclusive_keys(source_limit: int | None) -> list[tuple[str, Column]]:
     return [(name, (F.col(name) != "") if name in ("title", "author") else F.lit(True)) for name in names]
 
 
-def _winners(open_rows: DataFrame, accepted: _Accepted, source_limit: int | None) -> DataFrame:
-    """Open rows that are the first open row of each of their keys and have a free source place."""
+def _marked(open_rows: DataFrame, accepted: _Accepted, source_limit: int | None) -> DataFrame:
+    """Open rows; `won` are those that are the first open row of each of their keys and have a free source place."""
     keys = _exclusive_keys(source_limit)
     pairs = F.array_compact(
         F.array(*[
@@ -146,7 +155,7 @@ def _winners(open_rows: DataFrame, accepted: _Accepted, source_limit: int | None
         votes = votes.unionByName(_free_places(open_rows, accepted, source_limit))
         needed = needed + 1
     counted = votes.groupBy("rank").agg(F.count("*").alias("votes"))
-    return open_rows.join(counted, "rank").where(F.col("votes") == needed).select(*_COLUMNS)
+    return open_rows.join(counted, "rank", "left").withColumn("won", F.coalesce(F.col("votes") == needed, F.lit(False))).drop("votes")
 
 
 def _free_places(open_rows: DataFrame, accepted: _Accepted, source_limit: int) -> DataFrame:
