@@ -116,9 +116,10 @@ class Store:
         return self._results("results")
 
     def _results(self, name: str) -> DataFrame:
-        return _or_empty(
+        read = _or_empty(
             self.spark, schemas.RESULT, lambda: self.spark.read.schema(schemas.RESULT).parquet(self.path(name))
         )
+        return read.select(*schemas.RESULT.names)
 
     def read_progress(self, path: str) -> DataFrame:
         """Results of a saved progress document; missing or broken documents count as empty."""

@@ -166,3 +166,16 @@ FROM (SELECT unnest({list(TOPICS)}) AS topic) t LEFT JOIN (SELECT * FROM paged W
 GROUP BY t.topic""")
 def topic_fetch_counts(spark, folder):
     return corpus.topic_counts(topic_pages(spark, folder), TOPICS)
+
+
+DOMAINS = "alt.example.org, other.example.org"
+
+
+@query(HITS.replace("url, published_at FROM articles", "'https://' || CASE WHEN doc_id % 3 = 0 THEN 'alt' ELSE 'www' END || substr(url, 12) AS url, published_at FROM articles")
+       + " SELECT topic, doc_id, url FROM hits WHERE doc_id % 3 = 0")
+def topic_search_domains(spark, folder):
+    """Topic search within a list of hosts."""
+    host = F.when(F.col("doc_id") % 3 == 0, F.lit("https://alt")).otherwise(F.lit("https://www"))
+    articles = article_rows(spark, folder).withColumn("description", F.lit(None).cast("string")).drop("topic")
+    moved = articles.withColumn("url", F.concat(host, F.substring("url", 12, 1 << 20)))
+    return corpus.topic_hits(moved, TOPICS, AS_OF, DOMAINS).select("topic", "doc_id", "url")
