@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,9 @@ from newsloom.llm.frames import shielded, texts_of
 # Characters of unsplit text that are encoded in one piece.
 LEAF = 512
 # Words of a generation whose encoding a task keeps.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 # Bytes of text whose new words are encoded together.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 Span = tuple[int, int, int]
 
@@ -79,10 +79,11 @@ def encode_long(tok: Tokenizer, text: str, leaf: int = LEAF) -> list[int]:
         halves = [(a + b) // 2 for a, b in zip(bounds, bounds[1:])]
         bounds = sorted({*bounds, *halves})
     edges = list(zip(bounds, bounds[1:]))
-    level = [
-        (_spans(e, a), a, b)
-        for e, (a, b) in zip(tok.encode_batch([text[a:b] for a, b in edges], add_special_tokens=False), edges)
-    ]
+    before = os.environ.get("TOKENIZERS_PARALLELISM", "true")
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    leaves = tok.encode_batch([text[a:b] for a, b in edges], add_special_tokens=False)
+    os.environ["TOKENIZERS_PARALLELISM"] = before
+    level = [(_spans(e, a), a, b) for e, (a, b) in zip(leaves, edges)]
     while len(level) > 1:
         joined = [
             (join_halves(tok, text, x, y, a, b), a, b)
@@ -96,6 +97,8 @@ class Coder:
     """Encodes texts word by word: the pre-tokenizer drops white space, so words are independent."""
 
     def __init__(self, spec: str, leaf: int = LEAF):
+        # A task has one core; threads of the library would only hold memory. The leaves of long text use them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_padding()
         self.tok.no_truncation()
@@ -139,11 +142,6 @@ class Coder:
         return ids, decoded
 
 
-@lru_cache(maxsize=2)
-def _coder(spec: str, leaf: int) -> Coder:
-    return Coder(spec, leaf)
-
-
 def check_spec(spec: str) -> None:
     """Refuse a tokenizer for which words are not independent or whose decoder joins otherwise."""
     kind = json.loads(spec)
@@ -171,7 +169,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", leaf: int = LEAF
     place, names = rows.columns.index(text), [*rows.columns, "ids", "decoded"]
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared.value, leaf)
+        # For each task anew, so that no memory is held between tasks.
+        coder = Coder(shared.value, leaf)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
