@@ -63,11 +63,9 @@ def breadcrumb_ld(names: list[Column], paths: list[Column], site_url: str) -> Co
     ))
 
 
-def collection_ld(label: Column, path: Column, parts: Column, site_url: str) -> Column:
+def collection_ld(label: Column, path: Column, parts: Column, site_url: str, described: Column) -> Column:
     """CollectionPage; `parts` is an array of `(path, headline)`."""
     page = F.concat(F.lit(site_url), path)
-    # A fixed text.
-    described = F.concat(label, F.lit(" — tech news summaries curated by AI, updated every 12 hours."))
     listed = F.transform(parts, lambda part: F.struct(
         F.lit("NewsArticle").alias("@type"),
         F.concat(F.lit(site_url), part["path"]).alias("@id"),

@@ -48,6 +48,12 @@ class SiteSettings:
     url: str = "https://news.example.org"
     name: str = "Newsloom"
     description: str = "Short summaries of curated news, updated every 12 hours."
+    # Page sentences; {n} stands for a count, {query} and {label} for what the page is about.
+    home_title: str = "Curated news in short"
+    category_text: str = "{label}: {n} in short."
+    hits_text: str = "{n} found for {query}."
+    no_hits_text: str = "Nothing found for {query}."
+    collection_text: str = "{label}, newest first."
     queries: tuple[str, ...] = SEARCH_QUERIES
 
     @property
@@ -55,6 +61,19 @@ class SiteSettings:
         return f"{self.url}/og-image.png"
 
 
+def sentence(template: str, **values: Column) -> Column:
+    """A template with values in its places."""
+    pieces = [template]
+    for name, value in values.items():
+        place = "{" + name + "}"
+        cut = []
+        for piece in pieces:
+            parts = piece.split(place) if isinstance(piece, str) else [piece]
+            cut += [x for part in parts for x in (part, value)][:-1]
+        pieces = cut
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
+
+
 def article_path(title: Column) -> Column:
     return F.concat(F.lit("/article/"), slug(title))
 
@@ -200,9 +219,7 @@ def category_pages(site: DataFrame, settings: SiteSettings) -> DataFrame:
         category.alias("category"), "slug", F.concat(F.lit("/category/"), F.col("slug")).alias("path"),
         n.alias("n"), F.col("page.first_pos").alias("first_pos"), "n_categories",
         F.concat(category, F.lit(f" — {settings.name}")).alias("title"),
-        F.concat(
-            category, F.lit(f" news and summaries from {settings.name} — "), counted(n), F.lit(" curated by AI.")
-        ).alias("description"),
+        sentence(settings.category_text, label=category, n=counted(n)).alias("description"),
     ).orderBy("category")
 
 
@@ -228,7 +245,8 @@ def collection_documents(site: DataFrame, settings: SiteSettings) -> DataFrame:
     )
     return parts.select(
         "page", "label",
-        structured.collection_ld(F.col("label"), F.col("page"), F.col("parts"), settings.url).alias("json_ld"),
+        structured.collection_ld(
+            F.col("label"), F.col("page"), F.col("parts"), settings.url, sentence(settings.collection_text, label=F.col("label"))).alias("json_ld"),
     )
 
 
@@ -259,14 +277,8 @@ def search_pages(site: DataFrame, settings: SiteSettings) -> DataFrame:
         [(settings.queries.index(q), q) for q in searches(settings.queries)], "ord bigint, query string"
     )
     n = F.coalesce(F.col("n"), F.lit(0))
-    none = F.concat(
-        F.lit('No results for "'), F.col("query"),
-        F.lit(f'" on {settings.name}. Browse our latest tech news summaries.'),
-    )
-    some = F.concat(
-        n.cast("string"), F.lit(' AI-curated tech articles about "'), F.col("query"),
-        F.lit('". Updated every 12 hours.'),
-    )
+    none = sentence(settings.no_hits_text, query=F.col("query"))
+    some = sentence(settings.hits_text, query=F.col("query"), n=counted(n))
     return asked.join(counts, "query", "left").select(
         "ord", "query", search_path(F.col("query")).alias("path"), n.alias("n"),
         F.concat(F.col("query"), F.lit(f" — Search Results | {settings.name}")).alias("title"),
@@ -358,7 +370,7 @@ def page_manifest(site: DataFrame, settings: SiteSettings) -> DataFrame:
     name, nothing = settings.name, F.lit(None).cast("string")
     indexed = F.lit("index, follow").alias("robots")
     home = site.sparkSession.createDataFrame(
-        [("/", f"{name} — AI & Technology News", settings.description)],
+        [("/", f"{name} — {settings.home_title}", settings.description)],
         "path string, title string, description string",
     ).select("path", F.lit("home").alias("kind"), "title", "description", indexed)
     categories = category_pages(site, settings).select(

@@ -33,15 +33,15 @@ SEARCHED = SITE + f""", found AS (
   FROM {QUERY_ROWS} q LEFT JOIN found f ON f.ord = q.ord GROUP BY q.ord, q.query
 ), search_rows AS (
   SELECT *, query || ' — Search Results | {NAME}' AS title,
-    CASE WHEN n = 0 THEN 'No results for "' || query || '" on {NAME}. Browse our latest tech news summaries.'
-      ELSE n || ' AI-curated tech articles about "' || query || '". Updated every 12 hours.' END AS description,
+    CASE WHEN n = 0 THEN 'Nothing found for ' || query || '.'
+      ELSE {COUNTED.format(n='n')} || ' found for ' || query || '.' END AS description,
     CASE WHEN n = 0 THEN 'noindex, follow' ELSE 'index, follow' END AS robots,
     CASE WHEN n = 0 THEN 'No articles match "' || query || '".' END AS message
   FROM searches
 ), cats AS (
   SELECT category, {sql_slug('category')} AS slug, {CATEGORY_PATH} AS path, count(*) AS n, min(pos) AS first_pos, 1::BIGINT AS n_categories,
     category || ' — {NAME}' AS title,
-    category || ' news and summaries from {NAME} — ' || {COUNTED.format(n='count(*)')} || ' curated by AI.' AS description
+    category || ': ' || {COUNTED.format(n='count(*)')} || ' in short.' AS description
   FROM site WHERE category <> '' GROUP BY category
 )"""
 
@@ -169,7 +169,7 @@ def collection_parts(spark, folder):
 
 
 @query(PARTS + f""" SELECT page, label, CAST(json_object('@context', 'https://schema.org', '@type', 'CollectionPage', '@id', '{URL}' || page,
-  'name', label, 'url', '{URL}' || page, 'description', label || ' — tech news summaries curated by AI, updated every 12 hours.',
+  'name', label, 'url', '{URL}' || page, 'description', label || ', newest first.',
   'publisher', json_object('@id', '{URL}/#organization'),
   'hasPart', to_json(list(json_object('@type', 'NewsArticle', '@id', '{URL}' || path, 'headline', headline, 'url', '{URL}' || path) ORDER BY pos))
 ) AS VARCHAR) AS json_ld FROM parts GROUP BY page, label""")
@@ -220,7 +220,7 @@ def list_breadcrumb_jsonld(spark, folder):
 MANIFEST = SEARCHED + f""", winners AS (
   SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY {sql_slug('title')} ORDER BY pos DESC) AS r FROM site) WHERE r = 1
 ), manifest AS (
-  SELECT '/' AS path, 'home' AS kind, '{NAME} — AI & Technology News' AS title, '{SETTINGS.description}' AS description,
+  SELECT '/' AS path, 'home' AS kind, '{NAME} — Curated news in short' AS title, '{SETTINGS.description}' AS description,
     'index, follow' AS robots, NULL::VARCHAR AS author, NULL::VARCHAR AS section, NULL::VARCHAR AS published_time,
     NULL::VARCHAR AS modified_time, NULL::VARCHAR AS news_keywords, NULL::VARCHAR AS tags, 'website' AS og_type
   UNION ALL SELECT path, 'category', title, description, 'index, follow', NULL, NULL, NULL, NULL, NULL, NULL, 'website' FROM cats
