@@ -18,7 +18,7 @@ from newsloom.session import settle
 # Bytes of context.
 ORDER = 5
 # Trie nodes that a model may have; with more, the rarest go.
-NODES = 4_000_000
+NODES = 1_000_000
 # Words whose counts the tasks hold; others are joined.
 COMMON_WORDS = 100_000
 # The byte before and after a text. It is white space, so no word holds it.
@@ -258,7 +258,8 @@ def score(docs: DataFrame, learns: str, doc_id: str = "doc_id", text: str = "tex
     sizes = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     below = float(sizes["n"] + sizes["v"] + 1)
     # At most `common` words, so they may be sent to every task.
-    held = {r["word"].encode(): r["n"] for r in words.orderBy(F.col("n").desc(), "word").limit(common).collect()}
+    top = words.orderBy(F.col("n").desc(), "word").limit(common).toArrow()
+    held = dict(zip(texts_of(top.column("word").combine_chunks()), top.column("n").to_pylist()))
     shared = docs.sparkSession.sparkContext.broadcast((model, held))
 
     @F.arrow_udf("struct<n_tokens: long, n_known: long, base: double, score: double, rest: array<string>>")
