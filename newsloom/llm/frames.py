@@ -29,6 +29,17 @@ def shielded(docs: DataFrame, replaced: tuple[str, ...]) -> tuple[DataFrame, lis
     return docs.select(*(F.col(f"`{c}`").alias(hidden.get(c, c)) for c in kept)), back
 
 
+def sampled(rows: DataFrame, key: Column, size: int) -> DataFrame:
+    """About `size` rows, the same at every run: those with a small hash of `key`. All rows if there are no more.
+
+    A filter in the map tasks, so that no task gathers candidates of all others.
+    """
+    n = rows.count()
+    if n <= size:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int(size / n * (1 << 40))))
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 texts of an Arrow string column, null as the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

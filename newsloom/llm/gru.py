@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.frames import shielded
+from newsloom.llm.frames import sampled, shielded
 
 UNITS = 8
 # Bytes that run through the network as one sequence; a text is cut into such windows, all of them read.
@@ -165,19 +165,20 @@ def cut(text: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     return padded.reshape(n, window).T, live.reshape(n, window).T
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = 3000, windows: int = 4, languages: int = 64) -> Network | None:
-    """A network from at most `rows` documents, those with the smallest hash of the text, and `windows`
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = 3000, windows: int = 4, languages: int = 64) -> Network | None:
+    """A network from about `rows` documents, those with a small hash of the id, and `windows`
     windows from each, spread over its whole text. The `languages` most frequent labels of the sample
-    are learned. None if no document has a label and a text. The sample, at most rows * windows *
-    WINDOW bytes, is what the driver sees; only text and label are read.
+    are learned. None if no document has a label and a text. The sample, about rows * windows *
+    WINDOW bytes, is what the driver sees; the id deals rows to the sample and is no input.
     """
     sample = (
-        docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
+        sampled(docs.where(F.col(lang).isNotNull()), F.col(doc_id), rows).where(F.length(text) > 0)
         .select(F.xxhash64(text).alias("h"), F.encode(F.col(text), "utf-8").alias("t"), F.col(lang).alias("l"))
         .select("h", "l", *(
             F.substring("t", (F.octet_length("t") * i / windows).cast("int") + 1, WINDOW).alias(f"w{i}") for i in range(windows)))
-        .orderBy("h", "l").limit(rows).collect()
+        .collect()
     )
+    sample.sort(key=lambda r: (r["h"], r["l"]))
     counts: dict[str, int] = {}
     for r in sample:
         counts[r["l"]] = counts.get(r["l"], 0) + 1

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.components import components, forest
+from newsloom.llm.frames import sampled
 from newsloom.session import settle
 
 BITS = 64
@@ -52,8 +53,8 @@ def codes(rows: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def learn(vectors: DataFrame, rows: int = 20_000) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """A model for each length in the sample of at most `rows` vectors `v` with the smallest hashes."""
-    sample = vectors.select("v").orderBy(F.xxhash64("v"), "v").limit(rows).toPandas()["v"]
+    """A model for each length in a sample of about `rows` vectors `v`."""
+    sample = sorted(sampled(vectors.select("vec_id", "v"), F.col("vec_id"), rows).toPandas()["v"], key=tuple)
     by_size: dict[int, list] = {}
     for v in sample:
         by_size.setdefault(len(v), []).append(v)
@@ -210,7 +211,7 @@ def near_vectors(
     and rows with a null label, link with nothing; a row without an id has no component and is not
     kept. Ids should be unique; equal rows are copies of each other. Other columns are ignored.
 
-    Every vector gets a code of 64 bits from a rotation learned on at most `sample` vectors. A pair
+    Every vector gets a code of 64 bits from a rotation learned on about `sample` vectors. A pair
     is found when one of four 16-bit parts differs in at most one bit and the codes in at most
     `reach` bits; it is then checked on the vectors. Each pair is met in one table entry only, so
     nothing is counted twice. Entries of more than `listed` vectors do not list their pairs: their

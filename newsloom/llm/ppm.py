@@ -214,14 +214,19 @@ def learn(texts: DataFrame, text: str, nodes: int = NODES) -> Model:
     tree = settle(deep.groupBy("x.depth", "x.key").agg(F.sum("n").alias("n")))
     power = F.floor(F.log2("n") + 1e-9).cast("int")
     by_power = dict(map(tuple, tree.groupBy(power.alias("p")).count().collect()))
-    least = 0
-    while sum(c for p, c in by_power.items() if p >= least) > nodes:
-        least += 1
-    kept = tree.where(power >= least).toArrow()
+    kept = tree.where(power >= _least(by_power, nodes)).toArrow()
     depth, key, n = (kept.column(c).to_numpy() for c in ("depth", "key", "n"))
     return Model([_level(key[depth == d], n[depth == d]) for d in range(ORDER + 1)])
 
 
+def _least(by_power: dict[int, int], most: int) -> int:
+    """The smallest power whose rows, with those of all larger ones, are at most `most`."""
+    least = 0
+    while sum(c for p, c in by_power.items() if p >= least) > most:
+        least += 1
+    return least
+
+
 def _count_words(batches: Iterator[pa.RecordBatch], limit: int = 300_000) -> Iterator[pa.RecordBatch]:
     def rows(counts):
         return pa.RecordBatch.from_arrays(
@@ -247,8 +252,8 @@ def score(docs: DataFrame, learns: str, doc_id: str = "doc_id", text: str = "tex
     prediction by partial matching. A null text is the empty one, whose only token is the end. Rows
     that repeat an id are scored each. Other columns are ignored.
 
-    Words are counted over all learning rows. Tasks hold the counts of the `common` most frequent
-    words; the words of a text that are not among them meet their counts in a join, where no word is
+    Words are counted over all learning rows. Tasks hold the counts of at most `common` of the most
+    frequent words; the words of a text that are not among them meet their counts in a join, where no word is
     hot. Texts are read three times and never shuffled.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.expr(learns).alias("_learns"))
@@ -257,8 +262,10 @@ def score(docs: DataFrame, learns: str, doc_id: str = "doc_id", text: str = "tex
     words = settle(learning.select("_text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     sizes = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     below = float(sizes["n"] + sizes["v"] + 1)
-    # At most `common` words, so they may be sent to every task.
-    top = words.orderBy(F.col("n").desc(), "word").limit(common).toArrow()
+    # At most `common` words, those of a count or more, so they may be sent to every task.
+    power = F.floor(F.log2("n") * 4 + 1e-9).cast("int")
+    least = _least(dict(map(tuple, words.groupBy(power.alias("p")).count().collect())), common)
+    top = words.where(power >= least).toArrow()
     held = dict(zip(texts_of(top.column("word").combine_chunks()), top.column("n").to_pylist()))
     shared = docs.sparkSession.sparkContext.broadcast((model, held))
 

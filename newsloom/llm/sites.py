@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.frames import texts_of
+from newsloom.llm.frames import sampled, texts_of
 from newsloom.session import settle
 
 # Classes of bytes: upper case, lower case, digits, other printable signs.
@@ -61,14 +61,12 @@ def _featured(column: str) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = 20_000) -> np.ndarray | None:
-    """Coefficients of the document classifier from at most `rows` labelled documents, those with the
-    smallest hash of the id; None without documents of both labels. Null ids, labels and texts are left out."""
-    picked = (
-        labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
-        .select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).distinct()
-        .orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
-    )
-    # The picked rows are at most `rows` ids and labels, so they may be broadcast.
+    """Coefficients of the document classifier from about `rows` labelled documents, those with a
+    small hash of the id; None without documents of both labels. Null ids, labels and texts are left out."""
+    marks = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(
+        F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
+    # The picked rows are about `rows` ids and labels, so they may be broadcast.
+    picked = sampled(marks, F.col("_id"), rows).distinct()
     sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text is not null").join(F.broadcast(picked), "_id")
     data = np.array([[*r["x"], r["_label"]] for r in sample.select(_featured("_text").alias("x"), "_label").collect()])
     if not len(data) or len(set(data[:, -1])) < 2:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.frames import shielded, texts_of
+from newsloom.llm.frames import sampled, shielded, texts_of
 from newsloom.session import settle
 
 # Look-alike letters of other scripts, and digits that stand for letters.
@@ -164,7 +164,7 @@ def learn(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
     rows: int = 20_000, terms: int = 1_000, support: int = 10, least: float = 2.0, exceptions: Sequence[str] = (),
 ) -> Lexicon:
-    """Lexicon from at most `rows` labelled documents, those with the smallest hash of the id.
+    """Lexicon from about `rows` labelled documents, those with a small hash of the id.
 
     Terms are words and beginnings of words that occur `support` or more times under label 1 and
     whose log odds are `least` or more; at most `terms` are kept. `exceptions` are phrases in
@@ -173,12 +173,10 @@ def learn(
     with several labels counts once for each. Without rows of both labels the lexicon is empty and
     every score is about 0. What reaches the driver is bounded by `rows` and by 20 * `terms`.
     """
-    picked = (
-        labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
-        .select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).distinct()
-        .orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
-    )
-    # The picked rows are at most `rows` ids and labels, so they may be broadcast.
+    marks = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(
+        F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
+    # The picked rows are about `rows` ids and labels, so they may be broadcast.
+    picked = sampled(marks, F.col("_id"), rows).distinct()
     sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text is not null").join(
         F.broadcast(picked), "_id").select("_text", "_label")
     sample = settle(sample)
