@@ -19,6 +19,8 @@ def database(small_dir):
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_equals_sql(spark, small_dir, database, name):
+    if name not in entry.oracle_sql():
+        pytest.skip("not expressible in SQL; compared with a plain version in tests/llm")
     frame = entry.queries()[name](spark, small_dir)
     found = database.execute(entry.oracle_sql()[name])
     order = [d[0] for d in found.description]
