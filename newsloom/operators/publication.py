@@ -178,7 +178,7 @@ def listing_rows(site: DataFrame, settings: SiteSettings) -> DataFrame:
 
     pages = [listed(F.lit("/"), F.lit("Latest News"))]
     pages.append(F.when(F.col("category_page").isNotNull(), listed(F.col("category_page"), F.col("category"))))
-    for query in searches(settings.queries):
+    for query in kept_queries(settings.queries):
         label = F.lit(f'Search: "{query}"')
         pages.append(F.when(F.contains("_text", F.lit(query.lower())), listed(search_path(F.lit(query)), label)))
     text = search_text(*[F.col(c) for c in SEARCH_FIELDS])
@@ -253,7 +253,7 @@ def collection_documents(site: DataFrame, settings: SiteSettings) -> DataFrame:
 # --- search ---------------------------------------------------------------------------------
 
 
-def searches(queries: Sequence[str]) -> list[str]:
+def kept_queries(queries: Sequence[str]) -> list[str]:
     """The queries that keep their page: of those with one slug the last."""
     return list({slug_of(q): q for q in queries}.values())
 
@@ -272,9 +272,9 @@ def search_hits(site: DataFrame, queries: Sequence[str]) -> DataFrame:
 
 def search_pages(site: DataFrame, settings: SiteSettings) -> DataFrame:
     """One row for each query, also for one without hits, which is not to be indexed."""
-    counts = search_hits(site, searches(settings.queries)).groupBy("query").agg(F.count("*").alias("n"))
+    counts = search_hits(site, kept_queries(settings.queries)).groupBy("query").agg(F.count("*").alias("n"))
     asked = site.sparkSession.createDataFrame(
-        [(settings.queries.index(q), q) for q in searches(settings.queries)], "ord bigint, query string"
+        [(settings.queries.index(q), q) for q in kept_queries(settings.queries)], "ord bigint, query string"
     )
     n = F.coalesce(F.col("n"), F.lit(0))
     none = sentence(settings.no_hits_text, query=F.col("query"))
@@ -297,7 +297,7 @@ def list_breadcrumbs(site: DataFrame, settings: SiteSettings) -> DataFrame:
     home = site.sparkSession.createDataFrame([("/",)], "path string").select("path", trail([], []))
     categories = category_pages(site, settings).select("path", trail([F.col("category")], [F.col("path")]))
     label = F.concat(F.lit('Search: "'), F.col("query"), F.lit('"'))
-    queries = site.sparkSession.createDataFrame([(q,) for q in searches(settings.queries)], "query string")
+    queries = site.sparkSession.createDataFrame([(q,) for q in kept_queries(settings.queries)], "query string")
     searches = queries.withColumn("path", search_path(F.col("query"))).select("path", trail([label], [F.col("path")]))
     return home.unionByName(categories).unionByName(searches)
 

@@ -1,5 +1,6 @@
 """Merge, history and publication operators against brute force."""
 
+import dataclasses
 import itertools
 import random
 
@@ -99,7 +100,7 @@ def test_search_has_no_hit_across_fields(spark):
     pages = {r["query"]: r for r in pub.search_pages(rows, SETTINGS).collect()}
     assert pages["alpha"]["n"] == 2 and pages["alpha"]["robots"] == "index, follow" and pages["alpha"]["message"] is None
     assert pages["no hit"]["n"] == 0 and pages["no hit"]["robots"] == "noindex, follow"
-    assert pages["no hit"]["path"] == "/search/no-hit" and "No results" in pages["no hit"]["description"]
+    assert pages["no hit"]["path"] == "/search/no-hit" and "Nothing found" in pages["no hit"]["description"]
 
 
 def test_date_groups_put_unknown_first(spark):
@@ -168,3 +169,14 @@ def test_leading_rows_match_sorting(spark):
     assert by_page == {
         "/": list(range(10)), "/category/a": list(range(0, 20, 2)), "/category/b": list(range(1, 20, 2))
     }
+
+
+def test_of_searches_with_one_slug_the_last_keeps_the_page(spark):
+    settings = dataclasses.replace(SETTINGS, queries=("new wave", "alpha", "new-wave"))
+    rows = site(spark, [{"title": "new wave"}, {"title": "the new-wave"}, {"title": "alpha"}])
+    pages = pub.search_pages(rows, settings).collect()
+    assert sorted((r["query"], r["path"], r["n"]) for r in pages) == [("alpha", "/search/alpha", 1), ("new-wave", "/search/new-wave", 1)]
+    cards = pub.listing_rows(rows, settings).where("page = '/search/new-wave'").collect()
+    assert [r["pos"] for r in cards] == [1]
+    trails = [r["path"] for r in pub.list_breadcrumbs(rows, settings).collect()]
+    assert len(trails) == len(set(trails))
