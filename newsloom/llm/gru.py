@@ -202,17 +202,16 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     lengths = np.array([len(t) for t in texts])
     pieces = -(-lengths // WINDOW)
     owner = np.repeat(np.arange(len(texts)), pieces)
-    at, first = 0, 0
-    while at < len(owner):
-        last = at + min(TOGETHER, len(owner) - at)
-        docs = range(owner[at], owner[last - 1] + 1)
-        start = (np.cumsum(pieces) - pieces)[docs[0]]
-        whole = [cut(texts[d]) for d in docs]
-        windows = np.concatenate([w for w, _ in whole], axis=1)[:, at - start: last - start]
-        live = np.concatenate([l for _, l in whole], axis=1)[:, at - start: last - start]
-        shares = (position_probabilities(net, np.ascontiguousarray(windows), live) * live[:, None, :]).sum(axis=0)
+    first = np.cumsum(pieces) - pieces
+    for at in range(0, len(owner), TOGETHER):
+        last = min(at + TOGETHER, len(owner))
+        parts = [
+            cut(texts[d][max(0, at - first[d]) * WINDOW: (last - first[d]) * WINDOW])
+            for d in range(owner[at], owner[last - 1] + 1)
+        ]
+        windows, live = (np.concatenate([p[i] for p in parts], axis=1) for i in (0, 1))
+        shares = (position_probabilities(net, windows, live) * live[:, None, :]).sum(axis=0)
         np.add.at(totals, owner[at:last], shares.T)
-        at, first = last, first + 1
     return totals / np.maximum(lengths, 1)[:, None]
 
 
