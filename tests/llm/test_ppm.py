@@ -89,6 +89,19 @@ def test_scores(spark, common):
     assert all(r["score"] < 0 for r in found)
 
 
+@pytest.mark.parametrize("nodes", [0, 200, 10**6])
+def test_every_count_is_used(spark, nodes):
+    """Scores are those of the whole trie, however few grams the tasks hold."""
+    rows = list(enumerate([*texts(70, 3), "zzz ünknown ÿ", "", None, "ba" * 50]))
+    learned = [t for i, t in rows if i % 3]
+    trie = plain_trie(learned)
+    assert sum(map(len, trie.values())) > 200
+    for r in ppm.score(documents(spark, rows), "doc_id % 3 <> 0", nodes=nodes).collect():
+        data = spelled(dict(rows)[r["doc_id"]]).encode()
+        want = sum(plain_log10(trie, data[at - ppm.ORDER: at], data[at]) for at in range(ppm.ORDER, len(data)))
+        assert r["score"] == pytest.approx(want, abs=1e-3)
+
+
 def test_empty_tables(spark):
     assert ppm.score(documents(spark, []), "true").collect() == []
     row = ppm.score(documents(spark, [(1, "a b")]), "false").first()
