@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, fim, gru, itq, mixing, passages, ppm, simhash, sites, topk, toxicity
+from newsloom.llm import bpe, fim, gru, itq, mixing, passages, ppm, simhash, sites, topk, toxicity, turns
 from newsloom.llm.frames import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,79 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
   sha256(t) AS restored_sha256
 FROM cut
 """
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with planted faults, by a hash of `conv_id:turn`; nulls become one space, dropped rows are marked."""
+    space = F.lit(" ")
+    hashed = F.crc32(F.concat(*(F.coalesce(F.col(c).cast("string"), space) if c else F.lit(":") for c in ("conv_id", "", "turn"))).cast("binary"))
+    fault, text = F.col("_fault"), F.coalesce(F.col("text"), space)
+    return rows.withColumn("_fault", hashed % 20).select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(F.coalesce(F.col("role"), space)).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (fault != 0).alias("there"), F.explode(F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy")).drop("_copy")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return turns.summaries(turns.repair(damaged(rows), there="there"))
+
+
+ORACLES["op13_conversation_repair"] = r"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), faulty AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(k, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: xor(x >> 1, (x & 1::UBIGINT) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 20 AS fault
+  FROM coded
+), there AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM faulty, range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM there
+), judged AS (
+  SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS bad
+  FROM ordered
+), ids AS (
+  SELECT DISTINCT conv_id FROM conversations
+), sizes AS (
+  SELECT c.conv_id, count(j.i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (bad = 1) AS blank, count(*) FILTER (bad = 2) AS duplicate, count(*) FILTER (bad = 3) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM ids c LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id
+), following(state, due, name) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')
+), inserts AS (
+  SELECT state AS origin, state, 0 AS price, '' AS letters, []::VARCHAR[] AS added FROM following
+  UNION ALL SELECT state, due, 3, 'I', [name || ':'] FROM following
+  UNION ALL SELECT f.state, g.due, 6, 'II', [f.name || ':', g.name || ':'] FROM following f JOIN following g ON g.state = f.due
+), kept(state, initial, target) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)
+), ways AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS way FROM ids
+  UNION ALL
+  SELECT conv_id, i + 1, target, min({'cost': cost, 'audit': audit, 'lines': lines}) FROM (
+    SELECT w.conv_id, w.i, e.target, w.way.cost + s.price + e.price AS cost, w.way.audit || s.letters || e.letter AS audit,
+      list_concat(w.way.lines, s.added, e.added) AS lines
+    FROM ways w JOIN inserts s ON s.origin = w.state
+    JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+    JOIN LATERAL (
+      SELECT s.state AS target, 4 AS price, 'D' AS letter, []::VARCHAR[] AS added
+      UNION ALL SELECT due, 3 + CASE bad WHEN 3 THEN 3 ELSE 0 END, 'R', [f.name || ':' || j.text] FROM following f WHERE f.state = s.state AND j.bad IN (0, 3)
+      UNION ALL SELECT target, CASE bad WHEN 3 THEN 3 ELSE 0 END, 'K', [j.role || ':' || j.text] FROM kept t
+        WHERE t.state = s.state AND t.initial = j.initial AND j.bad IN (0, 3)) e ON true
+  ) GROUP BY conv_id, i, target
+), ended AS (
+  SELECT w.conv_id, min({'cost': w.way.cost + s.price, 'audit': w.way.audit || s.letters, 'lines': list_concat(w.way.lines, s.added)}) AS way
+  FROM ways w JOIN inserts s ON s.origin = w.state AND s.state IN (0, 3) JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND z.n = w.i
+  GROUP BY w.conv_id
+)
+SELECT z.conv_id, gaps, blank, duplicate, truncated, illegal, way.cost AS cost, way.audit AS audit,
+  sha256(coalesce(array_to_string(way.lines, chr(10)), '')) AS repaired_sha256
+FROM sizes z JOIN ended e ON e.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
