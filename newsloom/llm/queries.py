@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, fim, gru, itq, mixing, passages, ppm, simhash, sites, topk, toxicity, turns
+from newsloom.llm import bpe, byte_bpe, fim, gru, itq, mixing, passages, ppm, simhash, sites, topk, toxicity, turns
 from newsloom.llm.frames import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,6 +181,15 @@ FROM cut
 """
 
 
+@query
+def op12_byte_bpe_round_trip(spark: SparkSession, folder: str, ranks: str | None = None) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode(docs, ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        _hashed(F.array_join(F.col("ids").cast("array<string>"), ","), "ids_sha256"), _hashed("decoded", "decoded_sha256"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversation rows with planted faults, by a hash of `conv_id:turn`; nulls become one space, dropped rows are marked."""
     space = F.lit(" ")
