@@ -30,6 +30,7 @@ SEARCH_QUERIES = (
     "ai", "artificial-intelligence", "machine-learning", "openai", "llm", "generative-ai",
     "cybersecurity", "cloud-computing", "python", "web-development",
 )
+HOME_LABEL = "Latest News"
 SEARCH_FIELDS = ("title", "summary", "category", "source", "author")
 RELATED = 4
 PROBE = 64
@@ -168,6 +169,10 @@ def with_category_page(site: DataFrame) -> DataFrame:
     return marked.withColumn("category_page", F.when(F.col("_replaced").isNull(), path)).drop("_replaced")
 
 
+def search_label(query: Column) -> Column:
+    return F.concat(F.lit('Search: "'), query, F.lit('"'))
+
+
 def listing_rows(site: DataFrame, settings: SiteSettings) -> DataFrame:
     """One card for each article and list page it is on: home, its category, its searches.
 
@@ -176,10 +181,10 @@ def listing_rows(site: DataFrame, settings: SiteSettings) -> DataFrame:
     def listed(path: Column, label: Column) -> Column:
         return F.struct(path.alias("page"), label.alias("label"))
 
-    pages = [listed(F.lit("/"), F.lit("Latest News"))]
+    pages = [listed(F.lit("/"), F.lit(HOME_LABEL))]
     pages.append(F.when(F.col("category_page").isNotNull(), listed(F.col("category_page"), F.col("category"))))
     for query in kept_queries(settings.queries):
-        label = F.lit(f'Search: "{query}"')
+        label = search_label(F.lit(query))
         pages.append(F.when(F.contains("_text", F.lit(query.lower())), listed(search_path(F.lit(query)), label)))
     text = search_text(*[F.col(c) for c in SEARCH_FIELDS])
     found = with_category_page(site).withColumn("_text", text).withColumn(
@@ -230,7 +235,7 @@ def collection_parts(site: DataFrame) -> DataFrame:
         article_path(F.col("title")).alias("path"),
     )
     home = card.orderBy("pos").limit(COLLECTION_PARTS).select(
-        F.lit("/").alias("page"), F.lit("Latest News").alias("label"), "pos", "headline", "path"
+        F.lit("/").alias("page"), F.lit(HOME_LABEL).alias("label"), "pos", "headline", "path"
     )
     first = leading_per_group(card.where(F.col("category_page").isNotNull()), COLLECTION_PARTS, ["category"], ["pos"])
     return home.unionByName(first.select(
@@ -296,7 +301,7 @@ def list_breadcrumbs(site: DataFrame, settings: SiteSettings) -> DataFrame:
 
     home = site.sparkSession.createDataFrame([("/",)], "path string").select("path", trail([], []))
     categories = category_pages(site, settings).select("path", trail([F.col("category")], [F.col("path")]))
-    label = F.concat(F.lit('Search: "'), F.col("query"), F.lit('"'))
+    label = search_label(F.col("query"))
     queries = site.sparkSession.createDataFrame([(q,) for q in kept_queries(settings.queries)], "query string")
     searches = queries.withColumn("path", search_path(F.col("query"))).select("path", trail([label], [F.col("path")]))
     return home.unionByName(categories).unionByName(searches)
@@ -439,8 +444,9 @@ def article_bodies(pages: DataFrame, settings: SiteSettings) -> DataFrame:
 def list_page_lines(site: DataFrame, settings: SiteSettings) -> DataFrame:
     """`(path, ord, line)`: list pages as ordered lines, so that a page may list any number of cards.
 
-    A page has its heading and total, then for each day, newest first, a day heading and its cards.
-    A search without hits has a message instead.
+    A page has its heading and total, then for each day, newest first, a day heading and its cards. A
+    category page starts with its trail. The home page of an empty site has its heading too; a search
+    without hits has a heading and a message.
     """
     cards = listing_rows(site, settings)
     groups = settle(date_groups(cards.select("page", "label", "day", "pos"), settings, ["page", "label"]))
@@ -451,12 +457,21 @@ def list_page_lines(site: DataFrame, settings: SiteSettings) -> DataFrame:
         return F.struct(turned.alias("day"), F.lit(part).alias("part"), pos.cast("bigint").alias("pos")).alias("ord")
 
     top = F.lit(None).cast("string")
-    heading = groups.groupBy("page", "label").agg(F.sum("n").alias("n")).select(
-        F.col("page").alias("path"), at(top, 0, F.lit(0)),
+    missed = search_pages(site, settings).where("n = 0")
+    empty = missed.select(F.col("path").alias("page"), search_label(F.col("query")).alias("label"), F.lit("No results found").alias("total"))
+    sizes = groups.groupBy("page", "label").agg(F.sum("n").alias("n"))
+    home = site.sparkSession.createDataFrame([("/", HOME_LABEL, 0)], "page string, label string, n bigint")
+    totals = sizes.unionByName(home).groupBy("page", "label").agg(F.sum("n").alias("n"))
+    heading = totals.select("page", "label", counted(F.col("n")).alias("total")).unionByName(empty).select(
+        F.col("page").alias("path"), at(top, 0, F.lit(1)),
         F.concat(
-            F.lit("<h1>"), escape_html(F.col("label")), F.lit("</h1><p>"), counted(F.col("n")), F.lit("</p>")
+            F.lit("<h1>"), escape_html(F.col("label")), F.lit("</h1><p>"), F.col("total"), F.lit("</p>")
         ).alias("line"),
     )
+    trail = sizes.where(F.startswith("page", F.lit("/category/"))).select(
+        F.col("page").alias("path"), at(top, 0, F.lit(0)),
+        F.concat(F.lit(f'<nav><a href="/">{settings.name}</a> › <span>'), escape_html(F.col("label")), F.lit("</span></nav>")).alias("line"),
+    )
     days = groups.select(
         F.col("page").alias("path"), at(F.col("day"), 1, F.lit(0)),
         F.concat(
@@ -471,10 +486,10 @@ def list_page_lines(site: DataFrame, settings: SiteSettings) -> DataFrame:
             F.lit("</span> <span>"), escape_html(F.col("source")), F.lit("</span></article>"),
         ).alias("line"),
     )
-    none = search_pages(site, settings).where("n = 0").select(
-        "path", at(top, 0, F.lit(0)), F.concat(F.lit("<p>"), escape_html(F.col("message")), F.lit("</p>")).alias("line")
+    none = missed.select(
+        "path", at(top, 0, F.lit(2)), F.concat(F.lit("<p>"), escape_html(F.col("message")), F.lit("</p>")).alias("line")
     )
-    return heading.unionByName(days).unionByName(items).unionByName(none)
+    return trail.unionByName(heading).unionByName(days).unionByName(items).unionByName(none)
 
 
 # --- sitemaps and feed ----------------------------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from newsloom import schemas
 from newsloom.functions.text import or_default, summary_file_name
 from newsloom.operators.numbering import leading_rows, number_rows, span_of
+from newsloom.sources import packs
 
 
 def _or_empty(spark: SparkSession, schema: T.StructType, read) -> DataFrame:
@@ -71,7 +72,7 @@ class Store:
         for name in ("progress", "results"):
             empty([], schemas.RESULT).write.mode("overwrite").parquet(self.path(name))
         empty([], schemas.PROCESSED).write.mode("overwrite").json(self.path("processed"))
-        empty([], "value string").write.mode("overwrite").text(self.path("summaries"))
+        packs.write_packed(empty([], "path string, line string"), self.path("summaries"), order=(), overwrite=True, files=1)
 
     def write_master(self, selected: DataFrame, created_at: str, source_limit: int | None, goal: int) -> None:
         """The candidates in rank order, at most `goal` of them, as a table by `index`, which the run
@@ -150,8 +151,13 @@ class Store:
         return processed.select(F.inline("articles"))
 
     def write_summaries(self, numbered: DataFrame) -> None:
-        """One text report for each success; a folder stands for the file."""
-        summary_reports(numbered).write.mode("overwrite").partitionBy("file_name").text(self.path("summaries"))
+        """One text report for each success, packed."""
+        reports = summary_reports(numbered).select(F.col("file_name").alias("path"), F.col("body").alias("line"))
+        packs.write_packed(reports, self.path("summaries"), order=(), overwrite=True)
+
+    def read_summaries(self) -> DataFrame:
+        """`(path, body)` of the reports of the last run."""
+        return packs.read_packed(self.spark, self.path("summaries"))
 
     # --- site table ---
 
@@ -238,16 +244,21 @@ class Store:
         """Write head, the ordered body lines and foot as one document."""
         document_lines(body, line, order, head, foot).write.mode("overwrite").text(self.path(f"publish/{name}"))
 
-    def write_pages(self, lines: DataFrame, name: str) -> None:
-        """One folder for each page path, from `(path, ord, line)` rows.
+    def write_pages(self, lines: DataFrame, name: str, version: int | None = None, files: int = packs.FILES) -> None:
+        """The pages of `(path, ord, line)` rows, packed into at most `files` files.
 
-        Rows are dealt to tasks by ranges of `(path, ord)`, so a page of any length is written by
-        several tasks, and its part files are in line order.
+        Without a version they are all pages there are; with one they replace the pages of their paths,
+        and a step that is repeated with its version replaces its own.
         """
-        ordered = lines.repartitionByRange("path", "ord").sortWithinPartitions("path", "ord")
-        ordered.select("path", F.col("line").alias("value")).write.mode("overwrite").partitionBy("path").text(
-            self.path(f"publish/{name}")
-        )
+        packs.write_packed(lines, self.path(f"publish/{name}"), ("ord",), version or 0, version is None, files)
+
+    def read_pages(self, name: str, paths: Sequence[str] | None = None) -> DataFrame:
+        """`(path, body)` of all pages, or of those of the given paths."""
+        return packs.read_packed(self.spark, self.path(f"publish/{name}"), paths)
+
+    def export_pages(self, name: str, paths: Sequence[str]) -> None:
+        """Chosen pages as folders of text files, for readers outside Spark."""
+        packs.export_folders(self.spark, self.path(f"publish/{name}"), paths, self.path(f"publish/{name}-export"))
 
 
 def document_lines(body: DataFrame, line: Column, order: Sequence[str | Column], head: str = "", foot: str = "") -> DataFrame:

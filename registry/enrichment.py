@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from newsloom.operators import gates, progress
 from newsloom.operators.numbering import number_rows, span_of
 from newsloom.plans.enrichment import enrich, enrich_until
-from newsloom.session import settle
+from newsloom.session import scratch_path, settle
 from newsloom.sources.articles import article_rows, document_rows, queued_facts, read_table
-from newsloom.sources.store import summary_reports
+from newsloom.sources.store import Store, summary_reports
 from registry.base import ARTICLES, QUEUED, query
 from registry.texts import CATEGORIES, CUT, GATE
 
@@ -108,16 +108,28 @@ def run_counters(spark, folder):
     return progress.run_counters(progress.cut_at_goal(narrow, GOAL), GOAL)
 
 
-@query(RESULTS + """, hits AS (SELECT *, row_number() OVER (ORDER BY idx) AS n FROM cut WHERE success)
+REPORTS = RESULTS + """, hits AS (SELECT *, row_number() OVER (ORDER BY idx) AS n FROM cut WHERE success)
 SELECT printf('summary_%02d.txt', n) AS file_name,
   title || chr(10) || repeat('=', 60) || chr(10) || chr(10) || summary || chr(10) || chr(10) || repeat('=', 60) || chr(10)
   || 'Author:   ' || author || chr(10) || 'Source:   ' || source || chr(10) || 'URL:      ' || url || chr(10)
-  || 'Category: ' || category AS body FROM hits""")
+  || 'Category: ' || category AS body FROM hits"""
+
+
+@query(REPORTS)
 def summary_report_files(spark, folder):
     cut = progress.cut_at_goal(settle(results(spark, folder).drop("content")), GOAL)
     return summary_reports(progress.numbered_successes(cut))
 
 
+@query(REPORTS.replace("AS body", "|| chr(10) AS body"))
+def summary_reports_packed(spark, folder):
+    """The reports of a run written and read back."""
+    store = Store(spark, scratch_path(spark, "reports"))
+    cut = progress.cut_at_goal(settle(results(spark, folder).drop("content")), GOAL)
+    store.write_summaries(progress.numbered_successes(cut))
+    return store.read_summaries().select(F.col("path").alias("file_name"), "body")
+
+
 def whole_body():
     """Summary stand-in: the article part of the prompt; some articles get no answer."""
     def run(texts):

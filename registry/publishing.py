@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from newsloom.functions.times import day_key
 from newsloom.operators import publication as pub
 from newsloom.plans.batch import FEED_FOOT, NEWS_HEAD, SITEMAP_HEAD, URLSET_FOOT, feed_head
+from newsloom.session import scratch_path, settle
 from newsloom.sources.articles import AS_OF, site_rows
-from newsloom.sources.store import document_lines
+from newsloom.sources.store import Store, document_lines
 from registry.base import (
     NOW, SITE, query, sql_day, sql_day_label, sql_excerpt, sql_html, sql_iso, sql_keywords, sql_or, sql_plain,
     sql_short_date, sql_slug, sql_time,
@@ -93,17 +94,38 @@ def _html(c: str) -> str:
     )
 
 
-@query(LISTING + f""", totals AS (SELECT page, label, count(*) AS n FROM listing GROUP BY ALL),
-days AS (SELECT page, day, count(*) AS n FROM listing GROUP BY ALL)
-SELECT page AS path, '<h1>' || {_html('label')} || '</h1><p>' || {COUNTED.format(n='n')} || '</p>' AS line FROM totals
-UNION ALL SELECT page, '<h2>' || {sql_day_label('day')} || '</h2><p>' || {COUNTED.format(n='n')} || '</p>' FROM days
-UNION ALL SELECT page, '<article><a href="' || path || '">' || {_html('title')} || '</a> <span>' || {_html('category')}
-  || '</span> <span>' || {_html('author')} || '</span> <span>' || {_html('source')} || '</span></article>' FROM listing
-UNION ALL SELECT path, '<p>' || {_html('message')} || '</p>' FROM search_rows WHERE n = 0""")
+PAGE_LINES = LISTING + f""", totals AS (SELECT page, label, count(*) AS n FROM listing GROUP BY ALL),
+days AS (SELECT page, day, count(*) AS n FROM listing GROUP BY ALL),
+page_lines AS (
+  SELECT page AS path, 0 AS part, '' AS day, 0 AS pos, '<nav><a href="/">{NAME}</a> › <span>' || {_html('label')} || '</span></nav>' AS line
+  FROM totals WHERE starts_with(page, '/category/')
+  UNION ALL SELECT page, 1, '', 0, '<h1>' || {_html('label')} || '</h1><p>' || {COUNTED.format(n='n')} || '</p>' FROM totals
+  UNION ALL SELECT path, 1, '', 0, '<h1>' || {_html("'Search: ' || chr(34) || query || chr(34)")} || '</h1><p>No results found</p>'
+  FROM search_rows WHERE n = 0
+  UNION ALL SELECT path, 2, '', 0, '<p>' || {_html('message')} || '</p>' FROM search_rows WHERE n = 0
+  UNION ALL SELECT page, 3, day, -1, '<h2>' || {sql_day_label('day')} || '</h2><p>' || {COUNTED.format(n='n')} || '</p>' FROM days
+  UNION ALL SELECT page, 3, day, pos, '<article><a href="' || path || '">' || {_html('title')} || '</a> <span>' || {_html('category')}
+    || '</span> <span>' || {_html('author')} || '</span> <span>' || {_html('source')} || '</span></article>' FROM listing
+)"""
+
+
+@query(PAGE_LINES + " SELECT path, line FROM page_lines")
 def list_page_documents(spark, folder):
     return pub.list_page_lines(site(spark, folder), SETTINGS).select("path", "line")
 
 
+@query(PAGE_LINES + """ SELECT path, string_agg(line, chr(10) ORDER BY part, day DESC, pos) || chr(10) AS body, count(*) AS n_lines
+FROM page_lines GROUP BY path""")
+def pages_packed_and_read(spark, folder):
+    """List pages written into packs and read back, with their lines in order. The second write, of one path, replaces that page."""
+    store = Store(spark, scratch_path(spark, "pages"))
+    lines = settle(pub.list_page_lines(site(spark, folder), SETTINGS))
+    home = F.col("path") == "/"
+    store.write_pages(lines.withColumn("line", F.when(home, F.lit("old")).otherwise(F.col("line"))), "pages", 1, files=8)
+    store.write_pages(lines.where(home), "pages", 2, files=8)
+    return store.read_pages("pages").select("path", "body", (F.size(F.split("body", "\n")) - 1).cast("bigint").alias("n_lines"))
+
+
 RELATED = SITE + f""", pairs AS (
   SELECT a.pos, a.category, b.pos AS related_pos, b.url AS related_url, {sql_or('b.title', 'Untitled')} AS related_title, b.source AS related_source,
     b.processed_at AS related_processed, row_number() OVER (PARTITION BY a.pos ORDER BY b.pos) AS place

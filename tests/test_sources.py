@@ -98,8 +98,7 @@ def test_batch_run_end_to_end(spark, folder, tmp_path):
     assert [(r["run_seq"], r["total_successes"], r["category_counts"]["Cybersecurity"]) for r in history] == [
         (1, 2, 2), (2, 2, 2)
     ]
-    reports = glob.glob(f"{store.path('summaries')}/file_name=*/part-*")
-    texts = sorted(open(f, encoding="utf-8").read() for f in reports)
+    texts = sorted(r["body"] for r in store.read_summaries().collect())
     assert len(texts) == 2 and texts[0].startswith("Title 1\n" + "=" * 60 + "\n\n**Lead** data breach")
     assert texts[0].rstrip("\n").endswith("Author:   a1\nSource:   s1\nURL:      https://x.org/1\nCategory: Cybersecurity")
 
@@ -178,8 +177,7 @@ def test_landing_pages_round_trip(spark, tmp_path):
 
 
 def page_lines(store, name, path):
-    folder = f"{store.path('publish/' + name)}/path={path.replace('/', '%2F')}"
-    return [line for f in sorted(glob.glob(folder + "/part-*")) for line in open(f, encoding="utf-8").read().splitlines()]
+    return store.read_pages(name, [path]).first()["body"].splitlines()
 
 
 def test_resume_takes_up_recorded_results(spark, folder, tmp_path):
@@ -219,9 +217,14 @@ def test_list_pages_keep_day_and_list_order(spark, tmp_path):
         "<h2>Unknown date", "/article/t1", "<h2>Today", "/article/t2", "<h2>Yesterday", "/article/t4",
         "<h2>Monday, January 1, 2024", "/article/t0", "/article/t3",
     ]
-    assert page_lines(store, "list_pages", "/category/a-b")[0] == "<h1>A &amp; B</h1><p>5 articles</p>"
+    assert page_lines(store, "list_pages", "/category/a-b")[:2] == [
+        '<nav><a href="/">Newsloom</a> › <span>A &amp; B</span></nav>', "<h1>A &amp; B</h1><p>5 articles</p>"]
     assert len(page_lines(store, "list_pages", "/search/t1")) == 3
-    assert page_lines(store, "list_pages", "/search/zzz") == ["<p>No articles match &quot;zzz&quot;.</p>"]
+    assert page_lines(store, "list_pages", "/search/zzz") == [
+        "<h1>Search: &quot;zzz&quot;</h1><p>No results found</p>", "<p>No articles match &quot;zzz&quot;.</p>"]
+    store.write_pages(pub.list_page_lines(rows.limit(0), settings), "list_pages")
+    assert page_lines(store, "list_pages", "/") == ["<h1>Latest News</h1><p>0 articles</p>"]
+    assert {r["path"] for r in store.read_pages("list_pages").collect()} == {"/", "/search/t1", "/search/zzz"}
 
 
 def test_numbered_summaries(spark):
