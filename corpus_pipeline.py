@@ -10,26 +10,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, mixing, passages, shingles, toxicity
-from newsloom.llm.frames import table
+from newsloom.llm import bpe, mixing, passages, simhash, toxicity
+from newsloom.llm.frames import shielded, table
 from newsloom.llm.queries import quality_weights
+from newsloom.operators.joins import hinted
 from newsloom.session import scratch_path, settle
 
 # Score from which a document is rejected.
 TOXIC = 0.3
-# Near copies: words of a shingle, and the Jaccard similarity of distinct shingles from which two documents link.
-SHINGLE, SIMILAR = 5, 0.8
+# Near copies: words of a shingle, and the most bits in which the fingerprints of two linked documents differ.
+SHINGLE, RADIUS = 3, 2
 TOKENIZER = "word_bpe_49k.json"
 
 
-# Bytes of the batches that go to Python. The default of 64 MB a task is much beside a task's share of memory.
-BATCH = "8m"
-
-
-def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
-
-
 def _measured(docs: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of `like`, with `n_chars` of the text as it is now."""
     if "n_chars" in docs.columns:
@@ -39,32 +32,36 @@ def _measured(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the limit. The lexicon is learned from the labelled ones; null and empty texts stay."""
-    _small_batches(spark)
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, lexicon).where(F.col("toxicity") < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: that of the smallest id, of rows that repeat it the one of the
-    smallest hash, and of equal rows any. Each row of an id is judged by its own text. Rows without an id
-    stay, and so do all that have no word, as they are copies of nothing."""
-    _small_batches(spark)
-    worded = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) > 0
-    rows = docs.withColumn("_row", F.xxhash64(*docs.columns)).withColumn("_judged", F.col("doc_id").isNotNull() & worded)
-    classes = shingles.near_copies(rows.where("_judged"), "doc_id", "_row", "text", SHINGLE, SIMILAR)
-    alike = settle(classes.groupBy("component", "doc_id", "row").agg(F.count("*").alias("n")))
-    first = alike.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("kinds"), F.max("n").alias("most"))
-    # What goes, and what stays once: the other rows are not looked at.
-    marked = alike.join(first.where("kinds > 1 OR most > 1"), "component").select(
-        F.col("doc_id").alias("_id"), F.col("row").alias("_at"), F.struct("doc_id", "row").eqNullSafe(F.col("first")).alias("_stays"), F.col("n").alias("_n"))
-    found = rows.join(marked, F.col("_judged") & (F.col("doc_id") == F.col("_id")) & (F.col("_row") == F.col("_at")), "left")
-    once = found.where("_stays AND _n > 1").dropDuplicates(["doc_id", "_row"])
-    return found.where("_stays IS NULL OR (_stays AND _n = 1)").unionAll(once).select(*docs.columns)
+    """One row of each group of documents whose fingerprints link: that of the smallest id. Texts without a
+    word share a fingerprint and so a group. Rows without an id stay. Each row of an id is judged by its own
+    text: of its texts the one of the smallest hash goes by the id, the others by a number drawn from 2^62 up.
+    Of rows of one id and text that of the smallest hash stays, and of equal rows any."""
+    rows, columns = shielded(docs, ())
+    texts = rows.withColumn("_text", F.xxhash64("text"))
+    several = settle(
+        texts.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("_text").alias("_first"), F.max("_text").alias("_last"))
+        .where("_first <> _last").select("_id", "_first"))
+    drawn = F.xxhash64("doc_id", "_text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = texts.join(hinted(several), F.col("doc_id") == F.col("_id"), "left").withColumn(
+        "_key", F.when(F.col("_first") != F.col("_text"), drawn).otherwise(F.col("doc_id").cast("long"))).drop("_id", "_first", "_text")
+    groups = simhash.near_duplicates(keyed.select("_key", "text"), "_key", width=SHINGLE, radius=RADIUS)
+    marks = settle(
+        groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_key"))
+        .agg(F.max(F.col("component_id") != F.col("doc_id")).alias("goes"), F.count("*").alias("n")))
+    stays = keyed.join(marks.where("goes OR n > 1").select("_key"), "_key", "left_anti").select(*columns)
+    repeated = settle(marks.where("NOT goes AND n > 1").select("_key"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    once = keyed.join(hinted(repeated), "_key", "left_semi").groupBy("_key").agg(F.min_by(whole, F.xxhash64(whole)).alias("_row"))
+    return stays.unionAll(once.select("_row.*").select(*columns))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that one of smaller id has. A document of which no word is left goes."""
-    _small_batches(spark)
     found = passages.remove_passages(docs, passages.repeated_passages(docs))
     return _measured(found.where((F.col("removed_words") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
 
@@ -76,7 +73,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and decoding of each text."""
-    _small_batches(spark)
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(TOKENIZER))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
