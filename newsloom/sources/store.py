@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from newsloom import schemas
 from newsloom.functions.text import or_default, summary_file_name
-from newsloom.operators.numbering import leading_rows, number_rows, span_of
+from newsloom.operators.numbering import leading_rows, number_rows
 from newsloom.sources import packs
 
 
@@ -78,7 +78,7 @@ class Store:
         """The candidates in rank order, at most `goal` of them, as a table by `index`, which the run
         reads, and as an envelope with metadata, which is an export: one row that nests the list."""
         chosen = leading_rows(selected, goal, "rank").select("rank", "article")
-        numbered = number_rows(chosen.select("rank"), "index", span_of("rank"), ["rank"])
+        numbered = number_rows(chosen.select("rank"), "index", ["rank"])
         chosen.join(numbered, "rank").drop("rank").write.mode("overwrite").parquet(self.path("candidates"))
         ordered = F.array_sort(F.collect_list(F.struct("rank", "article")))
         master = leading_rows(selected, goal, "rank").agg(ordered.alias("items")).select(
@@ -183,6 +183,11 @@ class Store:
         row = self.spark.createDataFrame([(writer, step)], "writer string, step bigint")
         row.write.mode("errorifexists").parquet(self.path(f"claims/run_seq={run_seq}"))
 
+    def start_site(self) -> None:
+        """Make the site table where there is none, so that a stream can follow it."""
+        empty = self.spark.createDataFrame([], schemas.SITE_TABLE)
+        empty.write.mode("ignore").partitionBy("run_seq").parquet(self.path("site"))
+
     def append_site(self, added: DataFrame, run_seq: int, writer: str = "batch") -> None:
         """Store the rows a run adds. Repeating a run replaces its own rows only.
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from newsloom.schemas import SITE_FIELDS
 from newsloom.session import scratch_path
-from newsloom.sources.articles import AS_OF, article_rows
+from newsloom.sources.articles import AS_OF, article_rows, site_rows
 from newsloom.sources.store import Store
 from newsloom.streaming import jobs
-from registry.base import ARTICLES, NOW, query, sql_time
+from newsloom.streaming.site import drain, merge_sources
+from registry.base import ARTICLES, NOW, SITE, query, sql_time, sql_title_key
 from registry.merge_history import FLAGGED, split_site
 
 STEPS = ("drop=0", "drop=1")
@@ -97,3 +98,29 @@ def stream_merge_onto_site(spark, folder):
     stream = spark.readStream.schema(batch.schema).parquet(f"{root}/drops/*")
     finish(jobs.merge_into(store, stream, f"{root}/state"))
     return store.read_site().select("run_seq", "pos", *SITE_FIELDS)
+
+
+CLASH = "lower(trim(o.url)) = lower(trim(n.url)) OR (n.title_key <> '' AND o.title_key = n.title_key)"
+
+
+@query(SITE + f""", keyed AS (
+  SELECT *, {sql_title_key('title')} AS title_key, CASE WHEN pos % 10 IN (1, 4) THEN 1 WHEN pos % 10 IN (7, 9) THEN 2 ELSE 0 END::BIGINT AS run_seq
+  FROM site
+), early AS (
+  SELECT * FROM keyed WHERE run_seq = 0
+  UNION ALL SELECT * FROM keyed n WHERE run_seq = 1 AND NOT EXISTS (SELECT 1 FROM keyed o WHERE o.run_seq = 0 AND ({CLASH}))
+) SELECT run_seq, pos, {', '.join(SITE_FIELDS)} FROM early
+UNION ALL SELECT run_seq, pos, {', '.join(SITE_FIELDS)} FROM keyed n WHERE run_seq = 2 AND NOT EXISTS (SELECT 1 FROM early o WHERE {CLASH})""")
+def stream_merge_sources(spark, folder):
+    """Two sources of one merging query: the first run stands alone, the next two come in one micro-batch."""
+    root = scratch_path(spark, "sources")
+    store = Store(spark, root)
+    digit = F.col("pos") % 10
+    rows = site_rows(spark, folder).withColumn("run", F.when(digit.isin(1, 4), "1").when(digit.isin(7, 9), "2").otherwise("0"))
+    for runs in (("0", ""), ("1", "2")):
+        streams = []
+        for source, run in zip("ab", runs):
+            rows.where(F.col("run") == run).write.mode("append").parquet(f"{root}/{source}")
+            streams.append(spark.readStream.schema(rows.schema).parquet(f"{root}/{source}"))
+        drain(merge_sources(store, streams, f"{root}/state"))
+    return store.read_site().select("run_seq", "pos", *SITE_FIELDS)
