@@ -6,17 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.joins import measure, sized_join
-from newsloom.operators.numbering import number_rows, span_of
+from newsloom.operators.numbering import number_rows
 from newsloom.session import settle
 
 
 def file_order(files: DataFrame) -> DataFrame:
-    """Rank landing files newest first, ties by path: `(path, fetch_ts) -> file_rank`.
-
-    Files are ranked inside their fetch day and shifted by the number of files of later days.
-    """
-    day = F.datediff(F.to_date(F.lit("1970-01-01")), F.to_date("fetch_ts")).cast("bigint")
-    return number_rows(files, "file_rank", day, [F.desc("fetch_ts"), "path"])
+    """Rank landing files newest first, ties by path: `(path, fetch_ts) -> file_rank`. Files without a time come last."""
+    return number_rows(files, "file_rank", [F.desc("fetch_ts"), "path"])
 
 
 def round_robin(articles: DataFrame, files: DataFrame) -> DataFrame:
@@ -33,4 +29,4 @@ def round_robin(articles: DataFrame, files: DataFrame) -> DataFrame:
 
 def dense_index(df: DataFrame, key: str = "rank", name: str = "index") -> DataFrame:
     """0-based index in the order of a unique integer key."""
-    return number_rows(df, name, span_of(key), [key])
+    return number_rows(df, name, [key])

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import normalize_title, url_key
-from newsloom.operators.joins import KEY_ROWS, measure, sized_join
-from newsloom.operators.numbering import number_rows, span_of
+from newsloom.operators.joins import KEY_ROWS, hinted, measure, sized_join
+from newsloom.operators.numbering import number_rows
 from newsloom.schemas import SITE_FIELDS
 from newsloom.session import settle
 
@@ -83,6 +83,6 @@ def merged_site(existing: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def list_position(site: DataFrame) -> DataFrame:
-    """0-based `position` in the newest-first list, from the order key `(run_seq desc, pos)`."""
-    span = F.struct((-F.col("run_seq")).alias("run"), span_of("pos").alias("part"))
-    return number_rows(site, "position", span, ["pos"])
+    """0-based `position` in the newest-first list, from the order key `(run_seq desc, pos)`, of which the keys alone are numbered."""
+    places = settle(number_rows(site.select("run_seq", "pos"), "position", [F.desc("run_seq"), "pos"]))
+    return site.join(hinted(places), ["run_seq", "pos"]).select(*site.columns, "position")

@@ -7,53 +7,49 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# An integer key that is unique in its group puts at most this many rows in one span.
-SPAN = 1 << 20
+from newsloom.session import settle
 
-# Up to this many leading rows each task may keep its own best rows in memory.
+# Up to this many leading keys may go through one task.
 TOP_ROWS = 100_000
+# The place of a row in its partition, in the low bits of Spark's increasing id.
+PLACE_BITS = 33
 
 
-def span_of(key: str, width: int = SPAN) -> Column:
-    """Span number of a unique integer key; a span holds at most `width` rows of a group."""
-    return F.call_function("div", F.col(key), F.lit(width))
+def number_rows(df: DataFrame, name: str, order: Sequence[str | Column], group: Sequence[str] = ()) -> DataFrame:
+    """Add the 0-based position of each row in its group, in the given order, which must be unique in it.
 
-
-def number_rows(
-    df: DataFrame, name: str, span: Column, order: Sequence[str | Column], group: Sequence[str] = ()
-) -> DataFrame:
-    """Add the 0-based position of each row in its group, in the order (span, *order).
-
-    Rows are numbered inside (group, span) and shifted by the number of rows in the earlier
-    spans of the group. A hot group is thus spread over its spans. `span` must follow the
-    wanted order and bound the rows it holds; the window over span totals sees one row for
-    each span. Window and join share one shuffle of the rows. Group columns must not be null.
+    Rows are dealt to ranges of (group, order) whose borders Spark draws from a sample, so ranges hold
+    about equally many rows, whatever gaps the order has and however hot a group is. Inside a range the
+    sorted rows are counted; a small table with one row for each range and group that meet says how many
+    rows of the group lie in earlier ranges. The rows pass through here whole: give the columns that
+    identify them, and join the rest. A null in a group column is a group of its own.
+    """
+    keys = [*group, *order]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    placed = settle(ranged).withColumn("_range", F.shiftright("_id", PLACE_BITS))
+    met = placed.groupBy(*group, "_range").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = met.select(
+        *(F.col(g).alias(f"_of_{g}") for g in group), F.col("_range").alias("_at"),
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = F.col("_range") == F.col("_at")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    # Without groups there is one row for each range: as many as shuffle partitions, whatever the data.
+    joined = placed.join(starts if group else F.broadcast(starts), same)
+    return joined.select(*df.columns, (F.col("_id") + F.col("_shift")).cast("bigint").alias(name))
+
+
+def leading_rows(df: DataFrame, n: int, key: str) -> DataFrame:
+    """The `n` rows with the smallest integer `key`, which must be unique.
+
+    Only keys are compared; the rows are then filtered by the greatest of the leading keys.
     """
-    keys = [*group, "_span"]
-    spanned = df.withColumn("_span", span)
-    totals = spanned.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    earlier = (
-        Window.partitionBy(*group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    shifts = totals.select(
-        *keys,
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-    )
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    numbered = spanned.withColumn("_at", F.row_number().over(inside) - 1)
-    return (
-        numbered.join(shifts, keys, "left")
-        .withColumn(name, (F.col("_before") + F.col("_at")).cast("bigint"))
-        .select(*df.columns, name)
-    )
-
-
-def leading_rows(df: DataFrame, n: int, key: str, width: int = SPAN) -> DataFrame:
-    """The `n` rows with the smallest integer `key`, which must be unique."""
     if n <= TOP_ROWS:
-        return df.orderBy(key).limit(n)
-    numbered = number_rows(df, "_place", span_of(key, width), [key])
-    return numbered.where(F.col("_place") < n).drop("_place")
+        last = df.select(key).orderBy(key).limit(n)
+    else:
+        last = number_rows(df.select(key), "_place", [key]).where(F.col("_place") < n)
+    return df.where(F.col(key) <= last.agg(F.max(key)).scalar())
 
 
 def leading_per_group(df: DataFrame, n: int, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

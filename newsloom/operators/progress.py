@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.joins import keep_last
-from newsloom.operators.numbering import TOP_ROWS, number_rows, span_of
+from newsloom.operators.joins import hinted, keep_last
+from newsloom.operators.numbering import TOP_ROWS, number_rows
+from newsloom.session import settle
 
 
 def latest_per_index(results: DataFrame, index: str = "index", seq: str = "seq") -> DataFrame:
@@ -25,7 +26,7 @@ def goal_index(results: DataFrame, goal: int) -> DataFrame:
     if goal <= TOP_ROWS:
         first = hits.orderBy("index").limit(goal)
         return first.agg(F.when(F.count("*") >= goal, F.max("index")).alias("last"))
-    numbered = number_rows(hits, "place", span_of("index"), ["index"])
+    numbered = number_rows(hits, "place", ["index"])
     return numbered.where(F.col("place") == goal - 1).agg(F.max("index").alias("last"))
 
 
@@ -46,6 +47,7 @@ def run_counters(results: DataFrame, goal: int) -> DataFrame:
 
 
 def numbered_successes(results: DataFrame) -> DataFrame:
-    """Successes with their 1-based number in processing order."""
-    hits = number_rows(results.where("success"), "number", span_of("index"), ["index"])
-    return hits.withColumn("number", F.col("number") + 1)
+    """Successes with their 1-based number in processing order; only their indexes are numbered."""
+    hits = results.where("success")
+    places = settle(number_rows(hits.select("index"), "number", ["index"]))
+    return hits.join(hinted(places.withColumn("number", F.col("number") + 1)), "index").select(*results.columns, "number")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.joins import KEY_ROWS, Size, spread_join
-from newsloom.operators.numbering import SPAN, leading_per_group, leading_rows, number_rows, span_of
+from newsloom.operators.numbering import leading_per_group, leading_rows, number_rows
 from newsloom.session import settle
 
 # Ranks that the first block spans, and the factor by which the following blocks grow. With a
@@ -164,7 +164,7 @@ def _free_places(open_rows: DataFrame, accepted: _Accepted, source_limit: int) -
     if source_limit <= MAP_SIDE_CAP:
         placed = leading_per_group(slim, source_limit, ["source"], ["rank"])
     else:
-        placed = number_rows(slim, "place", span_of("rank", SPAN), ["rank"], ["source"]).withColumn(
+        placed = number_rows(slim, "place", ["rank"], ["source"]).withColumn(
             "place", F.col("place") + 1
         ).where(F.col("place") <= source_limit)
     if accepted.size.rows == 0:

@@ -25,5 +25,5 @@ def curate(
 ) -> DataFrame:
     """Selected articles with their 0-based `index` in the master list, `path` and `pos`."""
     ranked = ranked_articles(articles)
-    chosen = settle(greedy_select(ranked, source_limit, goal))
-    return dense_index(ranked.select("rank", "path", "pos").join(hinted(chosen), "rank"))
+    chosen = greedy_select(ranked, source_limit, goal)
+    return ranked.select("rank", "path", "pos").join(hinted(settle(dense_index(chosen))), "rank")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.operators.numbering import number_rows, span_of
+from newsloom.operators.numbering import number_rows
 from newsloom.schemas import SITE_FIELDS
 
 AS_OF = "2024-01-03 12:00:00"
@@ -40,10 +40,10 @@ def event_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queued_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Event facts of the documents with `pos`, the 0-based place of a document in its topic queue."""
+    """Event facts of each document with `pos`, its 0-based place in its topic queue. Those without an event are a queue too."""
     ids = read_table(spark, folder, "documents").select("doc_id")
-    facts = event_facts(spark, folder).join(ids, "doc_id", "left_semi")
-    return number_rows(facts, "pos", span_of("doc_id"), ["doc_id"], ["topic"])
+    facts = ids.join(event_facts(spark, folder), "doc_id", "left")
+    return number_rows(facts, "pos", ["doc_id"], ["topic"])
 
 
 def document_rows(spark: SparkSession, folder: str) -> DataFrame:

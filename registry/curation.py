@@ -20,13 +20,12 @@ TOPICS = ("The", "that thin", "tion ing er", "Zyx")
 
 
 def ranked_articles(spark: SparkSession, folder: str) -> DataFrame:
-    """Selection input: a topic is a file, fetched at the time of its newest article."""
+    """Selection input: a topic is a file, fetched at the time of its newest article; articles without a topic are a file without a time."""
     facts = settle(queued_facts(spark, folder))
-    files = facts.groupBy(F.col("topic").alias("path")).agg(
-        F.max("published_at").cast("timestamp").alias("fetch_ts")
-    )
+    path = F.coalesce("topic", F.lit("")).alias("path")
+    files = facts.groupBy(path).agg(F.max("published_at").cast("timestamp").alias("fetch_ts"))
     rows = article_rows(spark, folder, facts).select(
-        "doc_id", F.col("topic").alias("path"), "pos", clean(F.col("url")).alias("url"),
+        "doc_id", path, "pos", clean(F.col("url")).alias("url"),
         clean(F.col("title")).alias("title"), clean(F.col("author")).alias("author"),
         or_default(F.col("source_name"), "Unknown").alias("source"),
     )
@@ -34,13 +33,13 @@ def ranked_articles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 RANKED = QUEUED + """, files AS (
-  SELECT topic, row_number() OVER (ORDER BY max(published_at) DESC, topic) - 1 AS file_rank
+  SELECT topic, row_number() OVER (ORDER BY max(published_at) DESC NULLS LAST, topic) - 1 AS file_rank
   FROM articles GROUP BY topic
 ), ranked AS (
   SELECT q.doc_id, q.topic, q.pos, trim(q.url) AS url, trim(coalesce(q.title, '')) AS title,
     coalesce(q.author, '') AS author, coalesce(nullif(q.source_name, ''), 'Unknown') AS source,
     row_number() OVER (ORDER BY q.pos, f.file_rank) - 1 AS idx
-  FROM queued q JOIN files f USING (topic)
+  FROM queued q JOIN files f ON q.topic IS NOT DISTINCT FROM f.topic
 )"""
 
 
@@ -77,8 +76,8 @@ SELECTED = "SELECT master_index AS \"index\", doc_id, url, title, author, source
 
 def selected(spark: SparkSession, folder: str, limit: int | None, goal: int | None) -> DataFrame:
     ranked = settle(ranked_articles(spark, folder))
-    chosen = settle(greedy_select(ranked, limit, goal))
-    places = dense_index(ranked.select("rank", "doc_id").join(hinted(chosen), "rank"))
+    chosen = greedy_select(ranked, limit, goal)
+    places = ranked.select("rank", "doc_id").join(hinted(settle(dense_index(chosen))), "rank")
     return places.select("index", "doc_id", "url", "title", "author", "source")
 
 
@@ -106,18 +105,19 @@ def source_distribution_report(spark, folder):
 
 @query(RANKED + " SELECT idx AS \"index\", doc_id, topic, pos FROM ranked")
 def round_robin_order(spark, folder):
-    rows = ranked_articles(spark, folder).select("rank", "doc_id", F.col("path").alias("topic"), "pos")
+    topic = F.nullif(F.col("path"), F.lit("")).alias("topic")
+    rows = ranked_articles(spark, folder).select("rank", "doc_id", topic, "pos")
     return dense_index(settle(rows)).select("index", "doc_id", "topic", "pos")
 
 
 @query(ARTICLES + """
-SELECT topic || '/' || substr(published_at, 1, 10) AS path, max(published_at) AS fetched,
-  row_number() OVER (ORDER BY max(published_at) DESC, topic || '/' || substr(published_at, 1, 10)) - 1 AS file_rank
+SELECT coalesce(topic || '/' || substr(published_at, 1, 10), '') AS path, max(published_at) AS fetched,
+  row_number() OVER (ORDER BY max(published_at) DESC NULLS LAST, coalesce(topic || '/' || substr(published_at, 1, 10), '')) - 1 AS file_rank
 FROM articles GROUP BY 1""")
 def landing_file_order(spark, folder):
-    path = F.concat_ws("/", F.col("topic"), F.substring("published_at", 1, 10))
+    path = F.coalesce(F.concat("topic", F.lit("/"), F.substring("published_at", 1, 10)), F.lit(""))
     documents = read_table(spark, folder, "documents").select("doc_id")
-    facts = event_facts(spark, folder).join(documents, "doc_id", "left_semi")
+    facts = documents.join(event_facts(spark, folder), "doc_id", "left")
     files = facts.groupBy(path.alias("path")).agg(
         F.max("published_at").cast("timestamp").alias("fetch_ts")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators import gates, progress
-from newsloom.operators.numbering import number_rows, span_of
+from newsloom.operators.numbering import number_rows
 from newsloom.plans.enrichment import enrich, enrich_until
 from newsloom.session import scratch_path, settle
 from newsloom.sources.articles import article_rows, document_rows, queued_facts, read_table
@@ -43,9 +43,8 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
 
     The index follows `(pos, topic)`.
     """
-    # Each topic has one row at a place, so a span of places is bounded whatever a topic holds.
-    facts = settle(queued_facts(spark, folder))
-    indexed = article_rows(spark, folder, number_rows(facts, "index", span_of("pos"), ["pos", "topic"]))
+    facts = number_rows(queued_facts(spark, folder), "index", ["pos", F.asc_nulls_last("topic")])
+    indexed = article_rows(spark, folder, facts)
     answer = F.struct(F.col("summary").alias("value"), F.lit(None).cast("string").alias("error"))
     label = F.struct(F.col("category").alias("value"), F.lit(None).cast("string").alias("error"))
     staged = indexed.withColumn("source", F.col("source_name")).withColumn(

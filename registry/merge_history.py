@@ -126,4 +126,4 @@ def categories_first_seen(spark, folder):
 ) SELECT row_number() OVER (ORDER BY section, part, a) - 1 AS line_no, line FROM report""")
 def category_report_lines(spark, folder):
     lines = history.report_lines(run_history(spark, folder))
-    return number_rows(lines, "line_no", F.col("section"), ["ord"]).select("line_no", "line")
+    return number_rows(lines, "line_no", ["section", "ord"]).select("line_no", "line")

@@ -4,8 +4,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from newsloom.operators.interleave import dense_index, round_robin
-from newsloom.operators.numbering import leading_rows, number_rows, span_of
+from newsloom.operators.numbering import leading_rows, number_rows
 from newsloom.operators.selection import greedy_select, source_distribution
 
 SCHEMA = "rank bigint, url string, title string, author string, source string"
@@ -79,23 +81,41 @@ def test_source_distribution_order(spark):
     assert [(r["source"], r["n_articles"]) for r in got] == [("y", 2), ("x", 1), ("z", 1)]
 
 
-def test_numbering_over_many_spans(spark):
+def test_numbering_in_ranges(spark):
     rng = random.Random(3)
     ids = rng.sample(range(1000), 200)
-    rows = [(i, "hot" if i % 3 else f"g{i % 5}") for i in ids]
+    rows = [(i, "hot" if i % 3 else rng.choice(["g1", "g2", None])) for i in ids]
     df = spark.createDataFrame(rows, "id bigint, grp string")
-    got = {r["id"]: r["at"] for r in number_rows(df, "at", span_of("id", 16), ["id"], ["grp"]).collect()}
+    got = {r["id"]: r["at"] for r in number_rows(df, "at", ["id"], ["grp"]).collect()}
     for group in {g for _, g in rows}:
         members = sorted(i for i, g in rows if g == group)
         assert [got[i] for i in members] == list(range(len(members)))
     overall = {r["id"]: r["index"] for r in dense_index(df, "id").collect()}
     assert [overall[i] for i in sorted(ids)] == list(range(len(ids)))
+    down = {r["id"]: r["at"] for r in number_rows(df, "at", [F.desc_nulls_last("grp"), F.desc("id")]).collect()}
+    assert sorted(ids, key=down.get) == [i for i, _ in sorted(rows, key=lambda r: (r[1] or "", r[0]), reverse=True)]
+
+
+def test_ranges_are_even_whatever_the_gaps(spark):
+    """Ranks of one file of 100,000 articles and 100,000 files of one: after the first round they are sparse."""
+    long = spark.range(100_000).select((F.col("id") * 100_001).alias("rank"))
+    rows = long.unionAll(spark.range(1, 100_001).select(F.col("id").alias("rank"))).repartition(8)
+    numbered = dense_index(rows)
+    checked = numbered.agg(F.count("*").alias("n"), F.countDistinct("index").alias("d"), F.min("index").alias("a"), F.max("index").alias("b")).first()
+    assert tuple(checked) == (200_000, 200_000, 0, 199_999)
+    wrong = numbered.where(F.col("index") != F.when(F.col("rank") <= 100_000, F.col("rank")).otherwise(F.floor(F.col("rank") / 100_001) + 100_000))
+    assert wrong.count() == 0
+    keys = rows.repartitionByRange("rank").groupBy(F.spark_partition_id().alias("p")).count()
+    sizes = sorted(r["count"] for r in keys.collect())
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
 
 
 def test_leading_rows_beyond_task_memory(spark, monkeypatch):
     monkeypatch.setattr("newsloom.operators.numbering.TOP_ROWS", 3)
     df = spark.range(0, 300, 3).withColumnRenamed("id", "rank")
-    assert sorted(r["rank"] for r in leading_rows(df, 7, "rank", width=10).collect()) == list(range(0, 21, 3))
+    assert sorted(r["rank"] for r in leading_rows(df, 7, "rank").collect()) == list(range(0, 21, 3))
+    assert sorted(r["rank"] for r in leading_rows(df, 2, "rank").collect()) == [0, 3]
+    assert leading_rows(df.where("rank < 0"), 2, "rank").count() == 0
 
 
 def test_round_robin_newest_file_first(spark):
