@@ -16,13 +16,20 @@ with a capacity added for the source):
 The first open row by rank is always decided, so the rounds end. Both decisions are read from
 aggregates: a key votes for its first open row, and a row with a vote from each of its keys
 wins. Votes are keyed by rank, which is unique, so counting them meets no hot key.
+
+The rounds follow the longest chain of rows that wait for each other. Once few rows are open, or when
+a block has few from the start, one task scans them by rank: SCAN_ROWS bounds what it holds, whatever
+the size of the tables, and a chain of any length ends there.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +47,10 @@ BLOCK_GROWTH = 8
 # Rounds after which the accepted rows are written together, to keep plans short.
 MAX_PARTS = 16
 
+# Open rows, and bytes of their keys, that one task scans.
+SCAN_ROWS = 1 << 16
+SCAN_BYTES = 32 << 20
+
 # Up to this cap Spark keeps only the first rows of a source in each map task.
 MAP_SIDE_CAP = 1_000
 
@@ -107,26 +118,66 @@ def _first_copies(rows: DataFrame) -> DataFrame:
 def _decide_block(
     open_rows: DataFrame, accepted: _Accepted, source_limit: int | None, goal: int | None, key_rows: int
 ) -> _Accepted:
-    """Run rounds until no row of the block is open or the goal lies ahead of the first open row.
+    """Run rounds until few rows of the block are open, which are scanned, or the goal lies ahead of the first open row.
 
     A round stores the open rows with a mark on the winners, and reads all it has to know from that
     table in one pass. The rows that clash with winners are left out as the next round reads it.
     """
-    while True:
+    open_rows = settle(open_rows)
+    left, _ = _measured(open_rows.withColumn("won", F.lit(False)), False)
+    while not (left.rows <= SCAN_ROWS and left.bytes <= SCAN_BYTES):
         marked = settle(_marked(open_rows, accepted, source_limit))
-        width = sum((F.octet_length(c) for c in _COLUMNS[1:]), F.lit(16))
-        found = marked.agg(
-            F.count_if("won").alias("rows"), F.sum(F.when(F.col("won"), width)).alias("bytes"),
-            F.min(F.when(~F.col("won"), F.col("rank"))).alias("first"),
-        ).first()
-        size = Size(found["rows"], found["bytes"] or 0)
+        won, _ = _measured(marked, True)
+        left, first = _measured(marked, False)
         winners = marked.where("won").select(*_COLUMNS)
-        if size.rows:
-            accepted = accepted.plus(winners, size)
-        if found["first"] is None or accepted.meets(goal, before=found["first"]):
+        if won.rows:
+            accepted = accepted.plus(winners, won)
+        if first is None or accepted.meets(goal, before=first):
             return accepted
         still = marked.where(~F.col("won")).select(*_COLUMNS)
-        open_rows = _without_clashes(still, winners, size, accepted, source_limit, key_rows)
+        open_rows = _without_clashes(still, winners, won, accepted, source_limit, key_rows)
+    if left.rows:
+        winners = settle(_scanned(open_rows, accepted, source_limit))
+        size, _ = _measured(winners.withColumn("won", F.lit(True)), True)
+        if size.rows:
+            accepted = accepted.plus(winners, size)
+    return accepted
+
+
+def _measured(rows: DataFrame, won: bool) -> tuple[Size, int | None]:
+    """Size and least rank of the rows that won, or of those that did not."""
+    width = sum((F.octet_length(c) for c in _COLUMNS[1:]), F.lit(16))
+    found = rows.where(F.col("won") == won).agg(F.count("*").alias("rows"), F.sum(width).alias("bytes"), F.min("rank").alias("first")).first()
+    return Size(found["rows"], found["bytes"] or 0), found["first"]
+
+
+def _scanned(open_rows: DataFrame, accepted: _Accepted, source_limit: int | None) -> DataFrame:
+    """The winners among few open rows that clash with no accepted row, by the sequential rule in one task."""
+    rows = open_rows.select(*_COLUMNS).withColumn("used", F.lit(0).cast("bigint"))
+    if source_limit is not None and accepted.size.rows:
+        counts = accepted.rows.groupBy("source").agg(F.count("*").alias("n"))
+        rows = rows.drop("used").join(counts, "source", "left").select(*_COLUMNS, F.coalesce("n", F.lit(0)).alias("used"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, set[str]] = {"url": set(), "title": set(), "author": set()}
+        taken: Counter[str] = Counter()
+        for batch in batches:
+            kept = []
+            columns = (batch.column(c).to_pylist() for c in ("url", "title", "author", "source", "used"))
+            for place, (url, title, author, source, used) in enumerate(zip(*columns)):
+                if url in seen["url"] or title in seen["title"] or author in seen["author"]:
+                    continue
+                if source_limit is not None and used + taken[source] >= source_limit:
+                    continue
+                taken[source] += 1
+                seen["url"].add(url)
+                for kind, value in (("title", title), ("author", author)):
+                    if value:
+                        seen[kind].add(value)
+                kept.append(place)
+            yield batch.select(list(_COLUMNS)).take(pa.array(kept, pa.int32()))
+
+    return rows.coalesce(1).sortWithinPartitions("rank").mapInArrow(scan, open_rows.select(*_COLUMNS).schema)
 
 
 def _exclusive_keys(source_limit: int | None) -> list[tuple[str, Column]]:

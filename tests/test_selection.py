@@ -49,7 +49,10 @@ def random_rows(rng, n, spread, gap=1, hot=0.0):
     (5, None, 12, 8, 0.4),
     (6, 1200, None, 32, 0.3),
 ])
-def test_greedy_equals_sequential(spark, seed, limit, goal, block, hot):
+@pytest.mark.parametrize("scan", [0, 20, 1 << 16])
+def test_greedy_equals_sequential(spark, monkeypatch, seed, limit, goal, block, hot, scan):
+    """By rounds alone, by rounds whose last rows are scanned, and by scans of whole blocks."""
+    monkeypatch.setattr("newsloom.operators.selection.SCAN_ROWS", scan)
     rng = random.Random(seed)
     rows = random_rows(rng, 160, 40, gap=rng.choice([1, 3]), hot=hot)
     got = greedy_select(spark.createDataFrame(rows, SCHEMA), limit, goal, first_block=block)
@@ -58,12 +61,15 @@ def test_greedy_equals_sequential(spark, seed, limit, goal, block, hot):
 
 def test_greedy_beyond_the_broadcast_limit(spark, monkeypatch):
     monkeypatch.setattr("newsloom.operators.joins.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("newsloom.operators.selection.SCAN_ROWS", 10)
     rows = random_rows(random.Random(7), 120, 30, hot=0.5)
     got = greedy_select(spark.createDataFrame(rows, SCHEMA), 2, None, first_block=32, key_rows=5)
     assert sorted(r["rank"] for r in got.collect()) == sequential(rows, 2, None)
 
 
-def test_dependency_chain_and_turned_away_row(spark):
+@pytest.mark.parametrize("scan", [0, 1 << 16])
+def test_dependency_chain_and_turned_away_row(spark, monkeypatch, scan):
+    monkeypatch.setattr("newsloom.operators.selection.SCAN_ROWS", scan)
     # Row 1 loses by title and must not reserve its URL, which row 2 takes.
     rows = [(0, "u0", "t0", "", "s"), (1, "u1", "t0", "", "s"), (2, "u1", "t2", "", "s")]
     rows += [(10 + i, f"c{i}", f"x{i // 2}", f"y{(i + 1) // 2}", "z") for i in range(20)]
