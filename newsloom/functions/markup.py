@@ -48,17 +48,74 @@ _CODE = rf"`({JS_CHAR}+?)`"
 _LINK = rf"\[({JS_CHAR}+?)\]\({JS_CHAR}+?\)"
 
 
+_PLAIN_RULES = (
+    (rf"#{{1,6}}{JS_SPACE}+", ""),
+    (_BOLD, "$1"),
+    (_ITALIC, "$1"),
+    (_CODE, "$1"),
+    (_LINK, "$1"),
+)
+# Line ends other than the line feed; a text that holds one is rewritten as a whole.
+_OTHER_ENDS = ("\r", "\u2028", "\u2029")
+
+
+def _any_of(c: Column, marks) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(m)) for m in marks])
+
+
+def _bare(c: Column) -> Column:
+    """White space at the end dropped. Spark's trim walks the whole text, so it is called only where there is some."""
+    ends = reduce(lambda a, b: a | b, [F.endswith(c, F.lit(s)) for s in JS_SPACES])
+    return F.when(ends, F.rtrim(c, F.lit(JS_SPACES))).otherwise(c)
+
+
+def _stripped(c: Column) -> Column:
+    return F.ltrim(_bare(c), F.lit(JS_SPACES))
+
+
+def _let(value: Column, body) -> Column:
+    """`body(value)` with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_markdown(c: Column) -> Column:
-    """Plain text of the Markdown subset on one line."""
-    rules = (
-        (rf"#{{1,6}}{JS_SPACE}+", ""),
-        (_BOLD, "$1"),
-        (_ITALIC, "$1"),
-        (_CODE, "$1"),
-        (_LINK, "$1"),
-        (r"\n+", " "),
-    )
-    return strip(_rewrite(F.coalesce(c, F.lit("")), rules), JS_SPACES)
+    """Plain text of the Markdown subset on one line.
+
+    The patterns stay inside a line, but for the white space after a heading mark, so they are applied
+    line by line, and only where a mark occurs. A text with a line that ends in a heading mark, or with
+    other line ends, is rewritten as a whole.
+    """
+    def rewritten(text: Column) -> Column:
+        whole = _rewrite(text, (*_PLAIN_RULES, (r"\n+", " ")))
+        return F.when(_any_of(text, _OTHER_ENDS), whole).otherwise(_let(
+            F.filter(F.split(text, "\n", -1), lambda line: line != ""),
+            lambda lines: F.when(F.exists(lines, _heading_mark_last), whole).when(_any_of(text, "#*`["), F.array_join(_plain_lines(lines), " ")).otherwise(F.array_join(lines, " "))))
+
+    return _stripped(_let(F.coalesce(c, F.lit("")), rewritten))
+
+
+def _heading_mark_last(line: Column) -> Column:
+    return F.contains(line, F.lit("#")) & F.endswith(_bare(line), F.lit("#"))
+
+
+def _plain_lines(lines: Column) -> Column:
+    """The patterns in their order, each on the lines that hold its mark; most lines with stars are bold as a whole."""
+    heading, bold, italic, code, link = _PLAIN_RULES
+
+    def starred(line: Column) -> Column:
+        inner = F.substring(line, F.lit(3), F.length(line) - 4)
+        whole = F.startswith(line, F.lit("**")) & F.endswith(line, F.lit("**")) & (inner != "") & ~F.contains(inner, F.lit("*"))
+        return F.when(whole, inner).otherwise(_rewrite(line, (bold, italic)))
+
+    def where(mark: str, rule):
+        return lambda line: F.when(F.contains(line, F.lit(mark)), rule(line)).otherwise(line)
+
+    def by(*rules):
+        return lambda line: _rewrite(line, rules)
+
+    for mark, rule in (("#", by(heading)), ("*", starred), ("`", by(code)), ("[", by(link))):
+        lines = F.transform(lines, where(mark, rule))
+    return lines
 
 
 def excerpt(c: Column, limit: int = 155) -> Column:
@@ -73,10 +130,90 @@ def markdown_to_html(c: Column) -> Column:
     """Headings, bold, italic, code, lists and paragraphs.
 
     Bold and italic apply before list items, and a list takes in the newline after its last
-    item, so a heading right after a list stays in the block of the list.
+    item, so a heading right after a list stays in the block of the list. All rules but the one that
+    joins list items are rules of a line, and are applied where its marks occur; a text with a list
+    mark alone on a line, or with other line ends, is rewritten as a whole.
     """
+    def rewritten(text: Column) -> Column:
+        whole = F.regexp_replace(_rewrite(text, _LINE_RULES), _ITEMS, "<ul>$1</ul>")
+        return F.when(_any_of(text, _OTHER_ENDS), whole).otherwise(_let(
+            F.split(text, "\n", -1), lambda lines: F.when(F.exists(lines, _mark_alone), whole).otherwise(by_line(lines))))
+
+    def by_line(lines: Column) -> Column:
+        for rule in (_line_start, _line_marks, _line_code, _line_item):
+            lines = F.transform(lines, rule)
+        return _let(lines, _joined_lines)
+
+    escaped = _replace_all(F.coalesce(c, F.lit("")), HTML_ESCAPES[:3])
+    # More than two line feeds end a block as well; blocks are stripped, and empty ones go.
+    blocks = F.transform(F.split(_let(escaped, rewritten), "\n\n", -1), _stripped)
+    return F.array_join(F.transform(F.filter(blocks, lambda block: block != ""), _paragraph), "\n")
+
+
+def _is_item(line: Column) -> Column:
+    return F.endswith(line, F.lit("</li>"))
+
+
+def _joined_lines(lines: Column) -> Column:
+    """The lines as a text, with each run of list items in a list that takes in the line feed behind it."""
+    before = F.concat(F.array(F.lit("")), F.slice(lines, F.lit(1), F.size(lines) - 1))
+    after = F.slice(lines, F.lit(2), F.size(lines))
+    opened = F.zip_with(lines, before, lambda line, last: F.when(_is_item(line) & ~_is_item(last), F.concat(F.lit("<ul>"), line)).otherwise(line))
+    ended = F.zip_with(opened, after, lambda line, following: F.concat(
+        line,
+        F.when(following.isNull(), "").otherwise("\n"),
+        F.when(_is_item(line) & ~F.coalesce(_is_item(following), F.lit(False)), "</ul>").otherwise("")))
+    return F.array_join(ended, "")
+
+
+def _mark_alone(line: Column) -> Column:
+    """Whether a line is a list mark and white space."""
+    bare = F.ltrim(line, F.lit(JS_SPACES))
+    return (F.startswith(bare, F.lit("-")) | F.startswith(bare, F.lit("*"))) & (F.ltrim(F.substr(bare, F.lit(2)), F.lit(JS_SPACES)) == "")
+
+
+def _line_start(line: Column) -> Column:
+    """A line that is all bold ends its block; headings."""
+    def heading(mark: str, tag: str) -> Column:
+        return F.concat(F.lit(f"<{tag}>"), F.substr(line, F.lit(len(mark) + 1)), F.lit(f"</{tag}>"))
+
+    found = F.when(F.startswith(line, F.lit("**")), _let(_bare(line), lambda bare: _bold_line(bare, line)))
+    for mark, tag in (("### ", "h3"), ("## ", "h2"), ("# ", "h2")):
+        found = found.when(F.startswith(line, F.lit(mark)) & (line != mark), heading(mark, tag))
+    return found.otherwise(line)
+
+
+def _bold_line(bare: Column, line: Column) -> Column:
+    inner = F.substring(bare, F.lit(3), F.length(bare) - 4)
+    simple = F.when(F.contains(inner, F.lit("*")), bare).otherwise(F.concat(F.lit("<strong>"), inner, F.lit("</strong>")))
+    return F.when(F.endswith(bare, F.lit("**")) & (F.length(bare) > 4), F.concat(simple, F.lit("\n\n"))).otherwise(line)
+
+
+def _line_marks(line: Column) -> Column:
+    return F.when(F.contains(line, F.lit("*")), _rewrite(line, ((_BOLD, "<strong>$1</strong>"), (_ITALIC, "<em>$1</em>")))).otherwise(line)
+
+
+def _line_code(line: Column) -> Column:
+    return F.when(F.contains(line, F.lit("`")), F.regexp_replace(line, _CODE, "<code>$1</code>")).otherwise(line)
+
+
+def _line_item(line: Column) -> Column:
+    def item(bare: Column) -> Column:
+        space = F.substring(bare, 2, 1)
+        text = F.ltrim(F.substr(bare, F.lit(2)), F.lit(JS_SPACES))
+        return F.when((space != "") & F.contains(F.lit(JS_SPACES), space), F.concat(F.lit("<li>"), text, F.lit("</li>"))).otherwise(line)
+
+    bare = F.ltrim(line, F.lit(" \t"))
+    return F.when(F.startswith(bare, F.lit("-")) | F.startswith(bare, F.lit("*")), _let(bare, item)).otherwise(line)
+
+
+# A run of list items; possessive, so that it is matched in a loop, whatever its length.
+_ITEMS = r"((?:<li>[^\n]*</li>\n?)++)"
+
+
+def _whole_rules():
     line = rf"({JS_CHAR}+){JS_LINE_END}"
-    rules = (
+    return (
         (rf"{JS_LINE_START}{_BOLD}{JS_SPACE}*{JS_LINE_END}", "**$1**\n\n"),
         (rf"{JS_LINE_START}### {line}", "<h3>$1</h3>"),
         (rf"{JS_LINE_START}##? {line}", "<h2>$1</h2>"),
@@ -84,21 +221,17 @@ def markdown_to_html(c: Column) -> Column:
         (_ITALIC, "<em>$1</em>"),
         (_CODE, "<code>$1</code>"),
         (rf"{JS_LINE_START}[ \t]*[-*]{JS_SPACE}+{line}", "<li>$1</li>"),
-        # Possessive: the run of items is matched in a loop, whatever its length.
-        (r"((?:<li>[^\n]*</li>\n?)++)", "<ul>$1</ul>"),
-    )
-    escaped = _replace_all(F.coalesce(c, F.lit("")), HTML_ESCAPES[:3])
-    blocks = F.transform(
-        F.split(_rewrite(escaped, rules), r"\n{2,}"),
-        lambda block: _paragraph(strip(block, JS_SPACES)),
     )
-    return F.array_join(F.filter(blocks, lambda block: block != ""), "\n")
+
+
+# The rules of `markdown_to_html` for a whole text, but for the one that joins list items.
+_LINE_RULES = _whole_rules()
 
 
 def _paragraph(block: Column) -> Column:
-    is_block = block.rlike(r"^<(h[1-6]|ul|ol|li|blockquote|pre|div)")
+    is_block = F.startswith(block, F.lit("<")) & block.rlike(r"^<(h[1-6]|ul|ol|li|blockquote|pre|div)")
     wrapped = F.concat(F.lit("<p>"), F.replace(block, F.lit("\n"), F.lit(" ")), F.lit("</p>"))
-    return F.when((block == "") | is_block, block).otherwise(wrapped)
+    return F.when(is_block, block).otherwise(wrapped)
 
 
 # Parts of a page that hold no article text.

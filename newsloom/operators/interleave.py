@@ -10,9 +10,9 @@ from newsloom.operators.numbering import number_rows
 from newsloom.session import settle
 
 
-def file_order(files: DataFrame) -> DataFrame:
+def file_order(files: DataFrame, rows: int | None = None) -> DataFrame:
     """Rank landing files newest first, ties by path: `(path, fetch_ts) -> file_rank`. Files without a time come last."""
-    return number_rows(files, "file_rank", [F.desc("fetch_ts"), "path"])
+    return number_rows(files, "file_rank", [F.desc("fetch_ts"), "path"], rows=rows)
 
 
 def round_robin(articles: DataFrame, files: DataFrame) -> DataFrame:
@@ -21,12 +21,15 @@ def round_robin(articles: DataFrame, files: DataFrame) -> DataFrame:
     `rank = pos * number of files + file_rank` is unique and follows that order with no sort.
     It has gaps where a file is shorter than the longest one; `dense_index` closes them.
     """
-    ranked = settle(file_order(files.select("path", "fetch_ts").distinct()).select("path", "file_rank"))
-    size = measure(ranked)
+    names = files.select("path", "fetch_ts").distinct()
+    size = measure(names)
+    ranked = file_order(names, size.rows).select("path", "file_rank")
+    if not size.fits_broadcast():
+        ranked = settle(ranked)
     placed = sized_join(articles, ranked, "path", "inner", ["path", "pos"], size=size)
     return placed.withColumn("rank", F.col("pos") * F.lit(size.rows) + F.col("file_rank"))
 
 
-def dense_index(df: DataFrame, key: str = "rank", name: str = "index") -> DataFrame:
+def dense_index(df: DataFrame, key: str = "rank", name: str = "index", rows: int | None = None) -> DataFrame:
     """0-based index in the order of a unique integer key."""
-    return number_rows(df, name, [key])
+    return number_rows(df, name, [key], rows=rows)

@@ -15,15 +15,20 @@ TOP_ROWS = 100_000
 PLACE_BITS = 33
 
 
-def number_rows(df: DataFrame, name: str, order: Sequence[str | Column], group: Sequence[str] = ()) -> DataFrame:
+def number_rows(
+    df: DataFrame, name: str, order: Sequence[str | Column], group: Sequence[str] = (), rows: int | None = None
+) -> DataFrame:
     """Add the 0-based position of each row in its group, in the given order, which must be unique in it.
 
     Rows are dealt to ranges of (group, order) whose borders Spark draws from a sample, so ranges hold
     about equally many rows, whatever gaps the order has and however hot a group is. Inside a range the
     sorted rows are counted; a small table with one row for each range and group that meet says how many
     rows of the group lie in earlier ranges. The rows pass through here whole: give the columns that
-    identify them, and join the rest. A null in a group column is a group of its own.
+    identify them, and join the rest. A null in a group column is a group of its own. Where the caller
+    knows that there are at most `rows` rows, and these are few, a plain window numbers them.
     """
+    if rows is not None and rows <= TOP_ROWS:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint") - 1)
     keys = [*group, *order]
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
     placed = settle(ranged).withColumn("_range", F.shiftright("_id", PLACE_BITS))

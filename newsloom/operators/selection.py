@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators.joins import KEY_ROWS, Size, spread_join
 from newsloom.operators.numbering import leading_per_group, leading_rows, number_rows
-from newsloom.session import settle
+from newsloom.session import settle, staged
 
 # Ranks that the first block spans, and the factor by which the following blocks grow. With a
 # goal the first block is smaller: GOAL_RANKS ranks for each wanted row, but at least MIN_BLOCK.
@@ -88,28 +88,46 @@ def greedy_select(
     """Rows `(rank, url, title, author, source)` accepted by the sequential rule, up to `goal`.
 
     `rows` carries a unique non-negative integer `rank`, stripped `url`, `title` and `author`
-    (empty means missing; a row without URL is out) and `source`. Pass a stored or settled table:
-    it is read once for each block.
+    (empty means missing; a row without URL is out) and `source`. Pass a stored or settled table: it is
+    read once for each block; of one that `in_blocks` stored, only the files of the block are read.
 
     Acceptance depends on earlier rows only. Rows are therefore taken in blocks of consecutive
     ranks; a block of `n` ranks holds at most `n` rows. Later blocks lose all rows that clash
     with accepted ones before their first round, and none is read once the goal is met.
     """
-    rows = rows.select(*_COLUMNS).where(F.col("url") != "")
-    last = rows.agg(F.max("rank")).first()[0]
-    accepted = _Accepted(rows.sparkSession.createDataFrame([], rows.schema))
-    if first_block is None:
-        first_block = FIRST_BLOCK if goal is None else min(max(GOAL_RANKS * goal, MIN_BLOCK), FIRST_BLOCK)
-    start, width = 0, first_block
-    while last is not None and start <= last and not accepted.meets(goal):
-        block = rows.where((F.col("rank") >= start) & (F.col("rank") < start + width))
+    empty = rows.sparkSession.createDataFrame([], rows.select(*_COLUMNS).schema)
+    accepted = _Accepted(empty)
+    for level, (start, end) in enumerate(block_bounds(goal, first_block)):
+        if start and (accepted.meets(goal) or rows.where(F.col("rank") >= start).isEmpty()):
+            break
+        block = rows.where((F.col("rank") >= start) & (F.col("rank") < end))
+        if "block" in rows.columns:
+            block = block.where(F.col("block") == level)
+        block = block.select(*_COLUMNS).where(F.col("url") != "")
         if start:
             block = _without_clashes(block, accepted.rows, accepted.size, accepted, source_limit, key_rows)
-        accepted = _decide_block(_first_copies(block), accepted, source_limit, goal, key_rows)
-        start, width = start + width, width * BLOCK_GROWTH
+        accepted = _decide_block(block, accepted, source_limit, goal, key_rows)
     return accepted.rows if goal is None else leading_rows(accepted.rows, goal, "rank")
 
 
+def block_bounds(goal: int | None, first_block: int | None = None) -> list[tuple[int, int]]:
+    """Ranges of ranks that are read one after the other, up to the greatest integer."""
+    if first_block is None:
+        first_block = FIRST_BLOCK if goal is None else min(max(GOAL_RANKS * goal, MIN_BLOCK), FIRST_BLOCK)
+    bounds, width = [(0, first_block)], first_block
+    while bounds[-1][1] < (1 << 63) - 1:
+        width *= BLOCK_GROWTH
+        bounds.append((bounds[-1][1], min(bounds[-1][1] + width, (1 << 63) - 1)))
+    return bounds
+
+
+def in_blocks(rows: DataFrame, goal: int | None = None, first_block: int | None = None) -> DataFrame:
+    """Ranked rows stored by the blocks that `greedy_select` reads with the same parameters."""
+    starts = [start for start, _ in block_bounds(goal, first_block)]
+    block = reduce(lambda a, b: a + b, [F.when(F.col("rank") >= s, 1).otherwise(0) for s in starts[1:]], F.lit(0))
+    return staged(rows.withColumn("block", block), "ranked", "block")
+
+
 def _first_copies(rows: DataFrame) -> DataFrame:
     """Keep the first of rows that agree in all keys; the others can never be accepted."""
     return rows.groupBy("url", "title", "author", "source").agg(F.min("rank").alias("rank")).select(*_COLUMNS)
@@ -123,8 +141,9 @@ def _decide_block(
     A round stores the open rows with a mark on the winners, and reads all it has to know from that
     table in one pass. The rows that clash with winners are left out as the next round reads it.
     """
-    open_rows = settle(open_rows)
     left, _ = _measured(open_rows.withColumn("won", F.lit(False)), False)
+    if left.rows > SCAN_ROWS or left.bytes > SCAN_BYTES:
+        open_rows = settle(_first_copies(open_rows))
     while not (left.rows <= SCAN_ROWS and left.bytes <= SCAN_BYTES):
         marked = settle(_marked(open_rows, accepted, source_limit))
         won, _ = _measured(marked, True)

@@ -47,10 +47,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, for readers that filter by ranges of its order."""
+def staged(df: DataFrame, label: str, by: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, with a folder for each value of `by`, so that readers of one skip the rest."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -52,7 +52,7 @@ def document_rows(spark: SparkSession, folder: str) -> DataFrame:
     The title is the whole first line; the summary lists all further lines.
     """
     lines = F.split("text", "\n", -1)
-    title = F.get(lines, F.lit(0))
+    title = F.substring_index("text", "\n", 1)
     points = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda line: F.concat(F.lit("- "), line))
     repeated = F.when(F.col("doc_id") % 10 == 9, F.col("doc_id") - 1).otherwise(F.col("doc_id"))
     return read_table(spark, folder, "documents").select(

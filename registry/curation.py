@@ -9,7 +9,7 @@ from newsloom.functions.text import clean, or_default
 from newsloom.operators import corpus
 from newsloom.operators.interleave import dense_index, file_order, round_robin
 from newsloom.operators.joins import hinted
-from newsloom.operators.selection import greedy_select, source_distribution
+from newsloom.operators.selection import greedy_select, in_blocks, source_distribution
 from newsloom.session import settle
 from newsloom.sources.articles import AS_OF, article_rows, event_facts, queued_articles, queued_facts, read_table
 from newsloom.sources.landing import envelope, flatten
@@ -21,7 +21,7 @@ TOPICS = ("The", "that thin", "tion ing er", "Zyx")
 
 def ranked_articles(spark: SparkSession, folder: str) -> DataFrame:
     """Selection input: a topic is a file, fetched at the time of its newest article; articles without a topic are a file without a time."""
-    facts = settle(queued_facts(spark, folder))
+    facts = queued_facts(spark, folder)
     path = F.coalesce("topic", F.lit("")).alias("path")
     files = facts.groupBy(path).agg(F.max("published_at").cast("timestamp").alias("fetch_ts"))
     rows = article_rows(spark, folder, facts).select(
@@ -75,9 +75,9 @@ SELECTED = "SELECT master_index AS \"index\", doc_id, url, title, author, source
 
 
 def selected(spark: SparkSession, folder: str, limit: int | None, goal: int | None) -> DataFrame:
-    ranked = settle(ranked_articles(spark, folder))
-    chosen = greedy_select(ranked, limit, goal)
-    places = ranked.select("rank", "doc_id").join(hinted(settle(dense_index(chosen))), "rank")
+    ranked = in_blocks(ranked_articles(spark, folder), goal)
+    chosen = dense_index(greedy_select(ranked, limit, goal), rows=goal)
+    places = ranked.select("rank", "doc_id").join(hinted(chosen), "rank")
     return places.select("index", "doc_id", "url", "title", "author", "source")
 
 
