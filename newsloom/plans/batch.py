@@ -45,7 +45,9 @@ def run(
     """
     if not resume:
         store.clear_run()
-        chosen = settle(curate(require_articles(landing), source_limit, candidate_goal))
+        # The documents are parsed once; all that follows reads the stored rows.
+        landing = require_articles(store.stage("landing_articles", landing))
+        chosen = settle(curate(landing, source_limit, candidate_goal))
         originals = landing.select("path", "pos", "article").join(hinted(chosen), ["path", "pos"])
         store.write_master(originals, run_at, source_limit, candidate_goal)
     master = settle(store.read_master().select("index", *candidate_columns("article")))

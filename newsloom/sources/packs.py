@@ -36,7 +36,7 @@ FILES = 64
 INDEX_ROWS = 1 << 16
 
 
-def _located(root: str) -> tuple[fs.FileSystem, str]:
+def located(root: str) -> tuple[fs.FileSystem, str]:
     if root.startswith("file:/") and not root.startswith("file://"):
         root = "file://" + root.removeprefix("file:")
     files, path = fs.FileSystem.from_uri(root)
@@ -71,7 +71,7 @@ class PackWriter(DataSourceArrowWriter):
         self.root, self.version, self.overwrite = root, version, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> PackWritten:
-        files, root = _located(self.root)
+        files, root = located(self.root)
         name = f"{self.version:012d}-{uuid.uuid4().hex}"
         part = TaskContext.get().partitionId()
         documents, at, held, pack, index = 0, 0, [], None, None
@@ -111,7 +111,7 @@ class PackWriter(DataSourceArrowWriter):
         return PackWritten(name if pack is not None else None, documents, at)
 
     def commit(self, messages: Sequence[PackWritten | None]) -> None:
-        files, root = _located(self.root)
+        files, root = located(self.root)
         done = [m for m in messages if m is not None and m.name]
         before = _commits(files, root)
         files.create_dir(f"{root}/commits", recursive=True)
@@ -129,7 +129,7 @@ class PackWriter(DataSourceArrowWriter):
                 _delete(files, root, old["names"])
 
     def abort(self, messages: Sequence[PackWritten | None]) -> None:
-        files, root = _located(self.root)
+        files, root = located(self.root)
         _delete(files, root, [m.name for m in messages if m is not None and m.name])
 
 
@@ -164,7 +164,7 @@ def write_packed(
 
 
 def versions(root: str) -> list[int]:
-    return [c["version"] for c in _commits(*_located(root))]
+    return [c["version"] for c in _commits(*located(root))]
 
 
 def packed_index(spark: SparkSession, root: str, paths: Sequence[str] | None = None) -> DataFrame:
@@ -172,7 +172,7 @@ def packed_index(spark: SparkSession, root: str, paths: Sequence[str] | None = N
 
     The index files are sorted by path, so a look-up of few paths reads few row groups.
     """
-    commits = _commits(*_located(root))
+    commits = _commits(*located(root))
     names = [f"{root.rstrip('/')}/index/{n}.parquet" for c in commits for n in c["names"]]
     if not names:
         return spark.createDataFrame([], INDEX)
@@ -187,7 +187,7 @@ def packed_index(spark: SparkSession, root: str, paths: Sequence[str] | None = N
 def _read(root: str):
     """Task over stretches: their bytes. Those of one pack come together, so each pack is opened once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = _located(root)
+        files, base = located(root)
         name, stream = None, None
         for batch in batches:
             bodies, first, size = [], 0, 0

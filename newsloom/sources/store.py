@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom import schemas
-from newsloom.functions.text import or_default, summary_file_name
+from newsloom.functions.text import or_default, summary_file_name, topic_file_name
 from newsloom.operators.numbering import leading_rows, number_rows
 from newsloom.sources import packs
+from newsloom.sources.named import write_named
 
 
 def _or_empty(spark: SparkSession, schema: T.StructType, read) -> DataFrame:
@@ -51,6 +52,11 @@ class Store:
         """One folder for each topic and fetch time, as JSON lines."""
         documents.write.mode("overwrite").partitionBy("topic", "fetch_ts").json(self.path("landing"))
 
+    def write_landing_files(self, documents: DataFrame) -> None:
+        """One file for each topic and fetch time, under its fixed name, as the landing readers expect them."""
+        body = F.to_json(F.struct("status", "totalResults", "articles"), {"ignoreNullFields": "false"})
+        write_named(documents.select(topic_file_name(F.col("topic"), F.col("fetch_ts")).alias("name"), body.alias("body")), self.path("landing_files"))
+
     def read_landing_pages(self) -> DataFrame:
         """The landing folders written by this store; `path` names the folder."""
         read = self.spark.read.schema(
@@ -208,21 +214,26 @@ class Store:
         )
 
     def read_site_json(self, path: str) -> DataFrame:
-        """A site list kept as JSON arrays, with the place in the array; empty if it is missing.
+        """A site list kept as JSON arrays, as run 0 with the place in the list; empty if it is missing.
 
-        This takes over an existing list once. A JSON array is read by one task, so the site itself
-        is kept as the Parquet table of `append_site`.
+        Of several documents the list goes on in the order of their names. A JSON array is read by one task, so
+        the site itself is kept as the Parquet table of `append_site`; `take_over` moves a list there.
         """
         numbered = "array<struct<" + ",".join(f"{f}:string" for f in schemas.SITE_FIELDS) + ">>"
 
         def read():
             whole = self.spark.read.text(path, wholetext=True)
-            return whole.select(F.posexplode(F.from_json("value", numbered)).alias("pos", "row")).select(
-                "row.*", F.lit(0).cast("bigint").alias("run_seq"), F.col("pos").cast("bigint").alias("pos")
-            )
+            rows = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.from_json("value", numbered)).alias("at", "row"))
+            placed = number_rows(rows, "pos", ["file", "at"])
+            return placed.select("row.*", F.lit(0).cast("bigint").alias("run_seq"), "pos")
 
         return _or_empty(self.spark, schemas.SITE_TABLE, read)
 
+    def take_over(self, path: str, writer: str = "import") -> None:
+        """Store a site list kept as JSON, once: it claims its run number like any other writer."""
+        rows = self.read_site_json(path)
+        self.append_site(rows, self.claim_run(writer, 0), writer)
+
     def export_site_json(self, site: DataFrame) -> None:
         """The list as JSON lines in list order, for readers outside Spark."""
         ordered = site.orderBy(F.desc("run_seq"), "pos").select(*schemas.SITE_FIELDS)
