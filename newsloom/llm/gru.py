@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.frames import sampled, shielded
+from newsloom.llm.frames import shielded
 
 UNITS = 8
 # Bytes that run through the network as one sequence; a text is cut into such windows, all of them read.
@@ -165,34 +165,47 @@ def cut(text: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     return padded.reshape(n, window).T, live.reshape(n, window).T
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = 3000, windows: int = 4, languages: int = 64) -> Network | None:
-    """A network from about `rows` documents, those with a small hash of the id, and `windows`
-    windows from each, spread over its whole text. The `languages` most frequent labels of the sample
-    are learned. None if no document has a label and a text. The sample, about rows * windows *
-    WINDOW bytes, is what the driver sees; the id deals rows to the sample and is no input.
+def training_rows(docs: DataFrame, text: str, lang: str, doc_id: str, rows: int, least: int) -> DataFrame:
+    """About the same number of distinct labelled rows for each language: `rows` shared by all, but `least` at least.
+
+    A row is taken by a hash of its id, text and label, so null ids and hot ids are dealt like others, and
+    rows that repeat each other count once. The share taken of a language follows from its distinct rows,
+    of which few are all taken, so each language is learned, however rare.
+    """
+    labelled = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
+        F.xxhash64(doc_id, text, lang).alias("h"), F.col(lang).alias("l"), F.encode(F.col(text), "utf-8").alias("t"))
+    sizes = labelled.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
+    wanted = max(least, rows // max(1, len(sizes)))
+    share = [(r["l"], min(1 << 40, int(1.1 * wanted / r["n"] * (1 << 40)))) for r in sizes]
+    # One row for each language, as in the output layer of the network.
+    limits = F.broadcast(docs.sparkSession.createDataFrame(share, "l string, share long"))
+    return labelled.join(limits, "l").where(F.pmod("h", F.lit(1 << 40)) < F.col("share")).drop("share")
+
+
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = 3000, windows: int = 4, least: int = 30) -> Network | None:
+    """A network of all languages that a row has, from about `rows` distinct rows, the same number of each
+    language and at least about `least` of it (all, where it has fewer), and `windows` windows from each row,
+    spread over its whole text. None if no document has a label and a text. The sample, about
+    max(rows, least * languages) * windows * WINDOW bytes, is what the driver sees; the id deals rows to
+    the sample and is no input.
     """
     sample = (
-        sampled(docs.where(F.col(lang).isNotNull()), F.col(doc_id), rows).where(F.length(text) > 0)
-        .select(F.xxhash64(text).alias("h"), F.encode(F.col(text), "utf-8").alias("t"), F.col(lang).alias("l"))
+        training_rows(docs, text, lang, doc_id, rows, least)
         .select("h", "l", *(
             F.substring("t", (F.octet_length("t") * i / windows).cast("int") + 1, WINDOW).alias(f"w{i}") for i in range(windows)))
-        .collect()
+        .dropDuplicates(["h", "l"]).collect()
     )
     sample.sort(key=lambda r: (r["h"], r["l"]))
-    counts: dict[str, int] = {}
-    for r in sample:
-        counts[r["l"]] = counts.get(r["l"], 0) + 1
-    known = sorted(sorted(counts, key=lambda l: (-counts[l], l))[:languages])
+    known = sorted({r["l"] for r in sample})
     if not known:
         return None
     data, live, target = [], [], []
     for r in sample:
-        if r["l"] in known:
-            for i in range(windows):
-                a, b = cut(bytes(r[f"w{i}"]).ljust(1))
-                data.append(a)
-                live.append(b)
-                target.append(known.index(r["l"]))
+        for i in range(windows):
+            a, b = cut(bytes(r[f"w{i}"]).ljust(1))
+            data.append(a)
+            live.append(b)
+            target.append(known.index(r["l"]))
     return train(np.concatenate(data, axis=1), np.concatenate(live, axis=1), np.array(target), known)
 
 

@@ -42,10 +42,6 @@ FOLD = _table()
 LOOSE = re.compile(r"[$@](?=[$@]*(?:\W|$))")
 
 
-# Occurrences of a term in one document that are counted.
-REPEATS = 4
-
-
 def fold(text: str) -> str:
     """One folded character for each character, between two spaces. After a word, `$` and `@` are punctuation."""
     if "$" in text or "@" in text:
@@ -110,7 +106,10 @@ def _grown(words: list[str]) -> Iterator[str]:
 
 
 def _counts(words_of):
-    """Task that counts the terms in rows of either label, a row's repeats up to `REPEATS`; it holds at most 200,000 terms."""
+    """Task that counts the terms in rows of either label; it holds at most 200,000 terms.
+
+    A term that occurs n times in a row counts 1 + floor(log2(n)): every repeat counts, the later ones less.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("term", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
 
@@ -126,7 +125,7 @@ def _counts(words_of):
             for text, label in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
                 side = pos if label else neg
                 for term, n in Counter(words_of(fold(text.decode()))).items():
-                    side[term] += min(n, REPEATS)
+                    side[term] += n.bit_length()
                 if len(pos) + len(neg) > 200_000:
                     yield rows(pos, neg)
                     pos, neg = Counter(), Counter()

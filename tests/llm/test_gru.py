@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -84,3 +85,65 @@ def test_nothing_to_learn_and_empty_table(spark):
     assert gru.learn(documents(spark, [(1, "abc")])) is None
     assert gru.identify(documents(spark, [(1, "abc")]), None).first()["lang_pred"] == "und"
     assert gru.identify(documents(spark, []), None).collect() == []
+
+
+def many_languages(n, each):
+    """Languages that differ in one letter that all their words hold."""
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + 37 * i) for i in range(n)]
+    return [(i, " ".join(letters[i % n] * 2 + rng.choice("abcde") for _ in range(40)), f"l{i % n:03d}") for i in range(n * each)]
+
+
+def test_a_hundred_languages_are_learned_and_rare_ones_too(spark):
+    rows = many_languages(100, 3) + [(10_000 + i, f"the {i} of and", "zz") for i in range(2000)]
+    net = gru.learn(documents(spark, rows), rows=400, least=3)
+    assert len(net.languages) == 101
+
+
+def test_the_sample_is_bounded_under_null_and_hot_ids(spark):
+    rows = [(None, f"text number {i}", "aa") for i in range(4000)] + [(7, f"other {i}", "bb") for i in range(4000)]
+    rows += [(9, "always the same", "cc")] * 3000 + [(i, f"plain {i}", "dd") for i in range(1000)]
+    taken = gru.training_rows(documents(spark, rows).repartition(4), "text", "lang", "doc_id", 400, 30).dropDuplicates(["h", "l"])
+    counts = {r["l"]: r["count"] for r in taken.groupBy("l").count().collect()}
+    assert counts["cc"] == 1 and all(60 <= counts[c] <= 170 for c in ("aa", "bb", "dd"))
+
+
+def plain_shares(net, text):
+    """Mean probabilities of a text: window by window and byte by byte, in plain numbers."""
+    units = net.states[0].shape[1]
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-x))
+
+    totals = [0.0] * len(net.languages)
+    for at in range(0, len(text), gru.WINDOW):
+        window = text[at: at + gru.WINDOW]
+        states = [{}, {}]
+        for way in (0, 1):
+            state = [0.0] * units
+            for t in range(len(window)) if way == 0 else reversed(range(len(window))):
+                given = net.inputs[way][:, window[t]]
+                led = [sum(float(net.states[way][k, j]) * state[j] for j in range(units)) for k in range(3 * units)]
+                after = []
+                for k in range(units):
+                    reset, update = sigmoid(given[k] + led[k]), sigmoid(given[units + k] + led[units + k])
+                    candidate = math.tanh(given[2 * units + k] + reset * (led[2 * units + k] + float(net.bias[way][k, 0])))
+                    after.append(candidate + update * (state[k] - candidate))
+                state = after
+                states[way][t] = state
+        for t in range(len(window)):
+            both = states[0][t] + states[1][t]
+            scores = [sum(float(w) * x for w, x in zip(row, both)) + float(net.shift[i, 0]) for i, row in enumerate(net.out)]
+            top = [math.exp(x - max(scores)) for x in scores]
+            totals = [a + x / sum(top) for a, x in zip(totals, top)]
+    return [x / max(1, len(text)) for x in totals]
+
+
+def test_pooling_equals_a_plain_forward_pass():
+    net = gru.Network.drawn(["x", "y", "z"], seed=4)
+    for drawn in net.bias:
+        drawn += np.linspace(-0.5, 0.5, len(drawn), dtype=np.float32)[:, None]
+    rng = random.Random(2)
+    texts = [b"", b"a", bytes(rng.choices(range(256), k=64)), "zażółć gęślą".encode() * 9]
+    for shares, text in zip(gru.pooled(net, texts), texts):
+        assert np.allclose(shares, plain_shares(net, text), atol=1e-5)
