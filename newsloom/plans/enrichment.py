@@ -61,13 +61,16 @@ def enrich_until(
     goal: int,
     first_block: int | None = None,
     store: Store | None = None,
+    tasks: int | None = None,
     **limits: int,
 ) -> DataFrame:
     """Results up to the success that meets the goal, with the stages run on few rows beyond it.
 
     Candidates carry a dense 0-based `index`. They are processed in blocks of consecutive indexes;
     a block is kept before the next one starts, so nothing is sent to a model twice. The outcome
-    equals the goal cut over the results of all candidates.
+    equals the goal cut over the results of all candidates. The candidates of a block are dealt by index
+    to `tasks` tasks, else to as many as the cluster has cores; a task calls a stage once at a time, so
+    that is also the number of calls in flight.
 
     With a store the blocks are recorded there, and candidates it has results of are skipped, so
     a run that broke off can be resumed.
@@ -79,7 +82,8 @@ def enrich_until(
     start, width = span["first"], first_block or max(BLOCK_FACTOR * goal, 1)
     while start is not None and start <= span["last"] and done.where("success").count() < goal:
         block = candidates.where((F.col("index") >= start) & (F.col("index") < start + width))
-        results = enrich(block, summarize, classify, categories, **limits)
+        dealt = block.repartition(tasks or block.sparkSession.sparkContext.defaultParallelism, "index")
+        results = enrich(dealt, summarize, classify, categories, **limits)
         if store:
             store.write_block(results, start)
             done = store.read_blocks()

@@ -47,6 +47,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark reaches, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def staged(df: DataFrame, label: str, by: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, with a folder for each value of `by`, so that readers of one skip the rest."""
     path = scratch_path(df.sparkSession, label)

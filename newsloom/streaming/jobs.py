@@ -7,6 +7,8 @@ what has arrived and stops.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from newsloom.functions.text import url_key
 from newsloom.functions.times import is_recent
 from newsloom.plans.batch import new_site_rows
-from newsloom.session import settle
+from newsloom.session import delete_path, settle
 from newsloom.sources.landing import flatten, json_documents
 from newsloom.sources.store import Store
 
@@ -91,16 +93,44 @@ def append_rows(store: Store, name: str, rows: DataFrame, checkpoint: str) -> St
     return _start(rows, checkpoint, "append", append)
 
 
-def replace_totals(store: Store, name: str, totals: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Keep a table of the newest totals, which `newest` reads. Each micro-batch writes a version of its own."""
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(store.path(f"{name}/version={batch_id}"))
+def replace_totals(store: Store, name: str, totals: DataFrame, checkpoint: str, keys: Sequence[str] = ("category",)) -> StreamingQuery:
+    """Keep a table of the newest totals, which `newest` reads.
 
-    return _start(totals, checkpoint, "complete", replace)
+    A micro-batch brings the totals that changed; they replace those of the last version with the same
+    keys, and the result is a version of its own. A repeated micro-batch starts from the version before
+    it, too. Once a version is complete all but the one before it go, which readers may still have open.
+    """
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        changed = settle(batch)
+        done = [v for v in versions(store, name) if v < batch_id]
+        rows = changed
+        if done:
+            last, new = _version(store, name, done[-1]).alias("last"), changed.select(*keys).alias("new")
+            same = reduce(and_, [F.col(f"last.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys])
+            rows = last.join(new, same, "left_anti").unionByName(changed)
+        rows.write.mode("overwrite").parquet(store.path(f"{name}/version={batch_id}"))
+        for old in done[:-1]:
+            delete_path(store.spark, store.path(f"{name}/version={old}"))
+
+    return _start(totals, checkpoint, "update", upsert)
+
+
+def versions(store: Store, name: str) -> list[int]:
+    """The complete versions of a table of totals, oldest first."""
+    spark = store.spark
+    place = spark._jvm.org.apache.hadoop.fs.Path(store.path(name))
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    found = [status.getPath() for status in files.listStatus(place)]
+    done = [p for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("version=")) for p in done)
+
+
+def _version(store: Store, name: str, version: int) -> DataFrame:
+    return store.spark.read.parquet(store.path(f"{name}/version={version}"))
 
 
 def newest(store: Store, name: str) -> DataFrame:
-    """The newest version of the totals that `replace_totals` keeps."""
-    versions = store.spark.read.parquet(store.path(name))
-    last = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == last).drop("version")
+    """The newest complete version of the totals that `replace_totals` keeps."""
+    return _version(store, name, versions(store, name)[-1])

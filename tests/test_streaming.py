@@ -80,6 +80,23 @@ def test_totals_equal_batch(spark, small_dir):
     assert got == want
 
 
+def test_totals_keep_two_versions(spark, tmp_path):
+    """Many micro-batches, of which each changes some totals; null is a category, too."""
+    store, want = Store(spark, str(tmp_path)), {}
+    for step in range(12):
+        rows = [(c,) for c in ["a", "b", None, "d"][: 1 + step % 4] * (step + 1)]
+        for (c,) in rows:
+            want[c] = want.get(c, 0) + 1
+        spark.createDataFrame(rows, "category string").coalesce(1).write.parquet(str(tmp_path / f"drops/step={step:02d}"))
+        stream = spark.readStream.schema("category string").parquet(str(tmp_path / "drops/*"))
+        run(jobs.replace_totals(store, "totals", jobs.category_totals(stream), str(tmp_path / "state")))
+        assert {r["category"]: r["n"] for r in jobs.newest(store, "totals").collect()} == want
+        assert len(jobs.versions(store, "totals")) <= 2
+    # A version that was not finished is not read.
+    (tmp_path / "totals/version=99").mkdir()
+    assert {r["category"]: r["n"] for r in jobs.newest(store, "totals").collect()} == want
+
+
 def streamed(spark, store, tmp_path, job, rows):
     """Merge the rows as the next drop of a job."""
     place = tmp_path / job
