@@ -97,3 +97,42 @@ def test_large_components_are_exact():
 
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], VECTORS), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def sharing(n, dim, common, seed):
+    """Unit vectors of which two have the mean cosine `common`."""
+    rng = np.random.default_rng(seed)
+    direction = itq.unit(rng.standard_normal((1, dim)))
+    return itq.unit(np.sqrt(common) * direction + np.sqrt(1 - common) * itq.unit(rng.standard_normal((n, dim))))
+
+
+def partners_of(rows, towards, seed):
+    """Partners at cosines from 0.93 to 0.99, turned in any direction or towards other rows."""
+    rng = np.random.default_rng(seed)
+    aside = np.roll(rows, 1, axis=0) - rows if towards else rng.standard_normal(rows.shape)
+    aside = itq.unit(aside - np.einsum("ij,ij->i", rows, aside)[:, None] * rows)
+    cosines = rng.uniform(0.93, 0.99, len(rows))
+    return cosines[:, None] * rows + np.sqrt(1 - cosines**2)[:, None] * aside, cosines
+
+
+@pytest.mark.parametrize("dim", [64, 256])
+@pytest.mark.parametrize("common", [0, 0.3, 0.5, 0.7])
+def test_recall_by_band_whatever_direction_is_shared(dim, common):
+    rows = sharing(2000, dim, common, 1)
+    model = itq.planned(rows, 0.93)
+    for towards in (False, True):
+        partners, cosines = partners_of(rows, towards, 2)
+        differing = np.bitwise_count(itq.parts(rows, model) ^ itq.parts(partners, model))
+        found = (differing.min(axis=1) <= 1) & (differing.sum(axis=1) <= model.reach)
+        for low, high in ((0.93, 0.95), (0.95, 0.97), (0.97, 0.99)):
+            band = (cosines >= low) & (cosines < high)
+            assert found[band].mean() >= 0.95, (towards, low, model.tables)
+
+
+def test_links_of_vectors_that_share_a_direction(spark):
+    rows = sharing(400, 64, 0.6, 3)
+    partners, _ = partners_of(rows, True, 4)
+    pairs = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.concatenate([rows, partners]))]
+    found = itq.near_vectors(spark.createDataFrame(pairs, "vec_id long, embedding array<double>, label int")).collect()
+    links = plain_links(pairs, 0.93)
+    assert sum(r["n_links"] for r in found) >= 0.95 * 2 * len(links) and len(links) >= 390
