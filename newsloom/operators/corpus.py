@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.matching import met_searches
 from newsloom.functions.text import search_text
 from newsloom.functions.times import in_fetch_window
 from newsloom.operators.numbering import leading_per_group
@@ -28,21 +27,17 @@ def topic_hits(corpus: DataFrame, topics: Sequence[str], as_of: str, domains: st
     """Articles with `topic`, one row for each topic they match, in the language and time window.
 
     An article matches when every word of the topic occurs in its title, description or content,
-    in any case. The topics are a parameter, so one scan lowers each text once and tests each
-    distinct word once; there is no join.
+    in any case. The topics are a parameter, so one scan lowers each text once and tests it against all
+    of them, a few or thousands; there is no join.
     """
     eligible = corpus.where(
         (F.col("lang") == LANGUAGE)
         & in_fetch_window(F.col("published_at"), as_of)
         & in_domains(F.col("url"), domains)
     )
-    words = {word: f"_w{i}" for i, word in enumerate(sorted({w for t in topics for w in t.lower().split()}))}
     searched = eligible.withColumn("_text", search_text(F.col("title"), F.col("description"), F.col("content")))
-    tested = searched.withColumns({name: F.contains("_text", F.lit(word)) for word, name in words.items()})
-    matched = F.array_compact(F.array(*[
-        F.when(reduce(and_, [F.col(words[w]) for w in t.lower().split()], F.lit(True)), F.lit(t)) for t in topics
-    ]))
-    return tested.withColumn("topic", F.explode(matched)).drop("_text", *words.values())
+    matched = met_searches(F.col("_text"), [(t, t.lower().split()) for t in topics])
+    return searched.withColumn("topic", F.explode(matched)).drop("_text")
 
 
 def topic_pages(hits: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:

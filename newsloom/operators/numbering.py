@@ -11,6 +11,8 @@ from newsloom.session import settle
 
 # Up to this many leading keys may go through one task.
 TOP_ROWS = 100_000
+# Up to so many leading rows of a group Spark keeps in each map task (`spark.sql.optimizer.windowGroupLimitThreshold`).
+MAP_SIDE_ROWS = 1_000
 # The place of a row in its partition, in the low bits of Spark's increasing id.
 PLACE_BITS = 33
 
@@ -61,8 +63,11 @@ def leading_per_group(df: DataFrame, n: int, group: Sequence[str], order: Sequen
     """The first `n` rows of each group with their 1-based place.
 
     The rank filter lets Spark keep only `n` rows of a group in each map task before the
-    shuffle, so a hot group does not reach one task as a whole. That holds for `n` up to
-    `spark.sql.optimizer.windowGroupLimitThreshold`.
+    shuffle, so a hot group does not reach one task as a whole. That holds for `n` up to MAP_SIDE_ROWS;
+    beyond, the rows are numbered by ranges, for which the order must be unique in a group.
     """
+    if n > MAP_SIDE_ROWS:
+        numbered = number_rows(df, "place", order, group).withColumn("place", F.col("place") + 1)
+        return numbered.where(F.col("place") <= n)
     place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("place", place.cast("bigint")).where(F.col("place") <= n)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import structured
 from newsloom.functions.markup import cdata, escape_html, escape_xml, excerpt, markdown_to_html, strip_markdown
+from newsloom.functions.matching import met_searches
 from newsloom.functions.text import (
     counted, keyword_list, keywords, or_default, search_text, slug, slug_of, word_count,
 )
@@ -181,15 +182,14 @@ def listing_rows(site: DataFrame, settings: SiteSettings) -> DataFrame:
     def listed(path: Column, label: Column) -> Column:
         return F.struct(path.alias("page"), label.alias("label"))
 
-    pages = [listed(F.lit("/"), F.lit(HOME_LABEL))]
-    pages.append(F.when(F.col("category_page").isNotNull(), listed(F.col("category_page"), F.col("category"))))
-    for query in kept_queries(settings.queries):
-        label = search_label(F.lit(query))
-        pages.append(F.when(F.contains("_text", F.lit(query.lower())), listed(search_path(F.lit(query)), label)))
+    lists = F.array_compact(F.array(
+        listed(F.lit("/"), F.lit(HOME_LABEL)),
+        F.when(F.col("category_page").isNotNull(), listed(F.col("category_page"), F.col("category"))),
+    ))
     text = search_text(*[F.col(c) for c in SEARCH_FIELDS])
-    found = with_category_page(site).withColumn("_text", text).withColumn(
-        "_on", F.explode(F.array_compact(F.array(*pages)))
-    )
+    searches = met_searches(F.col("_text"), [(q, [q.lower()]) for q in kept_queries(settings.queries)])
+    found = with_category_page(site).withColumn("_text", text).withColumn("_met", searches).withColumn("_on", F.explode(F.concat(
+        lists, F.transform("_met", lambda query: listed(search_path(query), search_label(query))))))
     return found.select(
         "_on.page", "_on.label", day_key(F.col("processed_at")).alias("day"), "pos",
         or_default(F.col("title"), "Untitled").alias("title"),
@@ -266,12 +266,11 @@ def kept_queries(queries: Sequence[str]) -> list[str]:
 def search_hits(site: DataFrame, queries: Sequence[str]) -> DataFrame:
     """Site rows with `query`, one for each query found in one of five fields.
 
-    The queries are a parameter, so one scan lowers each row once and tests them all; there is no join.
+    The queries are a parameter, so one scan lowers each row once and tests it against all of them, a few or
+    thousands; there is no join.
     """
     fields = [F.col(c) for c in SEARCH_FIELDS]
-    found = F.array_compact(F.array(*[
-        F.when(F.contains("_text", F.lit(q.lower())), F.lit(q)) for q in queries
-    ]))
+    found = met_searches(F.col("_text"), [(q, [q.lower()]) for q in queries])
     return site.withColumn("_text", search_text(*fields)).withColumn("query", F.explode(found)).drop("_text")
 
 

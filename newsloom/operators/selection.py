@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.joins import KEY_ROWS, Size, spread_join
-from newsloom.operators.numbering import leading_per_group, leading_rows, number_rows
+from newsloom.operators.numbering import leading_per_group, leading_rows
 from newsloom.session import settle, staged
 
 # Ranks that the first block spans, and the factor by which the following blocks grow. With a
@@ -51,9 +51,6 @@ MAX_PARTS = 16
 SCAN_ROWS = 1 << 16
 SCAN_BYTES = 32 << 20
 
-# Up to this cap Spark keeps only the first rows of a source in each map task.
-MAP_SIDE_CAP = 1_000
-
 _COLUMNS = ("rank", "url", "title", "author", "source")
 
 
@@ -231,12 +228,7 @@ def _marked(open_rows: DataFrame, accepted: _Accepted, source_limit: int | None)
 def _free_places(open_rows: DataFrame, accepted: _Accepted, source_limit: int) -> DataFrame:
     """Ranks of open rows whose place in their source is within the places left."""
     slim = open_rows.select("source", "rank")
-    if source_limit <= MAP_SIDE_CAP:
-        placed = leading_per_group(slim, source_limit, ["source"], ["rank"])
-    else:
-        placed = number_rows(slim, "place", ["rank"], ["source"]).withColumn(
-            "place", F.col("place") + 1
-        ).where(F.col("place") <= source_limit)
+    placed = leading_per_group(slim, source_limit, ["source"], ["rank"])
     if accepted.size.rows == 0:
         return placed.select("rank")
     used = accepted.rows.groupBy("source").agg(F.count("*").alias("used"))

@@ -16,6 +16,8 @@ def local_session(name: str = "newsloom", cpus: int | str = 8, **conf: str) -> S
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
+        # Checkpoints go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": os.environ.get("NEWSLOOM_DRIVER_MEMORY", "8g"),
         **conf,
     }

@@ -1,5 +1,8 @@
 """Gates, stages, goal cut and result records."""
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsloom.operators import gates, progress
@@ -87,3 +90,29 @@ def test_resume_and_labels(spark):
     assert sorted(r["index"] for r in progress.remaining(rows, done).collect()) == [0, 2, 3, 5]
     valid = spark.createDataFrame([("A",)], "category string")
     assert gates.keep_labelled(rows, valid).count() == gates.keep_labelled(rows, valid, "left_anti").count() == 3
+
+
+def test_a_block_is_dealt_to_tasks_that_ask_once(spark, tmp_path):
+    """Each task of a block loads its model once, and no prompt is sent twice."""
+    folder = str(tmp_path)
+
+    def counting(name, maker):
+        def make():
+            run = maker()
+            open(f"{folder}/{name}-made-{uuid.uuid4().hex}", "w").close()
+
+            def answers(texts):
+                for _ in texts:
+                    open(f"{folder}/{name}-asked-{uuid.uuid4().hex}", "w").close()
+                return run(texts)
+
+            return answers
+
+        return make
+
+    rows = candidates(spark, *[{}] * 30)
+    done = enrich_until(rows, counting("sum", lead_summary), counting("label", keyword_label), CATEGORIES, 30, first_block=30, tasks=3, **LIMITS)
+    assert done.where("success").count() == 30
+    names = [name.rsplit("-", 1)[0] for name in os.listdir(folder)]
+    assert 1 < names.count("sum-made") <= 3 and 1 < names.count("label-made") <= 3
+    assert names.count("sum-asked") == names.count("label-asked") == 30

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import history, joins, merging
+from newsloom.operators import corpus, history, joins, merging
 from newsloom.operators import publication as pub
 from newsloom.schemas import SITE_FIELDS
 
@@ -171,6 +171,29 @@ def test_leading_rows_match_sorting(spark):
     }
 
 
+def test_thousands_of_searches_equal_brute_force(spark):
+    rng = random.Random(1)
+    letters = "abcde é"
+    rows = [{"title": "".join(rng.choices(letters, k=40)), "summary": "".join(rng.choices(letters, k=80)), "category": rng.choice(["A", "b e"])} for _ in range(60)]
+    queries = list({"".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(3000)} | {"zzz", "A", "B E"})
+    frame = site(spark, rows)
+    got = {(r["pos"], r["query"]) for r in pub.search_hits(frame, queries).select("pos", "query").collect()}
+    whole = {r["pos"]: [str(r[c] or "").lower() for c in pub.SEARCH_FIELDS] for r in frame.collect()}
+    assert got == {(pos, q) for pos, fields in whole.items() for q in queries if any(q.lower() in f for f in fields)}
+    plan = pub.search_hits(frame, queries)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and len(plan) < 20_000
+
+
+def test_thousands_of_topics_equal_brute_force(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdef", k=rng.randint(1, 4))) for _ in range(300)]
+    topics = list({" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(2000)})
+    rows = [(i, "en", f"u{i}", " ".join(rng.choices(words, k=12)), None, " ".join(rng.choices(words, k=20)), "2024-01-02T00:00:00") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id int, lang string, url string, title string, description string, content string, published_at string")
+    got = {(r["doc_id"], r["topic"]) for r in corpus.topic_hits(frame, topics, "2024-01-03 12:00:00").collect()}
+    assert got == {(r[0], t) for r in rows for t in topics if all(w in r[3] or w in r[5] for w in t.split())}
+
+
 def test_of_searches_with_one_slug_the_last_keeps_the_page(spark):
     settings = dataclasses.replace(SETTINGS, queries=("new wave", "alpha", "new-wave"))
     rows = site(spark, [{"title": "new wave"}, {"title": "the new-wave"}, {"title": "alpha"}])
