@@ -120,10 +120,9 @@ def _plain_lines(lines: Column) -> Column:
 
 def excerpt(c: Column, limit: int = 155) -> Column:
     """Plain text, cut to `limit` characters of which the last is an ellipsis."""
-    plain = strip_markdown(c)
-    return F.when(
+    return _let(strip_markdown(c), lambda plain: F.when(
         F.length(plain) > limit, F.concat(F.substring(plain, 1, limit - 1), F.lit("…"))
-    ).otherwise(plain)
+    ).otherwise(plain))
 
 
 def markdown_to_html(c: Column) -> Column:
