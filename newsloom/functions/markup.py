@@ -91,7 +91,8 @@ def strip_markdown(c: Column) -> Column:
             F.filter(F.split(text, "\n", -1), lambda line: line != ""),
             lambda lines: F.when(F.exists(lines, _heading_mark_last), whole).when(_any_of(text, "#*`["), F.array_join(_plain_lines(lines), " ")).otherwise(F.array_join(lines, " "))))
 
-    return _stripped(_let(F.coalesce(c, F.lit("")), rewritten))
+    # `_stripped` names its text for each kind of white space, and inside a lambda Spark shares no work between them.
+    return _let(_let(F.coalesce(c, F.lit("")), rewritten), _stripped)
 
 
 def _heading_mark_last(line: Column) -> Column:

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.functions import markup
 
@@ -56,3 +57,10 @@ def test_lines_equal_whole_texts(spark, seed, bits):
     for row in frame.select("v", markup.strip_markdown(frame.v).alias("plain"), markup.markdown_to_html(frame.v).alias("html")).collect():
         assert row["plain"] == plainly(row["v"] or ""), repr(row["v"])
         assert row["html"] == as_html(row["v"] or ""), repr(row["v"])
+
+
+@pytest.mark.parametrize("derived", [markup.strip_markdown, markup.excerpt])
+def test_a_text_is_rewritten_once(spark, derived):
+    """A column named often below a lambda is worked out as often, so the plan may split a text into lines once."""
+    plan = spark.createDataFrame([("a",)], "v string").select(derived(F.col("v")).alias("out"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
