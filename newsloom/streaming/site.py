@@ -1,20 +1,20 @@
 """One merging query for several sources: URL and title keys of all time are state, so no micro-batch reads the site.
 
 The rows of each source and the rows that the site table gains are streams of one query. Both are taken
-apart into keys; the state of a key is whether a site row has it. A micro-batch gets for each row what the
-state says of its keys, decides, and appends to the site; the next micro-batch reads what was appended, by
+apart into keys; the state of a key, an aggregate, is whether a site row has it. A micro-batch gets its rows and
+what the state says of their keys, decides, and appends to the site; the next micro-batch reads what was appended, by
 this query or by a batch run, before it judges its own rows. A repeated micro-batch has the offsets and the
 state it had, finds its run numbers again and replaces its own rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from newsloom import schemas
 from newsloom.operators import merging
@@ -27,56 +27,37 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STEP_RUNS = 1 << 20
 
 _ROW = ("run", "pos", *schemas.SITE_FIELDS)
-_JUDGED = f"kind string, known boolean, run string, pos bigint, {', '.join(f'{f} string' for f in schemas.SITE_FIELDS)}"
-
-
-class KnownKeys(StatefulProcessor):
-    """State of a key: whether the site has it. Candidates pass with the answer; site rows set it first."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "known boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        asked, added = [], False
-        for row in rows:
-            if row["added"]:
-                added = True
-            else:
-                asked.append(row)
-        if added:
-            self.known.update((True,))
-        known = added or (bool(asked) and self.known.exists())
-        for row in asked:
-            yield Row(kind=key[0], known=known, **{c: row[c] for c in _ROW})
-
-    def close(self) -> None:
-        pass
 
 
 def _keys(rows: DataFrame, added: bool) -> DataFrame:
-    """The keys of each row: with its URL key goes the row, with its title key only the name of the row."""
-    def event(kind: str, value: str, whole: bool) -> Column:
-        row = [F.col(c) if whole else F.lit(None).cast("string").alias(c) for c in schemas.SITE_FIELDS]
-        return F.struct(F.lit(kind).alias("kind"), F.col(value).alias("value"), "run", "pos", *row)
+    """The URL key and the title key, if there is one, of each row: whether the site gains it, and whose it is."""
+    def key(kind: str, value: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(value).alias("value"))
 
-    title = F.when(F.col("title_key") != "", event("title", "title_key", False))
-    events = F.array_compact(F.array(event("url", "url_key", not added), title))
-    return merging.with_keys(rows).select(F.inline(events)).withColumn("added", F.lit(added))
+    title = F.when(F.col("title_key") != "", key("title", "title_key"))
+    keys = F.array_compact(F.array(key("url", "url_key"), title))
+    return merging.with_keys(rows).select(F.inline(keys)).withColumn("added", F.lit(added))
 
 
 def judged_rows(store: Store, sources: Sequence[DataFrame]) -> DataFrame:
-    """For each row of the sources two rows at most: what the state knows of its URL and of its title."""
+    """The rows of the sources as they are, and for each key that a micro-batch touches a row that says whether
+    the site has it. Texts pass beside the state, which holds a key and a flag."""
     site = store.spark.readStream.schema(schemas.SITE_TABLE).parquet(store.path("site"))
-    known = _keys(site.withColumn("run", F.lit(None).cast("string")), True)
-    asked = [_keys(merging.slim(rows, "run", "pos"), False) for rows in sources]
-    events = reduce(DataFrame.unionByName, asked, known)
-    return events.groupBy("kind", "value").transformWithState(KnownKeys(), _JUDGED, "Append", "None")
+    asked = [merging.slim(rows, "run", "pos") for rows in sources]
+    events = reduce(DataFrame.unionByName, [_keys(rows, False) for rows in asked], _keys(site, True))
+    known = events.groupBy("kind", "value").agg(F.max("added").alias("known"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), asked, known)
 
 
 def new_rows(judged: DataFrame) -> DataFrame:
     """Rows of the micro-batch whose URL and title are unknown to the state."""
-    titles = judged.where("kind = 'title' AND known").select("run", "pos").distinct()
-    return judged.where("kind = 'url' AND NOT known").select(*_ROW).join(titles, ["run", "pos"], "left_anti")
+    rows, known = judged.where("kind IS NULL"), judged.where("known")
+    keyed = merging.with_keys(rows.select("run", "pos", "url", "title"))
+    gone = []
+    for kind in ("url", "title"):
+        keys = known.where(F.col("kind") == kind).select(F.col("value").alias(f"{kind}_key"))
+        gone.append(keyed.join(keys, f"{kind}_key").select("run", "pos"))
+    return rows.select(*_ROW).join(gone[0].unionByName(gone[1]), ["run", "pos"], "left_anti")
 
 
 def merge_sources(store: Store, sources: Sequence[DataFrame], checkpoint: str, every: str = "0 seconds") -> StreamingQuery:
@@ -107,7 +88,7 @@ def merge_sources(store: Store, sources: Sequence[DataFrame], checkpoint: str, e
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
         return (
-            judged_rows(store, sources).writeStream.foreachBatch(append).outputMode("append")
+            judged_rows(store, sources).writeStream.foreachBatch(append).outputMode("update")
             .option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
         )
     finally:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.schemas import SITE_FIELDS
 from newsloom.sources.store import Store
-from newsloom.streaming.site import drain, merge_sources
+from newsloom.streaming.site import drain, judged_rows, merge_sources
 
 SCHEMA = ", ".join(f"{f} string" for f in SITE_FIELDS) + ", run string, pos bigint"
 
@@ -106,3 +106,12 @@ def test_a_repeated_micro_batch_replaces_its_rows(spark, tmp_path):
     place.merge("a")
     assert place.site() == before == [(0, 0, "u1", "T1"), (1, 1, "u2", "T2")]
     assert place.store.read_site().where(F.col("run_seq") > 1).count() == 0
+
+
+def test_keys_are_judged_without_python_and_without_texts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.start_site()
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "a"))
+    plan = judged_rows(store, [spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "a"))])._jdf.queryExecution().analyzed().toString()
+    state = [line for line in plan.splitlines() if "Aggregate" in line or "TransformWithState" in line]
+    assert len(state) == 1 and "Python" not in plan and "PySpark" not in plan and "summary" not in state[0]
