@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ NO_CLASSIFIER = "Label stage not available"
 BATCH_SIZE = 256
 
 ANSWER = "struct<value:string,error:string>"
+ANSWERED = pa.struct([("value", pa.string()), ("error", pa.string())])
 
 
 def stage_answer(make: StageMaker | None, text: Column, unavailable: str, batch_size: int = BATCH_SIZE) -> Column:
@@ -37,8 +40,8 @@ def stage_answer(make: StageMaker | None, text: Column, unavailable: str, batch_
     if make is None:
         return F.struct(F.lit(None).cast("string").alias("value"), F.lit(unavailable).alias("error"))
 
-    @F.pandas_udf(ANSWER)
-    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(ANSWER)
+    def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = make()
 
         def attempt(texts):
@@ -49,17 +52,21 @@ def stage_answer(make: StageMaker | None, text: Column, unavailable: str, batch_
                 return [failure] if not half else attempt(texts[:half]) + attempt(texts[half:])
 
         for batch in batches:
-            sent = batch.notna()
-            out = pd.DataFrame({"value": None, "error": None}, index=batch.index, dtype=object)
-            if sent.any():
-                texts = batch[sent].tolist()
-                answers = [a for at in range(0, len(texts), batch_size) for a in attempt(texts[at: at + batch_size])]
-                failed = [isinstance(a, Exception) for a in answers]
-                out.loc[sent, "value"] = [None if bad else a for a, bad in zip(answers, failed)]
-                out.loc[sent, "error"] = [
-                    f"{type(a).__name__}: {a}" if bad else None for a, bad in zip(answers, failed)
-                ]
-            yield out
+            # Of the texts of a batch only those of one call, and their answers, are held as Python text.
+            valid = batch.is_valid()
+            sent, answers = pc.indices_nonzero(valid), [pa.array([], ANSWERED)]
+            for at in range(0, len(sent), batch_size):
+                texts = batch.take(sent.slice(at, batch_size)).to_pylist()
+                given = attempt(texts)
+                if len(given) != len(texts):
+                    raise ValueError(f"{len(given)} answers to {len(texts)} texts")
+                answers.append(pa.array([
+                    {"value": None, "error": f"{type(a).__name__}: {a}"} if isinstance(a, Exception) else {"value": a, "error": None}
+                    for a in given], ANSWERED))
+            place = np.cumsum(valid.to_numpy(zero_copy_only=False)) - 1
+            at = pa.array(place, mask=~valid.to_numpy(zero_copy_only=False))
+            both = pa.concat_arrays(answers)
+            yield pa.StructArray.from_arrays([both.field(i).take(at) for i in range(2)], names=["value", "error"])
 
     # A model may answer otherwise when asked again, so Spark must not repeat the call in a plan.
     return answer.asNondeterministic()(text)

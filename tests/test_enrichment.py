@@ -1,12 +1,14 @@
 """Gates, stages, goal cut and result records."""
 
 import os
+import re
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from newsloom.operators import gates, progress
-from newsloom.operators.stages import NO_CLASSIFIER, NO_SUMMARIZER
+from newsloom.operators.stages import NO_CLASSIFIER, NO_SUMMARIZER, stage_answer
 from newsloom.plans.enrichment import enrich, enrich_until
 from tests.standins import keyword_label, lead_summary
 
@@ -116,3 +118,22 @@ def test_a_block_is_dealt_to_tasks_that_ask_once(spark, tmp_path):
     names = [name.rsplit("-", 1)[0] for name in os.listdir(folder)]
     assert 1 < names.count("sum-made") <= 3 and 1 < names.count("label-made") <= 3
     assert names.count("sum-asked") == names.count("label-asked") == 30
+
+
+def test_a_stage_holds_the_texts_of_one_call(spark):
+    """The stage is an Arrow function, so a batch is not turned into Python text as a whole; answers keep their rows."""
+    def make():
+        def run(texts):
+            if len(texts) > 4:
+                raise AssertionError("too many texts")
+            return [ValueError("odd") if t == "5" else None if t == "7" else "r" + t for t in texts]
+        return run
+
+    rows = spark.range(0, 50, 1, 2).selectExpr("id", "if(id % 3 = 0, null, cast(id as string)) AS t")
+    out = rows.select("id", stage_answer(make, F.col("t"), "none", 4).alias("a"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"ArrowEvalPython .*, {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}\b", plan)
+    for row in out.collect():
+        i = row["id"]
+        want = (None, None) if i % 3 == 0 or i == 7 else (None, "ValueError: odd") if i == 5 else (f"r{i}", None)
+        assert tuple(row["a"]) == want
