@@ -203,3 +203,10 @@ def test_of_searches_with_one_slug_the_last_keeps_the_page(spark):
     assert [r["pos"] for r in cards] == [1]
     trails = [r["path"] for r in pub.list_breadcrumbs(rows, settings).collect()]
     assert len(trails) == len(set(trails))
+
+
+@pytest.mark.parametrize("derived", [lambda rows: pub.article_documents(rows, SETTINGS).select("article_ld"), lambda rows: pub.page_manifest(rows, SETTINGS)])
+def test_descriptions_rewrite_a_summary_once(spark, derived):
+    """The heading rule stands three times in the plan of a plain text: for lines and twice for whole texts."""
+    plan = derived(site(spark, [{"title": "a", "summary": "b"}]))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("#{1,6}") == 3
