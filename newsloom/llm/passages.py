@@ -27,6 +27,7 @@ BLOCK = 64
 LOOSE = 8
 
 ANCHOR = "doc_id long, pos int, source_id long, source_pos int"
+LINK = f"seed long, {ANCHOR}"
 PASSAGE = (
     "doc_id long, source_id long, start int, end int, source_start int, source_end int, identity double"
 )
@@ -37,18 +38,25 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def seeds(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(seed, position): the smallest hash of k words in each window, once. Of equal hashes in a row one is
-    kept for each window, so texts of one repeated word have few seeds."""
-    n = len(words) - k + 1
-    if n < 1:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words."""
+    n = max(0, len(words) - k + 1)
     hashes = np.zeros(n, dtype=np.uint64)
     for at in range(k):
         hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + words[at: at + n]
     hashes ^= hashes >> np.uint64(31)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
     hashes ^= hashes >> np.uint64(29)
+    return hashes
+
+
+def seeds(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(seed, position): the smallest hash of k words in each window, once. Of equal hashes in a row one is
+    kept for each window, so texts of one repeated word have few seeds."""
+    n = len(words) - k + 1
+    if n < 1:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    hashes = run_hashes(words, k)
     wide = min(window, n)
     low = np.lib.stride_tricks.sliding_window_view(hashes, wide).argmin(axis=1) + np.arange(n - wide + 1)
     at = low[np.append(True, low[1:] != low[:-1])]
@@ -77,20 +85,28 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], linked: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows (seed, doc_id, pos) sorted by all three become anchors on the first document of the seed.
 
     The t-th place of a document meets the t-th place of the first one, counted around. Of a seed
-    only the places of its first document are held, however many documents share it.
+    only the places of its first document are held, however many documents share it. With `linked` the
+    seed is a column too, and the places of the first document come as anchors on themselves, once
+    another document has the seed. A fourth column says which rows ask for an anchor.
     """
+    def out(s: np.ndarray, d: np.ndarray, p: np.ndarray, owner: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(s), pa.array(d), pa.array(p.astype(np.int32)), pa.array(owner), pa.array(r.astype(np.int32))]
+        names = ["seed", "doc_id", "pos", "source_id", "source_pos"]
+        return pa.RecordBatch.from_arrays(columns, names=names) if linked else pa.RecordBatch.from_arrays(columns[1:], names=names[1:])
+
     seed = doc = last = None  # the row before
     source, places, nth = None, np.empty(0, np.int64), 0  # of the open seed; nth: places of the open document so far
     for batch in batches:
-        s, d, p = (c.to_numpy().astype(np.int64) for c in batch.columns)
+        s, d, p = (c.to_numpy().astype(np.int64) for c in batch.columns[:3])
+        asked = batch.column(3).to_numpy(zero_copy_only=False) if batch.num_columns > 3 else np.ones(len(s), dtype=bool)
         new = _starts(s, d, p)
         if len(s) and (s[0], d[0], p[0]) == (seed, doc, last):
             new[0] = False
-        s, d, p = s[new], d[new], p[new]
+        s, d, p, asked = s[new], d[new], p[new], asked[new]
         if not len(s):
             continue
         by_seed, by_doc = _starts(s), _starts(s, d)
@@ -112,11 +128,16 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = p[np.minimum(first_seed + turn % size, len(p) - 1)]
         if held.any():
             r[held] = places[turn[held] % len(places)]
-        keep = d != owner
+        keep = (d != owner) & asked
+        if linked and goes_on and doc == source and keep[held].any():
+            # Its places up to here were held; those in this batch are among them.
+            first = np.full(len(places), source)
+            yield out(np.full(len(places), seed), first, places, first, places)
+        if linked:
+            keep |= (np.bincount(first_seed, weights=keep, minlength=len(s))[first_seed] > 0) & ~held
+            r = np.where(d == owner, p, r)
         if keep.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d[keep]), pa.array(p[keep].astype(np.int32)), pa.array(owner[keep]), pa.array(r[keep].astype(np.int32))],
-                names=["doc_id", "pos", "source_id", "source_pos"])
+            yield out(s[keep], d[keep], p[keep], owner[keep], r[keep])
         if first_seed[-1] > 0 or not goes_on:
             open_ = first_seed == first_seed[-1]
             source, places = d[first_seed[-1]], p[open_ & own]
@@ -412,22 +433,12 @@ def _aligned(words: int, identity: float):
     return run
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 50, identity: float = 0.8) -> DataFrame:
-    """Rows (doc_id, source_id, start, end, source_start, source_end, identity): passages of `words` words
-    or more that a document shares with one of smaller id, of at least that identity.
+def _by_seed(rows: DataFrame) -> DataFrame:
+    return rows.repartition("seed").sortWithinPartitions("seed", "doc_id", "pos")
 
-    Places count words, with A-Z in lower case, from 0; `end` is the first word after. A passage may
-    be found with several sources, and passages of one document may overlap. Documents without an
-    id, a text or K words have none. Rows that repeat an id are one document and should agree.
 
-    Each seed links its documents to the first of them, so the anchors do not grow with the square
-    of a group, and a seed that many documents share passes through a task without being held. The
-    anchors of a document are chained pair by pair. Alignments read blocks of words: only wanted ones
-    are taken from the texts, and blocks of a source that many documents want are split by the join.
-    """
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    rows = texts.mapInArrow(_seed_rows, "seed long, doc_id long, pos int")
-    anchors = rows.repartition("seed").sortWithinPartitions("seed", "doc_id", "pos").mapInArrow(_anchors, ANCHOR)
+def _passages(texts: DataFrame, anchors: DataFrame, words: int, identity: float) -> DataFrame:
+    """The passages along the chains of the anchors."""
     chained = settle(
         anchors.select("doc_id", "source_id", "pos", "source_pos").repartition("doc_id").sortWithinPartitions("doc_id", "source_id", "pos", "source_pos")
         .mapInArrow(_chain_rows, "doc_id long, source_id long, chain int, p array<int>, r array<int>")
@@ -452,6 +463,125 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return parts.join(chained, ["doc_id", "source_id", "chain"]).select("doc_id", "source_id", "p", "r", "blocks").mapInArrow(_aligned(words, identity), PASSAGE)
 
 
+def _left_out(words: int):
+    """Task over the linked places and the passages of documents: seeds of the runs of `words` words that hold
+    a linked seed outside the passages. Such a run that is whole in another document has linked seeds all over."""
+    def of(places: list, spans: list) -> tuple[np.ndarray, np.ndarray]:
+        pos, seed = np.array([x["pos"] for x in places]), np.array([x["seed"] for x in places], dtype=np.int64)
+        order = np.argsort(pos, kind="stable")
+        pos, seed = pos[order], seed[order]
+        edge = np.zeros(pos[-1] + K + 1, dtype=np.int64)
+        for span in spans or ():
+            edge[min(span["start"], len(edge) - 1)] += 1
+            edge[min(span["end"], len(edge) - 1)] -= 1
+        inside = np.append(0, np.cumsum(np.cumsum(edge) > 0))
+        outside = pos[inside[pos + K] - inside[pos] < K]
+        if not len(outside):
+            return pos[:0], seed[:0]
+        # Neighbouring seeds of a text lie at most two windows apart, equal ones included.
+        breaks = np.append(True, np.diff(pos) > 2 * WINDOW)
+        run = np.cumsum(breaks) - 1
+        first, last = pos[breaks], pos[np.append(breaks[1:], True)]
+        wide = (last - first)[run] >= words - K + 1 - 2 * WINDOW
+        at = np.searchsorted(outside, pos)
+        ahead = outside[np.minimum(at, len(outside) - 1)]
+        behind = outside[np.maximum(at - 1, 0)]
+        near = np.minimum(np.abs(ahead - pos), np.abs(behind - pos)) <= words - K
+        return pos[wide & near], seed[wide & near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            found = [of(row["places"], row["spans"]) for row in rows]
+            if found:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(np.array([row["doc_id"] for row in rows]), [len(p) for p, _ in found])),
+                    pa.array(np.concatenate([p for p, _ in found]).astype(np.int32)),
+                    pa.array(np.concatenate([s for _, s in found]))], names=["doc_id", "pos", "seed"])
+
+    return run
+
+
+def _runs(size: int):
+    """Task over texts, places of seeds and those of them that ask: a key for each run of `size` words whose least
+    seed is at such a place, and whether it asks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, places, asked in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                words = word_hashes(text)
+                if len(words) < max(size, K):
+                    continue
+                wide = max(size, K) - K + 1
+                least = np.lib.stride_tricks.sliding_window_view(run_hashes(words, K), wide).argmin(axis=1)
+                least += np.arange(len(least))
+                at = np.flatnonzero(np.isin(least, places))
+                if len(at):
+                    keys = run_hashes(words, max(size, K))[at].view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32)), pa.array(np.isin(least[at], asked))],
+                        names=["seed", "doc_id", "pos", "asked"])
+
+    return run
+
+
+def _thinned(size: int):
+    """Task over anchors of runs of `size` words, sorted by pair, shift and place: anchors of seeds, one in K words."""
+    reach = max(size, K) - K
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, pos, source, other = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
+            starts = _starts(doc, source, other - pos, pos - np.arange(len(pos)))
+            nth = np.arange(len(pos)) - np.maximum.accumulate(np.where(starts, np.arange(len(pos)), 0))
+            ends = np.append(starts[1:], True) | (nth % K == 0)
+            at, by = np.flatnonzero(ends), np.full(ends.sum(), reach)
+            for offset in range(0, reach, K):
+                at, by = np.append(at, np.flatnonzero(starts)), np.append(by, np.full(starts.sum(), offset))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[at]), pa.array((pos[at] + by).astype(np.int32)), pa.array(source[at]), pa.array((other[at] + by).astype(np.int32))],
+                names=["doc_id", "pos", "source_id", "source_pos"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 50, identity: float = 0.8) -> DataFrame:
+    """Rows (doc_id, source_id, start, end, source_start, source_end, identity): passages of `words` words
+    or more that a document shares with one of smaller id, of at least that identity.
+
+    Places count words, with A-Z in lower case, from 0; `end` is the first word after. A passage may
+    be found with several sources, and passages of one document may overlap. Documents without an
+    id, a text or K words have none. Rows that repeat an id are one document and should agree.
+
+    Each seed links its documents to the first of them, so the anchors do not grow with the square
+    of a group, and a seed that many documents share passes through a task without being held. The
+    anchors of a document are chained pair by pair. Alignments read blocks of words: only wanted ones
+    are taken from the texts, and blocks of a source that many documents want are split by the join.
+    """
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    rows = texts.mapInArrow(_seed_rows, "seed long, doc_id long, pos int")
+    links = settle(_by_seed(rows).mapInArrow(lambda batches: _anchors(batches, linked=True), LINK))
+    anchors = links.where("doc_id != source_id")
+    found = settle(_passages(texts, anchors, words, identity))
+
+    places = anchors.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "seed")).alias("places"))
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    asking = settle(places.join(spans, "doc_id", "left").mapInArrow(_left_out(words), "doc_id long, pos int, seed long"))
+    if asking.isEmpty():
+        return found
+    wanted = links.join(asking.select("seed").distinct(), "seed", "left_semi")
+    asked = asking.select("doc_id", "pos", F.col("pos").alias("asked"))
+    lists = wanted.join(asked, ["doc_id", "pos"], "left").groupBy(F.col("doc_id").alias("_at")).agg(
+        F.collect_list("pos").alias("_places"), F.collect_list("asked").alias("_asked"))
+    runs = texts.join(lists, F.col("doc_id") == F.col("_at")).select("doc_id", "text", "_places", "_asked").mapInArrow(
+        _runs(words), "seed long, doc_id long, pos int, asked boolean")
+    whole = _by_seed(runs).mapInArrow(_anchors, ANCHOR).withColumn("_shift", F.col("source_pos") - F.col("pos"))
+    thin = whole.repartition("doc_id").sortWithinPartitions("doc_id", "source_id", "_shift", "pos").mapInArrow(_thinned(words), ANCHOR)
+    same = ["doc_id", "source_id", "start", "end", "source_start", "source_end"]
+    return found.unionByName(_passages(texts, thin, words, identity).join(found.select(*same), same, "left_anti").select(*found.columns))
+
+
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 

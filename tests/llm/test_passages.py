@@ -188,3 +188,39 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("spans,want", [([], b" a b\tc  d"), ([(0, 1)], b" b\tc  d"), ([(1, 3), (2, 4)], b" a "), ([(0, 9)], b" "), ([(2, 2)], b" a b\tc  d")])
 def test_without(spans, want):
     assert passages.without(b" a b\tc  d", spans) == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_linked_anchors_hold_the_places_of_the_first_document(size):
+    rng = random.Random(size)
+    rows = sorted({(rng.randrange(30), rng.randrange(5), rng.randrange(9)) for _ in range(150)})
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at: at + size]]) for i in range(3)], names=["seed", "doc_id", "pos"])
+        for at in range(0, len(rows), size)]
+    got = [tuple(r.values()) for b in passages._anchors(iter(batches), linked=True) for r in b.to_pylist()]
+    docs_of = {s: {d for t, d, _ in rows if t == s} for s, _, _ in rows}
+    assert sorted((s, d, p) for s, d, p, _, _ in got) == [r for r in rows if len(docs_of[r[0]]) > 1]
+    assert all(o == min(docs_of[s]) and (d != o or p == q) for s, d, p, o, q in got)
+    assert sorted(x[1:] for x in got if x[1] != x[3]) == sorted(tuple(r.values()) for b in passages._anchors(iter(batches)) for r in b.to_pylist())
+
+
+def test_passages_whose_pieces_lie_in_earlier_documents(spark):
+    """The first documents of the seeds hold a piece of under 50 words each; another holds the passage."""
+    rows = []
+    for n in range(60):
+        rng = random.Random(n)
+        one, two, hidden = words(45, rng), words(45, rng), words(52, rng)
+        pieces = [one + words(30, rng), words(30, rng) + two, words(10, rng) + hidden[8:44] + words(20, rng)]
+        whole = [words(20, rng) + one + two + words(20, rng), words(7, rng) + one + two + words(9, rng),
+                 words(20, rng) + hidden + words(5, rng), words(3, rng) + hidden + words(30, rng)]
+        rows += [(100 * n + i, " ".join(b)) for i, b in enumerate(pieces + whole)]
+    docs = documents(spark, rows)
+    found = passages.repeated_passages(docs).collect()
+    by_id = {i: hashes(t.split()) for i, t in rows}
+    for r in found:
+        assert r["source_id"] < r["doc_id"] and r["end"] - r["start"] >= 50 and r["identity"] >= 0.8
+    for n in range(60):
+        for doc, source, start, size in ((4, 3, 7, 90), (6, 5, 3, 52)):
+            assert any(r["doc_id"] == 100 * n + doc and r["source_id"] == 100 * n + source and r["start"] <= start and r["end"] >= start + size
+                       for r in found), (n, doc)
+    assert len({tuple(r)[:6] for r in found}) == len(found)
