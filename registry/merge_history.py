@@ -40,7 +40,8 @@ FLAGGED = SITE + f""", keyed AS (
 def site_merge(spark, folder):
     existing, batch = split_site(spark, folder)
     added = merging.rows_to_add(existing, batch, "pos").withColumn("run_seq", F.lit(1).cast("bigint"))
-    merged = merging.list_position(merging.merged_site(existing, added))
+    # The runs are parts of one site, so `pos` names a row in both.
+    merged = merging.list_position(merging.merged_site(existing, added), ["pos"])
     return merged.select("position", "run_seq", "pos", *SITE_FIELDS)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import corpus, history, joins, merging
 from newsloom.operators import publication as pub
 from newsloom.schemas import SITE_FIELDS
+from registry import QUERIES
 
 SETTINGS = pub.SiteSettings(as_of="2024-01-03 12:00:00", queries=("alpha", "no hit"))
 SITE = "pos bigint, " + ", ".join(f"{f} string" for f in SITE_FIELDS)
@@ -47,6 +48,29 @@ def test_merge_rules(spark, monkeypatch, broadcast_rows, key_rows):
     assert [tuple(r) for r in first][:2] == [(1, 4), (1, 5)] and tuple(first[-1]) == (0, 2)
 
 
+def test_merged_texts_are_shuffled_once(spark, monkeypatch, small_dir):
+    """Keys are compared and numbered apart; rows with their texts meet the events by `pos`, and the answers there."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = QUERIES["site_merge"](spark, small_dir)
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        rows = merged.orderBy("position").select("position", "run_seq", "pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Two parts of the site with their events, the rows that are known, and the numbers.
+    assert plan.count("Exchange ") == 6
+    assert [r["position"] for r in rows] == list(range(len(rows)))
+    assert [tuple(r)[1:] for r in rows] == sorted(((r["run_seq"], r["pos"]) for r in rows), key=lambda k: (-k[0], k[1]))
+
+
+def test_long_titles_are_compared_whole(spark):
+    long_ = "word " * 60
+    existing = site(spark, [{"url": "a", "title": long_ + "x"}])
+    batch = site(spark, [{"url": "b", "title": long_ + "y"}, {"url": "c", "title": long_.upper() + " X -"}])
+    assert [r["url"] for r in merging.rows_to_add(existing, batch, "pos").collect()] == ["b"]
+
+
 def test_spread_join_splits_hot_keys_and_keeps_all_rows(spark):
     keys = [None if i % 5 == 4 else "hot" if i % 3 else f"k{i}" for i in range(300)]
     left = spark.createDataFrame(list(enumerate(keys)), "id int, k string")
