@@ -77,7 +77,7 @@ def run(
 def new_site_rows(store: Store, batch: DataFrame, run_seq: int) -> DataFrame:
     """Rows that a batch with the order column `pos` adds to the rows of the other runs."""
     existing = store.read_site().where(F.col("run_seq") != run_seq)
-    return settle(merging.rows_to_add(existing, batch, "pos"))
+    return merging.rows_to_add(existing, batch, "pos")
 
 
 def publish(store: Store, site: DataFrame, settings: publication.SiteSettings) -> None:

@@ -79,8 +79,8 @@ def merge_into(store: Store, rows: DataFrame, checkpoint: str) -> StreamingQuery
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         run_seq = store.claim_run(checkpoint, batch_id)
-        # The rows are read several times; settle them so that the files are parsed once.
-        store.append_site(new_site_rows(store, settle(batch), run_seq), run_seq, checkpoint)
+        # The files are read twice, for the keys and for the rows that are new; only keys are kept in between.
+        store.append_site(new_site_rows(store, batch, run_seq), run_seq, checkpoint)
 
     return _start(rows, checkpoint, "append", merge)
 

@@ -133,3 +133,18 @@ def test_a_crash_between_write_and_commit(spark, tmp_path, small_dir):
     assert store.read_site().groupBy("run_seq").count().count() == 2
     assert store.read_site().where("run_seq = 1").count() == batch.count()
     assert store.claim_run("job", 1) == 2 and store.claim_run("other", 0) == 3
+
+
+def test_merge_keeps_no_texts_in_between(spark, tmp_path, small_dir, monkeypatch):
+    """Between the files of a micro-batch and the site only keys are stored."""
+    stored = []
+    kind = type(spark.range(1))
+    checkpoint = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, eager=True: stored.append(self.columns) or checkpoint(self, eager))
+    store = Store(spark, str(tmp_path))
+    site = site_rows(spark, small_dir)
+    for step in range(2):
+        site.where(F.col("pos") % 2 == step).write.parquet(str(tmp_path / f"drops/step={step}"))
+        stream = spark.readStream.schema(site.schema).parquet(str(tmp_path / "drops/*"))
+        run(jobs.merge_into(store, stream, str(tmp_path / "state")))
+    assert stored and not any("summary" in columns for columns in stored)
