@@ -120,12 +120,27 @@ def _plain_lines(lines: Column) -> Column:
 
 
 def excerpt(c: Column, limit: int = 155) -> Column:
-    """Plain text, cut to `limit` characters of which the last is an ellipsis."""
-    return _let(strip_markdown(c), lambda plain: F.when(
+    """Plain text, cut to `limit` characters of which the last is an ellipsis.
+
+    The first lines are rewritten first. No pattern reaches over a line feed, but for the white space after a
+    heading mark, so they are the start of the whole plain text, which is needed only where they are too short.
+    """
+    text = F.coalesce(c, F.lit(""))
+    return _let(_let(text, lambda whole: F.aggregate(
+        F.array(_first_lines(whole, 4 * limit), whole), F.lit(""),
+        lambda plain, part: F.when(F.length(plain) > limit, plain).otherwise(strip_markdown(part)),
+    )), lambda plain: F.when(
         F.length(plain) > limit, F.concat(F.substring(plain, 1, limit - 1), F.lit("…"))
     ).otherwise(plain))
 
 
+def _first_lines(text: Column, size: int) -> Column:
+    """Whole lines of at least `size` characters from the start; empty if the text has no such, or a heading mark ends them."""
+    end = F.call_function("locate", F.lit("\n"), text, F.lit(size + 1))
+    return F.when(end > 0, _let(F.substr(text, F.lit(1), end - 1), lambda lines: F.when(
+        ~F.endswith(F.rtrim(lines, F.lit(JS_SPACES)), F.lit("#")), lines).otherwise(""))).otherwise("")
+
+
 def markdown_to_html(c: Column) -> Column:
     """Headings, bold, italic, code, lists and paragraphs.
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +65,30 @@ def test_a_text_is_rewritten_once(spark, derived):
     """A column named often below a lambda is worked out as often, so the plan may split a text into lines once."""
     plan = spark.createDataFrame([("a",)], "v string").select(derived(F.col("v")).alias("out"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(") == 1
+
+
+@pytest.mark.parametrize("seed,bits", [
+    (5, [line + "\n" for line in LINES] + LINES), (6, ["*", "**", "#", "`", "[", "](", ")", "-", " ", "\n", "a", "b", "\t"]),
+    (7, ["*", "# ", "#", "\n", "\r", "\u2028", "x", " ", "**"]),
+])
+@pytest.mark.parametrize("limit", [2, 5, 9])
+def test_excerpts_are_the_start_of_the_plain_text(spark, seed, bits, limit):
+    rng = random.Random(seed)
+    values = [*("".join(rng.choice(bits) for _ in range(rng.randrange(70))) for _ in range(1500)), None]
+    frame = spark.createDataFrame([(v,) for v in values], "v string")
+    for row in frame.select("v", markup.excerpt(frame.v, limit).alias("out")).collect():
+        plain = plainly(row["v"] or "")
+        assert row["out"] == (plain if len(plain) <= limit else plain[: limit - 1] + "…"), repr(row["v"])
+
+
+def test_an_excerpt_reads_the_lines_it_needs(spark):
+    """The rules run on the first lines alone: a text of many marked lines takes no longer than its start."""
+    line = F.concat(F.lit("**a** *b* `c` [d](e) words of line "), F.col("id"), F.lit("\n"))
+    long_ = spark.range(60).select(F.repeat(line, 5000).alias("v"))
+    took = {}
+    for _ in range(3):
+        for name, derived in (("excerpt", markup.excerpt), ("all", markup.strip_markdown)):
+            begun = time.monotonic()
+            long_.select(F.length(derived(F.col("v")))).collect()
+            took[name] = time.monotonic() - begun  # the last run is warm
+    assert took["excerpt"] < took["all"] / 2
