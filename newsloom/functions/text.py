@@ -65,10 +65,17 @@ def url_key(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    """Address form of a title: ASCII letters, digits and hyphens, at most 80 characters."""
-    kept = F.regexp_replace(F.lower(c), rf"[^a-z0-9\-{_JS_SET}]", "")
-    hyphened = F.regexp_replace(strip(kept, JS_SPACES), rf"{JS_SPACE}+", "-")
-    return F.when(c.isNull() | (c == ""), F.lit("article")).otherwise(F.substring(hyphened, 1, 80))
+    """Address form of a title: ASCII letters, digits and hyphens, at most 80 characters.
+
+    A title may be a page long: its start is rewritten first, and the whole only where that gives too little.
+    """
+    def hyphened(part: Column) -> Column:
+        kept = F.regexp_replace(F.lower(part), rf"[^a-z0-9\-{_JS_SET}]", "")
+        return F.regexp_replace(strip(kept, JS_SPACES), rf"{JS_SPACE}+", "-")
+
+    parts = F.when(F.length(c) > 160, F.array(F.substring(c, 1, 160), c)).otherwise(F.array(c))
+    whole = F.aggregate(parts, F.lit(""), lambda done, part: F.when(F.length(done) > 80, done).otherwise(hyphened(part)))
+    return F.when(c.isNull() | (c == ""), F.lit("article")).otherwise(F.substring(whole, 1, 80))
 
 
 def slug_of(value: str) -> str:

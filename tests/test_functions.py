@@ -1,5 +1,8 @@
 """Column expressions: hand-derived inputs and outputs."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +182,22 @@ def test_breadcrumb_leaves_out_missing_link(spark):
 def test_prompt_templates_have_their_places(name):
     template = getattr(prompts, name)
     assert ("{text}" in template) if name == "SUMMARY_PROMPT" else ("{labels}" in template)
+
+
+def test_slugs_of_long_titles(spark):
+    rng = random.Random(3)
+    bits = ["a", "B", "é", "-", " ", "  ", "　", "\n", "Σ", "İ", "!", "?" * 40, " " * 90, "word ", "🙂", "x" * 50]
+    values = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 120))) for _ in range(1500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    for row in rows.select("v", text.slug(F.col("v")).alias("out")).collect():
+        assert row["out"] == text.slug_of(row["v"]), repr(row["v"])
+
+
+def test_the_start_of_a_long_title_is_enough(spark):
+    long_ = spark.range(200).select(F.concat(F.lit("Some words of a title "), F.repeat(F.concat(F.lit("a page of text "), F.col("id")), 20000)).alias("v"))
+    begun = time.monotonic()
+    assert {r[0] for r in long_.select(F.length(text.slug(F.col("v")))).collect()} == {80}
+    first = time.monotonic() - begun
+    begun = time.monotonic()
+    long_.select(F.length(F.regexp_replace(F.col("v"), rf"{text.JS_SPACE}+", "-"))).collect()
+    assert first < time.monotonic() - begun
