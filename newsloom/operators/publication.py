@@ -174,11 +174,8 @@ def search_label(query: Column) -> Column:
     return F.concat(F.lit('Search: "'), query, F.lit('"'))
 
 
-def listing_rows(site: DataFrame, settings: SiteSettings) -> DataFrame:
-    """One card for each article and list page it is on: home, its category, its searches.
-
-    One scan: the pages of an article are an array that is exploded.
-    """
+def _listed(site: DataFrame, settings: SiteSettings) -> DataFrame:
+    """What a card shows of each article, and `on`, the array of the list pages it is on."""
     def listed(path: Column, label: Column) -> Column:
         return F.struct(path.alias("page"), label.alias("label"))
 
@@ -188,10 +185,9 @@ def listing_rows(site: DataFrame, settings: SiteSettings) -> DataFrame:
     ))
     text = search_text(*[F.col(c) for c in SEARCH_FIELDS])
     searches = met_searches(F.col("_text"), [(q, [q.lower()]) for q in kept_queries(settings.queries)])
-    found = with_category_page(site).withColumn("_text", text).withColumn("_met", searches).withColumn("_on", F.explode(F.concat(
-        lists, F.transform("_met", lambda query: listed(search_path(query), search_label(query))))))
+    found = with_category_page(site).withColumn("_text", text).withColumn("_met", searches)
     return found.select(
-        "_on.page", "_on.label", day_key(F.col("processed_at")).alias("day"), "pos",
+        F.concat(lists, F.transform("_met", lambda query: listed(search_path(query), search_label(query)))).alias("on"), day_key(F.col("processed_at")).alias("day"), "pos",
         or_default(F.col("title"), "Untitled").alias("title"),
         or_default(F.col("category"), "News").alias("category"),
         or_default(F.col("author"), "Unknown").alias("author"),
@@ -200,6 +196,20 @@ def listing_rows(site: DataFrame, settings: SiteSettings) -> DataFrame:
     )
 
 
+def _exploded(articles: DataFrame) -> DataFrame:
+    """A row for each page an article is on; what was derived from the article before is not derived for each again."""
+    columns = [c for c in articles.columns if c != "on"]
+    return articles.select(F.explode("on").alias("_on"), *columns).select("_on.page", "_on.label", *columns)
+
+
+def listing_rows(site: DataFrame, settings: SiteSettings) -> DataFrame:
+    """One card for each article and list page it is on: home, its category, its searches.
+
+    One scan: the pages of an article are an array that is exploded.
+    """
+    return _exploded(_listed(site, settings))
+
+
 def date_groups(rows: DataFrame, settings: SiteSettings, page: Sequence[str] = ()) -> DataFrame:
     """Articles of each `day`, per page column if given, with heading and count text.
 
@@ -447,8 +457,8 @@ def list_page_lines(site: DataFrame, settings: SiteSettings) -> DataFrame:
     category page starts with its trail. The home page of an empty site has its heading too; a search
     without hits has a heading and a message.
     """
-    cards = listing_rows(site, settings)
-    groups = settle(date_groups(cards.select("page", "label", "day", "pos"), settings, ["page", "label"]))
+    articles = _listed(site, settings)
+    groups = settle(date_groups(_exploded(articles).select("page", "label", "day", "pos"), settings, ["page", "label"]))
 
     def at(day: Column, part: int, pos: Column) -> Column:
         # Days descend: the digits of a day are complemented, and `unknown` precedes them.
@@ -477,14 +487,16 @@ def list_page_lines(site: DataFrame, settings: SiteSettings) -> DataFrame:
             F.lit("<h2>"), day_label(F.col("day"), settings.as_of), F.lit("</h2><p>"), F.col("count_text"), F.lit("</p>")
         ).alias("line"),
     )
-    items = cards.select(
-        F.col("page").alias("path"), at(F.col("day"), 2, F.col("pos")),
+    # A card is built once for each article, not for each page it is on.
+    cards = articles.select(
+        "on", at(F.col("day"), 2, F.col("pos")),
         F.concat(
             F.lit('<article><a href="'), F.col("path"), F.lit('">'), escape_html(F.col("title")), F.lit("</a> <span>"),
             escape_html(F.col("category")), F.lit("</span> <span>"), escape_html(F.col("author")),
             F.lit("</span> <span>"), escape_html(F.col("source")), F.lit("</span></article>"),
         ).alias("line"),
     )
+    items = _exploded(cards).select(F.col("page").alias("path"), "ord", "line")
     none = missed.select(
         "path", at(top, 0, F.lit(2)), F.concat(F.lit("<p>"), escape_html(F.col("message")), F.lit("</p>")).alias("line")
     )

@@ -218,6 +218,13 @@ def test_thousands_of_topics_equal_brute_force(spark):
     assert got == {(r[0], t) for r in rows for t in topics if all(w in r[3] or w in r[5] for w in t.split())}
 
 
+def test_a_card_is_built_once_for_each_article(spark):
+    """Slugs and escapes are worked out below the step that repeats an article for its pages."""
+    rows = pub.listing_rows(site(spark, [{"title": "t", "category": "c"}]), SETTINGS)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "/article/" not in plan[: plan.index("Generate explode")]
+
+
 def test_of_searches_with_one_slug_the_last_keeps_the_page(spark):
     settings = dataclasses.replace(SETTINGS, queries=("new wave", "alpha", "new-wave"))
     rows = site(spark, [{"title": "new wave"}, {"title": "the new-wave"}, {"title": "alpha"}])
