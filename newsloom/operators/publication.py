@@ -7,6 +7,7 @@ and nested only up to a fixed number of rows, so a category or day may hold any
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -284,17 +285,24 @@ def search_hits(site: DataFrame, queries: Sequence[str]) -> DataFrame:
     return site.withColumn("_text", search_text(*fields)).withColumn("query", F.explode(found)).drop("_text")
 
 
-def search_pages(site: DataFrame, settings: SiteSettings) -> DataFrame:
-    """One row for each query, also for one without hits, which is not to be indexed."""
-    counts = search_hits(site, kept_queries(settings.queries)).groupBy("query").agg(F.count("*").alias("n"))
-    asked = site.sparkSession.createDataFrame(
-        [(settings.queries.index(q), q) for q in kept_queries(settings.queries)], "ord bigint, query string"
-    )
+def search_pages(site: DataFrame, settings: SiteSettings, pages: DataFrame | None = None) -> DataFrame:
+    """One row for each query, also for one without hits, which is not to be indexed.
+
+    `pages` gives the hits as `(page, n)` where list pages have been counted already.
+    """
+    # A literal: rows of the driver would start Python workers that stay in the executors.
+    kept = json.dumps([{"ord": settings.queries.index(q), "query": q} for q in kept_queries(settings.queries)])
+    rows = F.inline(F.from_json(F.lit(kept), "array<struct<ord:bigint,query:string>>"))
+    asked = site.sparkSession.range(1).select(rows).withColumn("path", search_path(F.col("query")))
+    if pages is None:
+        key, counts = "query", search_hits(site, kept_queries(settings.queries)).groupBy("query").agg(F.count("*").alias("n"))
+    else:
+        key, counts = "path", pages.select(F.col("page").alias("path"), "n")
     n = F.coalesce(F.col("n"), F.lit(0))
     none = sentence(settings.no_hits_text, query=F.col("query"))
     some = sentence(settings.hits_text, query=F.col("query"), n=counted(n))
-    return asked.join(counts, "query", "left").select(
-        "ord", "query", search_path(F.col("query")).alias("path"), n.alias("n"),
+    return asked.join(counts, key, "left").select(
+        "ord", "query", "path", n.alias("n"),
         F.concat(F.col("query"), F.lit(f" — Search Results | {settings.name}")).alias("title"),
         F.when(n == 0, none).otherwise(some).alias("description"),
         F.when(n == 0, F.lit("noindex, follow")).otherwise(F.lit("index, follow")).alias("robots"),
@@ -457,8 +465,16 @@ def list_page_lines(site: DataFrame, settings: SiteSettings) -> DataFrame:
     category page starts with its trail. The home page of an empty site has its heading too; a search
     without hits has a heading and a message.
     """
-    articles = _listed(site, settings)
-    groups = settle(date_groups(_exploded(articles).select("page", "label", "day", "pos"), settings, ["page", "label"]))
+    # A card is built once for each article, not for each page it is on, and stored: what follows reads no text of the site.
+    cards = settle(_listed(site, settings).select(
+        "on", "day", "pos",
+        F.concat(
+            F.lit('<article><a href="'), F.col("path"), F.lit('">'), escape_html(F.col("title")), F.lit("</a> <span>"),
+            escape_html(F.col("category")), F.lit("</span> <span>"), escape_html(F.col("author")),
+            F.lit("</span> <span>"), escape_html(F.col("source")), F.lit("</span></article>"),
+        ).alias("line"),
+    ))
+    groups = settle(date_groups(_exploded(cards.select("on", "day", "pos")), settings, ["page", "label"]))
 
     def at(day: Column, part: int, pos: Column) -> Column:
         # Days descend: the digits of a day are complemented, and `unknown` precedes them.
@@ -466,10 +482,10 @@ def list_page_lines(site: DataFrame, settings: SiteSettings) -> DataFrame:
         return F.struct(turned.alias("day"), F.lit(part).alias("part"), pos.cast("bigint").alias("pos")).alias("ord")
 
     top = F.lit(None).cast("string")
-    missed = search_pages(site, settings).where("n = 0")
-    empty = missed.select(F.col("path").alias("page"), search_label(F.col("query")).alias("label"), F.lit("No results found").alias("total"))
     sizes = groups.groupBy("page", "label").agg(F.sum("n").alias("n"))
-    home = site.sparkSession.createDataFrame([("/", HOME_LABEL, 0)], "page string, label string, n bigint")
+    missed = search_pages(site, settings, sizes).where("n = 0")
+    empty = missed.select(F.col("path").alias("page"), search_label(F.col("query")).alias("label"), F.lit("No results found").alias("total"))
+    home = site.sparkSession.range(1).select(F.lit("/").alias("page"), F.lit(HOME_LABEL).alias("label"), F.lit(0).cast("bigint").alias("n"))
     totals = sizes.unionByName(home).groupBy("page", "label").agg(F.sum("n").alias("n"))
     heading = totals.select("page", "label", counted(F.col("n")).alias("total")).unionByName(empty).select(
         F.col("page").alias("path"), at(top, 0, F.lit(1)),
@@ -487,16 +503,7 @@ def list_page_lines(site: DataFrame, settings: SiteSettings) -> DataFrame:
             F.lit("<h2>"), day_label(F.col("day"), settings.as_of), F.lit("</h2><p>"), F.col("count_text"), F.lit("</p>")
         ).alias("line"),
     )
-    # A card is built once for each article, not for each page it is on.
-    cards = articles.select(
-        "on", at(F.col("day"), 2, F.col("pos")),
-        F.concat(
-            F.lit('<article><a href="'), F.col("path"), F.lit('">'), escape_html(F.col("title")), F.lit("</a> <span>"),
-            escape_html(F.col("category")), F.lit("</span> <span>"), escape_html(F.col("author")),
-            F.lit("</span> <span>"), escape_html(F.col("source")), F.lit("</span></article>"),
-        ).alias("line"),
-    )
-    items = _exploded(cards).select(F.col("page").alias("path"), "ord", "line")
+    items = _exploded(cards.select("on", at(F.col("day"), 2, F.col("pos")), "line")).select(F.col("page").alias("path"), "ord", "line")
     none = missed.select(
         "path", at(top, 0, F.lit(2)), F.concat(F.lit("<p>"), escape_html(F.col("message")), F.lit("</p>")).alias("line")
     )

@@ -15,6 +15,7 @@ a version the only one. Files are reached by `pyarrow.fs`, which knows local, HD
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -23,6 +24,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -34,6 +36,10 @@ _INDEX = pa.schema([("path", pa.string()), ("version", pa.int64()), ("part", pa.
 FILES = 64
 # Index rows that a task holds before it writes them.
 INDEX_ROWS = 1 << 16
+# Bytes of a read, of the small documents that one reading task takes, about, and from which a document has a task of its own.
+PIECE, WINDOW, LARGE = 1 << 20, 32 << 20, 16 << 20
+# Bytes of a text.
+MOST = (1 << 31) - 1
 
 
 def located(root: str) -> tuple[fs.FileSystem, str]:
@@ -212,10 +218,91 @@ def read_stretches(spark: SparkSession, root: str, paths: Sequence[str] | None =
     return dealt.mapInArrow(_read(root), "path string, part bigint, body string")
 
 
-def read_packed(spark: SparkSession, root: str, paths: Sequence[str] | None = None) -> DataFrame:
-    """Rows (path, body) of the newest version of each path, of all or of the given paths."""
-    grouped = read_stretches(spark, root, paths).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("part", "body"))).alias("s"))
-    return grouped.select("path", F.array_join(F.col("s.body"), "").alias("body"))
+def _documents(root: str, counted: bool):
+    """Task over documents and the places of their stretches: their bytes, each document put together in the place it is sent from."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = located(root)
+        opened: list = [None, None]
+
+        def together(some: list[tuple[str, list[dict]]]) -> pa.RecordBatch:
+            ends = [0]
+            for _, places in some:
+                ends.append(ends[-1] + sum(p["length"] for p in places))
+            if ends[-1] > MOST:
+                raise ValueError(f"document {some[0][0]!r} has {ends[-1]} bytes; a text holds {MOST}")
+            # The system's pool gives a large buffer back at once.
+            data = pa.allocate_buffer(ends[-1], memory_pool=pa.system_memory_pool())
+            view, at, lines = memoryview(data), 0, []
+            for _, places in some:
+                lines.append(0)
+                for place in places:
+                    if place["file"] != opened[0]:
+                        opened[:] = place["file"], files.open_input_file(f"{base}/packs/{place['file']}")
+                    opened[1].seek(place["offset"])
+                    end = at + place["length"]
+                    while at < end:
+                        got = opened[1].readinto(view[at : min(end, at + PIECE)])
+                        if not got:
+                            raise EOFError(f"{place['file']} ends before {place['offset'] + place['length']}")
+                        if counted:
+                            lines[-1] += view[at : at + got].tobytes().count(b"\n")
+                        at += got
+            columns = [pa.array([path for path, _ in some], pa.string()),
+                       pa.Array.from_buffers(pa.string(), len(some), [None, pa.array(ends, pa.int32()).buffers()[1], data])]
+            return pa.RecordBatch.from_arrays(columns + [pa.array(lines, pa.int64())] * counted, names=["path", "body", "n_lines"][: 2 + counted])
+
+        some, size = [], 0
+        for batch in batches:
+            for path, places in zip(batch.column("path").to_pylist(), batch.column("places").to_pylist()):
+                length = sum(p["length"] for p in places)
+                if some and size + length > 8 * PIECE:
+                    yield together(some)
+                    some, size = [], 0
+                some.append((path, places))
+                size += length
+        if some:
+            yield together(some)
+
+    return run
+
+
+def _one_a_machine(spark: SparkSession) -> ResourceProfile | None:
+    """Tasks that take all cores of an executor, where that is known and can be asked for."""
+    master = spark.sparkContext.master
+    local = re.fullmatch(r"local-cluster\[\s*\d+\s*,\s*(\d+)\s*,.*", master)
+    if master.startswith("local") and not local:
+        return None
+    cores = int(local[1] if local else spark.sparkContext.getConf().get("spark.executor.cores", "1"))
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cores)).build if cores > 1 else None
+
+
+def read_packed(spark: SparkSession, root: str, paths: Sequence[str] | None = None, counted: bool = False) -> DataFrame:
+    """Rows (path, body) of the newest version of each path, of all or of the given paths; `counted` adds `n_lines`, their line feeds.
+
+    The index says where the stretches of a document are, so tasks are dealt by bytes and a document is put together
+    where it is read. A document of LARGE bytes or more has a task of its own, and where Spark can be told so, one at a time
+    in an executor; there are at most (bytes / LARGE) of them. It passes a shuffle, behind which its row is as
+    long as its text: a row that comes from Python has twice that. A writer holds several copies of a row besides, see the README.
+    """
+    stretch = F.struct("part", "offset", "file", "length")
+    documents = packed_index(spark, root, paths).groupBy("path").agg(
+        F.sort_array(F.collect_list(stretch)).alias("places"), F.sum("length").alias("size"))
+    small_one = F.col("size") < LARGE
+    large, total = documents.agg(F.array_sort(F.collect_list(F.when(~small_one, F.col("path")))), F.sum(F.when(small_one, F.col("size")))).first()
+    profile = _one_a_machine(spark) if large else None
+    schema = "path string, body string" + ", n_lines bigint" * counted
+
+    def read(rows: DataFrame) -> DataFrame:
+        return rows.select("path", "places").mapInArrow(_documents(root, counted), schema, profile=profile)
+
+    first = F.col("places")[0]
+    window = first["file"], F.floor(first["offset"] / WINDOW)
+    small = documents.where(small_one).repartition(1 + (total or 0) // WINDOW, *window).sortWithinPartitions(first["file"], first["offset"])
+    if not large:
+        return read(small)
+    own = F.array_position(F.lit(large), F.col("path")).cast("int") - 1
+    alone = read(documents.where(~small_one).repartitionById(len(large), own))
+    return read(small).unionByName(alone.repartitionById(len(large), own))
 
 
 def read_lines(spark: SparkSession, root: str, paths: Sequence[str] | None = None) -> DataFrame:

@@ -268,9 +268,9 @@ class Store:
         """
         packs.write_packed(lines, self.path(f"publish/{name}"), ("ord",), version or 0, version is None, files)
 
-    def read_pages(self, name: str, paths: Sequence[str] | None = None) -> DataFrame:
-        """`(path, body)` of all pages, or of those of the given paths."""
-        return packs.read_packed(self.spark, self.path(f"publish/{name}"), paths)
+    def read_pages(self, name: str, paths: Sequence[str] | None = None, counted: bool = False) -> DataFrame:
+        """`(path, body)` of all pages, or of those of the given paths; `counted` adds `n_lines`."""
+        return packs.read_packed(self.spark, self.path(f"publish/{name}"), paths, counted)
 
     def export_pages(self, name: str, paths: Sequence[str]) -> None:
         """Chosen pages as folders of text files, for readers outside Spark."""

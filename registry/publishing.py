@@ -123,7 +123,7 @@ def pages_packed_and_read(spark, folder):
     home = F.col("path") == "/"
     store.write_pages(lines.withColumn("line", F.when(home, F.lit("old")).otherwise(F.col("line"))), "pages", 1, files=8)
     store.write_pages(lines.where(home), "pages", 2, files=8)
-    return store.read_pages("pages").select("path", "body", (F.size(F.split("body", "\n")) - 1).cast("bigint").alias("n_lines"))
+    return store.read_pages("pages", counted=True).select("path", "body", "n_lines")
 
 
 RELATED = SITE + f""", pairs AS (

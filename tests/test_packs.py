@@ -1,6 +1,7 @@
 """Packed documents: written in a set number of files, read back by path, replaced by later versions."""
 
 import glob
+import hashlib
 import os
 import random
 
@@ -75,6 +76,34 @@ def test_many_documents_in_few_files(spark, tmp_path):
     assert "PushedFilters: [In(path" in plan or "PushedFilters: [IsNotNull(path), EqualTo(path" in plan or "EqualTo(path" in plan
 
 
+def test_a_large_document_has_a_task_of_its_own(spark, tmp_path, monkeypatch):
+    """Tasks are dealt by the bytes that the index names, not by its own few rows: large documents never meet in one."""
+    monkeypatch.setattr(packs, "LARGE", 1 << 16, raising=False)
+    rows = [(f"/large{d}", n, f"line {n} é " + "y" * 50) for d in range(5) for n in range(3_000 + d)]
+    rows += [(f"/small{i}", 0, "x\ny" if i == 7 else "x") for i in range(40)] + [("/none", 0, None)]
+    packs.write_packed(table(spark, rows), str(tmp_path), files=3)
+    read = packs.read_packed(spark, str(tmp_path)).select("path", F.md5("body").alias("body"), F.spark_partition_id().alias("task"))
+    tasks, want = {}, {}
+    for path, _, line in rows:
+        want[path] = want.get(path, "") + (line or "") + "\n"
+    for row in read.collect():
+        tasks.setdefault(row["task"], []).append(row["path"])
+        assert row["body"] == hashlib.md5(want.pop(row["path"]).encode()).hexdigest()
+    assert not want
+    assert all(len(paths) == 1 for paths in tasks.values() if any(p.startswith("/large") for p in paths))
+
+
+def test_line_feeds_are_counted_where_documents_are_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packs, "LARGE", 1 << 16, raising=False)
+    rows = [("/long", n, "z" * 90) for n in range(3_000)] + [("/a", 0, "two\nlines"), ("/b", 0, None)]
+    packs.write_packed(table(spark, rows), str(tmp_path), files=2)
+    packs.write_packed(table(spark, [("/b", 0, "new"), ("/b", 1, "")]), str(tmp_path), version=1, files=2)
+    found = packs.read_packed(spark, str(tmp_path), counted=True)
+    assert found.columns == ["path", "body", "n_lines"]
+    assert {r["path"]: r["n_lines"] for r in found.collect()} == {"/long": 3_000, "/a": 2, "/b": 2}
+    assert all(r["n_lines"] == r["body"].count("\n") for r in found.collect())
+
+
 def test_chosen_pages_as_folders(spark, tmp_path):
     packs.write_packed(table(spark, [("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")]), f"{tmp_path}/in", files=2)
     packs.export_folders(spark, f"{tmp_path}/in", ["a"], f"{tmp_path}/out")

@@ -225,6 +225,21 @@ def test_a_card_is_built_once_for_each_article(spark):
     assert "/article/" not in plan[: plan.index("Generate explode")]
 
 
+def test_list_pages_are_made_of_stored_cards(spark):
+    """The texts of the site are searched once: headings, counts and lines come from the cards."""
+    settings = dataclasses.replace(SETTINGS, queries=("alpha", "nothing like it"))
+    rows = site(spark, [{"title": "alpha", "category": "c"}, {"title": "beta", "summary": "alpha too"}])
+    lines = pub.list_page_lines(rows, settings)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "summary" not in plan and "/article/" not in plan
+    found = {}
+    for r in lines.orderBy("path", "ord").collect():
+        found.setdefault(r["path"], []).append(r["line"])
+    assert sum("<article>" in x for x in found["/search/alpha"]) == 2 and sum("<article>" in x for x in found["/category/c"]) == 1
+    assert [x for x in found["/search/nothing-like-it"] if "No results found" in x]
+    assert not any("<article>" in x for x in found["/search/nothing-like-it"])
+
+
 def test_of_searches_with_one_slug_the_last_keeps_the_page(spark):
     settings = dataclasses.replace(SETTINGS, queries=("new wave", "alpha", "new-wave"))
     rows = site(spark, [{"title": "new wave"}, {"title": "the new-wave"}, {"title": "alpha"}])
